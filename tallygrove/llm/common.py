@@ -244,3 +244,43 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(e.select(F.col("v"), F.col("v").alias("root")).distinct())
+
+
+# --- files that tasks write and read themselves -----------------------------------------------------
+
+
+def open_fs(uri: str):
+    """(file system, path) of a URI, in any store that Arrow reaches."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+class Rolling:
+    """Files of one task, written under temporary names and renamed when whole.
+
+    A task that runs again writes the same bytes to the same final names, so whichever attempt ends
+    last leaves a right file; files of attempts that died keep temporary names and are in no manifest.
+    """
+
+    def __init__(self, root: str, part: int, suffix: str) -> None:
+        self.fs, self.root = open_fs(root)
+        self.part, self.suffix, self.seq = part, suffix, 0
+        self.out = None
+        self.fs.create_dir(self.root, recursive=True)
+
+    def start(self):
+        self.name = f"part-{self.part:06d}-{self.seq:05d}{self.suffix}"
+        self.temp = f"{self.root}/_temporary-{uuid.uuid4().hex}"
+        self.out, self.size = self.fs.open_output_stream(self.temp, compression=None), 0
+        return self
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> str:
+        self.out.close()
+        self.fs.move(self.temp, f"{self.root}/{self.name}")
+        self.out, self.seq = None, self.seq + 1
+        return self.name

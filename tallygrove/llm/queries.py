@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import mixing, quality, secrets, token_store, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
+    "op3_secret_scans": secrets.query,
+    "op5_token_output": token_store.query,
     "op6_url_filters": url_filter.query,
+    "op9_quality_classifier": quality.query,
     "op10_mixing_sources": mixing.query,
 }
 ORACLE_SQL = {
+    "op1_warc": warc.SQL,
     "op6_url_filters": url_filter.SQL,
     "op10_mixing_sources": mixing.SQL,
 }
