@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, shuffle: int | None = None, memory: str
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
