@@ -13,6 +13,7 @@ encoded whole. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -114,43 +115,95 @@ class Encoder:
 
     PAIRS = tuple({x for w in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (" " + w, w + " ")}) + ("<|", "\0")
     ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    MOST = 400_000
+    #: Pieces a generation keeps; the one before is still looked into, so what recurs stays.
+    MOST = 500_000
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, todo: set[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pre-tokens; words share calls, with line feeds between."""
+        plain = [t for t in todo if t.removeprefix(" ").isalpha()]
+        rest = list(todo.difference(plain))
+        yield from zip(rest, self._ids(rest), strict=True)
+        for a in range(0, len(plain), 256):
+            some = plain[a : a + 256]
+            (ids,) = self._ids(["\n".join(some)])
+            raw = np.frombuffer(ids, np.uint32)
+            at = 0
+            for t, k in zip(some, [*np.flatnonzero(raw == self.feed).tolist(), len(raw)], strict=True):
+                yield t, ids[4 * at : 4 * k]
+                at = k + 1
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Get the ids of pieces that aren't kept: from the older generation, or of their pre-tokens."""
+        kept, old = self.kept, self.old
+        new = []
+        for p in pieces:
+            x = old.get(p)
+            if x is None:
+                new.append(p)
+            else:
+                kept[p] = x
+        parts = [self.cut(p) for p in new]
+        todo = {t for ts in parts for t in ts if t not in kept}
+        for t in [t for t in todo if t in old]:
+            kept[t] = old[t]
+            todo.discard(t)
+        for t, x in self._each(todo):
+            kept[t] = x
+        for p, ts in zip(new, parts, strict=True):
+            if len(ts) != 1:
+                kept[p] = b"".join([kept[t] for t in ts])
+
     def plain(self, text: str) -> bool:
         return not any(x in text for x in self.PAIRS) and (text.isascii() or not self.ODD.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """uint32 ids of each text, as bytes."""
-        out: list[bytes | list[str]] = []
-        new: set[str] = set()
+        if len(self.kept) > self.MOST:
+            self.old, self.kept = self.kept, {}
         kept = self.kept
+        out: list[bytes] = []
+        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        new: set[str] = set()
         for t in texts:
             if not self.plain(t):
                 out.append(self._ids([t])[0])
                 continue
             pieces = t.replace(" ", "\0 ").split("\0")
-            new.update(pieces)
-            out.append(pieces)
-        new.difference_update(kept)
+            got = list(map(kept.get, pieces))
+            if None in got:
+                new.update(p for p, x in zip(pieces, got, strict=True) if x is None)
+                open_.append((len(out), pieces, got))
+                out.append(b"")
+            else:
+                out.append(b"".join(got))
         if new:
-            if len(kept) + len(new) > self.MOST:
-                kept.clear()
-                new = {p for x in out if isinstance(x, list) for p in x}
-            todo = list(new)
-            kept.update(zip(todo, self._ids(todo), strict=True))
-        return [x if isinstance(x, bytes) else b"".join([kept[p] for p in x]) for x in out]
+            self._learn(new)
+            for k, pieces, got in open_:
+                out[k] = b"".join([kept[p] if x is None else x for p, x in zip(pieces, got, strict=True)])
+        return out
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One a Python worker, so that its tasks share what they have learnt."""
+    return Encoder(path)
 
 
 def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -162,7 +215,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, files = TaskContext.get().partitionId(), Encoder(tokenizer), None
+        part, enc, files = TaskContext.get().partitionId(), encoder(tokenizer), None
         end = np.array([end_id], np.uint32).tobytes()
         docs: list[int | None] = []
         held: list[bytes] = []
