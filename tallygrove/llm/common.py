@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -284,3 +285,56 @@ class Rolling:
         self.fs.move(self.temp, f"{self.root}/{self.name}")
         self.out, self.seq = None, self.seq + 1
         return self.name
+
+
+# --- many small groups in one task ------------------------------------------------------------------
+
+
+def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn(table) -> iterator of record batches`` for the rows of each key, without a call from Spark a group.
+
+    Rows are dealt by key and sorted; a task walks its batches and cuts them where the key changes.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(k) for k in keys]
+            new = np.zeros(b.num_rows, bool)
+            for c in cols:
+                v = c.to_numpy(zero_copy_only=False)
+                new[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(c[x].as_py() for c in cols)
+                if held and key != last:
+                    yield from fn(pa.Table.from_batches(held))
+                    held = []
+                last = key
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return df.repartition(parts(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(walk, schema)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Fewer rows a batch for what runs inside, where rows are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def without(df: DataFrame, ident: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows whose id isn't in the one column of ``ids``; those are sent to all tasks only if few."""
+    gone = ids.toDF("_gone").where("_gone is not null").distinct()
+    gone = save(gone, "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= most else gone, F.col(ident) == F.col("_gone"), "left_anti")

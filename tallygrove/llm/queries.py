@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, token_store, url_filter, warc
+from . import jaccard, lattice, mixing, quality, secrets, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_toxicity": toxicity.query,
     "op3_secret_scans": secrets.query,
+    "op4_embedding_near_dedup": lattice.query,
     "op5_token_output": token_store.query,
     "op6_url_filters": url_filter.query,
+    "op7_ngram_jaccard_join": jaccard.query,
     "op9_quality_classifier": quality.query,
     "op10_mixing_sources": mixing.query,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL,
+    "op4_embedding_near_dedup": lattice.SQL,
     "op6_url_filters": url_filter.SQL,
+    "op7_ngram_jaccard_join": jaccard.SQL,
     "op10_mixing_sources": mixing.SQL,
 }
