@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lattice, mixing, quality, secrets, token_store, toxicity, url_filter, warc
+from . import decontaminate, jaccard, lattice, mixing, quality, secrets, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_output": token_store.query,
     "op6_url_filters": url_filter.query,
     "op7_ngram_jaccard_join": jaccard.query,
+    "op8_benchmark_decontamination": decontaminate.query,
     "op9_quality_classifier": quality.query,
     "op10_mixing_sources": mixing.query,
 }
