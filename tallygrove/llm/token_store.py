@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, open_fs, parts, save, scratch
+from .common import Rolling, open_fs, parts, range_shards, save, scratch
 
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
@@ -210,12 +210,10 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
     """Write the files below ``root`` and return the manifest: file, part, seq, docs, tokens, crc32, first_token."""
     spark = df.sparkSession
     rows = df.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(parts(spark), "id").sortWithinPartitions("id", "t")
+    rows = range_shards(rows, "id").repartitionByRange(parts(spark), "shard").sortWithinPartitions("shard", "id", "t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, enc, files = TaskContext.get().partitionId(), encoder(tokenizer), None
+        part, enc, files = -1, encoder(tokenizer), None
         end = np.array([end_id], np.uint32).tobytes()
         docs: list[int | None] = []
         held: list[bytes] = []
@@ -236,10 +234,13 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
             docs, held, size = [], [], 0
 
         for b in batches:
-            idents, texts = b.column(0).to_pylist(), b.column(1)
+            idents, texts, shards = b.column("id").to_pylist(), b.column("t"), b.column("shard").to_numpy()
             a = 0
             while a < len(idents):
-                n = min(256, len(idents) - a)
+                if shards[a] != part:
+                    flush()
+                    part, files = int(shards[a]), None
+                n = min(256, int(np.searchsorted(shards, part, side="right")) - a)
                 for i, x in zip(idents[a : a + n], enc.encode(texts.slice(a, n).to_pylist()), strict=True):
                     docs.append(i)
                     held.append(x + end)

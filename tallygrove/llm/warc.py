@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, open_fs, parts, save, scratch
+from .common import Rolling, open_fs, parts, range_shards, save, scratch
 
 #: Compressed bytes a file holds before the next begins.
 ROLL = 32 << 20
@@ -102,12 +102,10 @@ def write(df: DataFrame, root: str, ident: str = "page_id", url: str = "url", pa
     # who refers to whom travels in rows of its own, so that the payloads are dealt out once only
     refs = slim.distinct().join(first, "sha1").select("page", "sha1", F.lit(0).alias("kind"), "ref", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"))
     rows = base.select("page", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ref"), "url", "body").unionByName(refs)
-    rows = rows.repartitionByRange(parts(spark), "page").sortWithinPartitions("page", "sha1", "kind", "url")
+    rows = range_shards(rows, "page").repartitionByRange(parts(spark), "shard").sortWithinPartitions("shard", "page", "sha1", "kind", "url")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        files = Rolling(root, TaskContext.get().partitionId(), ".warc.gz")
+        files: Rolling | None = None
         said: list[tuple] = []
         ref = told = None
         n = crc = 0
@@ -119,8 +117,12 @@ def write(df: DataFrame, root: str, ident: str = "page_id", url: str = "url", pa
             n = crc = 0
 
         for b in batches:
-            for page, sha1, kind, r, link, body in zip(*(b.column(c) for c in ("page", "sha1", "kind", "ref", "url", "body")), strict=True):
-                page, sha1 = page.as_py(), sha1.as_py()
+            for shard, page, sha1, kind, r, link, body in zip(*(b.column(c) for c in ("shard", "page", "sha1", "kind", "ref", "url", "body")), strict=True):
+                shard, page, sha1 = shard.as_py(), page.as_py(), sha1.as_py()
+                if files is None or files.part != shard:
+                    if files is not None and files.out is not None:
+                        close()
+                    files = Rolling(root, shard, ".warc.gz")
                 if not kind.as_py():
                     ref, told = r.as_py(), False
                     continue
@@ -133,7 +135,7 @@ def write(df: DataFrame, root: str, ident: str = "page_id", url: str = "url", pa
                 crc, n = zlib.crc32(data, crc), n + 1
                 if files.size >= roll:
                     close()
-        if files.out is not None:
+        if files is not None and files.out is not None:
             close()
         yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in said], pa.string())} | {c: pa.array([x[k] for x in said], pa.int64()) for k, c in ((1, "records"), (2, "bytes"), (3, "crc32"))})
 
