@@ -1,6 +1,29 @@
-"""Named queries over the test tables and their DuckDB equivalents."""
+"""Named queries over the test tables and their DuckDB equivalents: ``QUERIES`` and ``ORACLE_SQL``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    """Register a function as a query of its own name; ``sql`` gives DuckDB the same rows."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import ingest, ranking, texts  # noqa: E402, F401
