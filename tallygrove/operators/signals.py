@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import lexicon as L
 from ..functions.similarity import extract_one
 
 FUZZY = 85
+SIGNALS = "university string, subjects array<string>, seats_min int, keywords array<string>, round string, gpax double, intl boolean, faculty string, major string, format string, format_kw string, intent string, phrase string, phrase_active boolean"
 SEATS = r"(?:more than|over|มากกว่า|>)\s*(\d+)"
 GPAX = r"(?i)(?:GPAX|เกรด)\s*[: ]?\s*(\d+\.?\d*)"
 
@@ -170,12 +173,9 @@ def remove_all(text: Column, words: list[str]) -> Column:
 def parse_table(df: DataFrame, text: str = "text") -> DataFrame:
     """A query log with its signals as a struct column, texts parsed once each."""
 
-    @F.pandas_udf("university string, subjects array<string>, seats_min int, keywords array<string>, round string, gpax double, intl boolean, faculty string, major string, format string, format_kw string, intent string, phrase string, phrase_active boolean")
-    def run(s):
-        import pandas as pd
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: json.dumps(parse_signals(x), ensure_ascii=False))
 
-        rows = [{k: v for k, v in parse_signals(x).items() if k != "raw"} for x in s]
-        return pd.DataFrame(rows)
-
-    once = df.select(F.col(text).alias("_t")).distinct().withColumn("signals", run("_t"))
+    once = df.select(F.col(text).alias("_t")).distinct().withColumn("signals", F.from_json(run("_t"), SIGNALS))
     return df.join(once, F.col(text).eqNullSafe(F.col("_t")), "left").drop("_t")

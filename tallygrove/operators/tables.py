@@ -55,7 +55,7 @@ def pivot_features(df: DataFrame, key: list[str], concept: str, weight: str, fea
 def normalise_program(p: Column, has_codes: Column) -> dict[str, Column]:
     """Columns of a search row from a raw program struct (all texts), by the presence of its code list."""
     comps = F.when(F.size(p["weighted_components"]) > 0, p["weighted_components"]).otherwise(p["weighted_subjects"])
-    comps = F.coalesce(comps, F.array().cast("array<struct<code:string,name:string,weight:string>>"))
+    comps = F.coalesce(comps, F.array().cast("array<struct<code:string,name:string,weight:string,threshold:string>>"))
     split = F.transform(comps, lambda c: F.struct(F.array_distinct(F.filter(F.split(F.coalesce(c["code"], F.lit("")), "[,/ +]+"), lambda x: x.rlike(r"^\d+$"))).alias("codes"), num(c["weight"]).alias("w")))
     every = F.flatten(F.transform(split, lambda c: c["codes"]))
     in_range = F.filter(every, lambda x: x.try_cast("int").between(61, 89))
