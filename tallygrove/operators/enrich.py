@@ -52,5 +52,5 @@ def first_match(probe: DataFrame, build: DataFrame, key: str, ident: str) -> Dat
 def targets(manifest: DataFrame, archetypes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Files of a manifest (university_id, pdfs: array of round_key, path, status) that were fetched, with their archetype."""
     d = manifest.select("university_id", F.explode("pdfs").alias("f")).select("university_id", F.col("f.round_key").alias("round"), F.col("f.path").alias("path"), F.col("f.status").alias("status"))
-    d = d.where(F.col("status").isin("ok", "skip")).join(F.broadcast(archetypes), ["university_id", "round"])
+    d = d.where(F.col("status").isin("ok", "skip")).join(archetypes, ["university_id", "round"])
     return d if only is None else d.join(only, ["university_id", "round"], "left_semi")

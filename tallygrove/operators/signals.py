@@ -140,6 +140,18 @@ def parse_signals(text: str) -> dict:
     }
 
 
+#: Rows of a lexicon that texts are compared with one by one.
+MOST_WORDS = 10_000
+
+
+def _few(lexicon: DataFrame) -> DataFrame:
+    """A lexicon for all tasks. It is counted first: beyond its bound, nothing is cut, the query stops."""
+    n = lexicon.count()
+    if n > MOST_WORDS:
+        raise ValueError(f"a lexicon of {n} rows; {MOST_WORDS} are the most")
+    return F.broadcast(lexicon)
+
+
 # --- as plans ------------------------------------------------------------------------------------------
 
 
@@ -153,13 +165,13 @@ def first_hit(text: Column, table: dict[str, str]) -> Column:
 
 def lexicon_match(texts: DataFrame, ident: str, text: str, lexicon: DataFrame) -> DataFrame:
     """(ident, label, ord) by a join on containment with a lexicon (ord, kw, label): its first hit wins."""
-    return texts.join(F.broadcast(lexicon.limit(10_000)), F.contains(F.col(text), F.col("kw"))).groupBy(ident).agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
+    return texts.join(_few(lexicon), F.contains(F.col(text), F.col("kw"))).groupBy(ident).agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
 
 
 def match_tokens(tokens: DataFrame, lexicon: DataFrame, most: int = 1) -> DataFrame:
     """(token, label) of distinct tokens: exact, else least edit distance up to ``most`` for 4 characters or more, first key of equals."""
     d = F.levenshtein("token", "kw")
-    near = tokens.select("token").distinct().join(F.broadcast(lexicon.limit(10_000)), (F.col("token") == F.col("kw")) | ((F.length("token") >= 4) & (F.abs(F.length("token") - F.length("kw")) <= most) & (d <= most)))
+    near = tokens.select("token").distinct().join(_few(lexicon), (F.col("token") == F.col("kw")) | ((F.length("token") >= 4) & (F.abs(F.length("token") - F.length("kw")) <= most) & (d <= most)))
     return near.groupBy("token").agg(F.min_by("label", F.struct(d, F.col("ord"))).alias("label"))
 
 
