@@ -1,17 +1,19 @@
 """N-gram Jaccard join by a count-vector R-tree.
 
 A document is the set of its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class. A set's
-shingles are also dealt to groups by their leading bits; the counts a group are a point, of about four
-shingles a coordinate. Two sets share at most the sum of the smaller counts, and two nodes of a tree
-at most that of their largest counts, which bounds every pair below a pair of nodes.
+shingles are also dealt to groups by their leading bits; the counts a group are a point, of up to one
+shingle a coordinate. Two sets share at most the sum of the smaller counts, and two nodes of a tree
+at most that of their largest counts, which bounds every pair below a pair of nodes. Trees are built on
+points with neighbouring groups summed; pairs of leaves that pass are bounded again by all groups.
 
 As count vectors of unlike texts of one length lie close together in few dimensions, one tree over all points would
 visit most pairs. So points are first dealt to cells: sets that reach a Jaccard of 0.75 share one of
 the first ``n - ceil(0.75 n) + 1`` shingles of any fixed order. The order here puts frequent shingles
 last. Each cell with points of more than one known component gets its own tree; surviving pairs are
 verified on the whole sets. To keep groups of near copies from meeting all against all, each set is first
-verified against the best of its cells' smallest members, and only pairs between different
-components of that pass remain. Nothing is left out: a pair of one component needs no link of its own.
+verified against the best of its cells' smallest members and of their largest; components that still meet
+in cells are then tried by one pair each, a few times, and only pairs between different components
+remain for the trees. Nothing is left out: a pair of one component needs no link of its own.
 
 Edge cases: a null, empty or blank text has no shingle, links with nothing and is its own component; fewer
 than five words are one shingle; rows that repeat an id are documents of their own that share it; a null id
@@ -37,8 +39,11 @@ WORDS = 5
 UP, DOWN = 3, 4
 #: Shingles that are ordered last: at most so many, seen so often in a lot of texts.
 FREQUENT, OFTEN = 1 << 17, 8
-#: Prefix shingles a bucket holds on average; points of a block of a hot cell; points of a leaf, and children of a node.
-BUCKET, BLOCK, LEAF, FAN = 200_000, 1500, 32, 8
+#: Passes at most that link components by one pair each, before all pairs that are left.
+ROUNDS = 3
+#: Prefix shingles a bucket holds on average; points of a block of a hot cell; points of a leaf, children of a node, and groups
+#: that a tree's coordinate sums.
+BUCKET, BLOCK, LEAF, FAN, COARSE = 200_000, 1500, 32, 8, 8
 
 _MULT = mixed(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -70,8 +75,8 @@ def class_of(s: np.ndarray) -> int:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups; their number is a power of two, about a quarter of the shingles."""
-    k = min(16, max(3, math.ceil(math.log2(max(1, len(s)) / 4)) if len(s) > 4 else 3))
+    """Counts of the groups; their number is a power of two, as many as the shingles or more."""
+    k = min(18, max(4, math.ceil(math.log2(max(1, len(s))))))
     return np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).clip(max=65535).astype(np.uint16)
 
 
@@ -89,21 +94,23 @@ def enough(shared, total):
 
 def fold(v: np.ndarray, width: int) -> np.ndarray:
     """Counts of fewer groups: neighbours summed. Rows stay rows."""
-    return v if v.shape[-1] == width else v.reshape(*v.shape[:-1], width, -1).sum(axis=-1)
+    return v if v.shape[-1] == width else v.reshape(*v.shape[:-1], width, -1).sum(axis=-1, dtype=np.int32)
 
 
 class CountTree:
     """A packed R-tree of points of one width: leaves of ``LEAF`` points, nodes of ``FAN`` children."""
 
     def __init__(self, at: np.ndarray, points: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
-        order = np.lexsort((points[:, 0], points.argmax(axis=1), comp, n))  # near copies lie side by side
-        self.at, self.points, self.n = at[order], points[order].astype(np.int32), n[order]
-        cuts = np.arange(0, len(at), LEAF)
-        self.levels = [(cuts, np.append(cuts[1:], len(at)), np.maximum.reduceat(self.points, cuts), np.minimum.reduceat(self.n, cuts), np.maximum.reduceat(self.n, cuts))]
-        while len(self.levels[-1][0]) > 1:
-            _, _, top, low, high = self.levels[-1]
-            cuts = np.arange(0, len(top), FAN)
-            self.levels.append((cuts, np.append(cuts[1:], len(top)), np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
+        order = np.lexsort((points.argmax(axis=1), n, comp))  # near copies lie side by side
+        self.at, self.fine, self.n = at[order], points[order], n[order]
+        self.points = fold(self.fine, self.fine.shape[1] // COARSE).astype(np.int32)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        comp = comp[order]
+        low = (self.points, self.n, self.n, comp, comp)
+        while not self.levels or len(self.levels[-1][0]) > 1:
+            cuts = np.arange(0, len(low[0]), FAN if self.levels else LEAF)
+            low = tuple(f.reduceat(x, cuts) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), low, strict=True))
+            self.levels.append((cuts, np.append(cuts[1:], len(self.levels[-1][0]) if self.levels else len(at)), *low))
 
     def join(self, other: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of pairs that may reach the Jaccard; of a tree with itself, both ways round."""
@@ -111,8 +118,10 @@ class CountTree:
         todo = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while todo:
             la, a, lb, b = todo.pop()
-            xa, ya, top_a, low_a, high_a = (x[a] for x in self.levels[la])
-            xb, yb, top_b, low_b, high_b = (x[b] for x in other.levels[lb])
+            xa, ya, top_a, low_a, high_a, one_a, end_a = (x[a] for x in self.levels[la])
+            xb, yb, top_b, low_b, high_b, one_b, end_b = (x[b] for x in other.levels[lb])
+            if one_a == end_a == one_b == end_b:  # all of one component
+                continue
             if DOWN * high_a < UP * low_b or DOWN * high_b < UP * low_a:
                 continue
             if not enough(np.minimum(fold(top_a, width), fold(top_b, width)).sum(), low_a + low_b):
@@ -121,8 +130,13 @@ class CountTree:
                 p, q = fold(self.points[xa:ya], width), fold(other.points[xb:yb], width)
                 shared = np.minimum(p[:, None], q[None]).sum(axis=2)
                 i, j = np.nonzero(enough(shared, self.n[xa:ya, None] + other.n[None, xb:yb]))
-                if len(i):
-                    yield self.at[xa + i], other.at[xb + j]
+                if not len(i):
+                    continue
+                i, j = xa + i, xb + j
+                fine = min(self.fine.shape[1], other.fine.shape[1])
+                shared = np.minimum(fold(self.fine[i], fine), fold(other.fine[j], fine)).sum(axis=1)
+                ok = enough(shared, self.n[i] + other.n[j])
+                yield self.at[i[ok]], other.at[j[ok]]
             elif la >= lb:
                 todo += [(la - 1, k, lb, b) for k in range(xa, ya)]
             else:
@@ -252,7 +266,7 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
 
 
 def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: kind 0, (smallest class of a cell, other class, cells both are in); kind 1, (cell, class, 0).
+    """Of a bucket: kind 0, (smallest class of a cell, other class, cells both are in); kind 2, the same of the largest; kind 1, (cell, class, 0).
 
     Shingles of one class fall away, and cells with equal members are one.
     """
@@ -276,10 +290,11 @@ def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     with np.errstate(over="ignore"):
         cell = mixed(np.add.reduceat(mixed(sig.astype(np.uint64)), first) + size.astype(np.uint64)).astype(np.int64)
-    low = np.repeat(sig[first], size)
-    star = low != sig
-    pairs, n = np.unique(np.stack([low[star], sig[star]]), axis=1, return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "n"])
+    for kind, centre in ((0, sig[first]), (2, sig[first + size - 1])):
+        centre = np.repeat(centre, size)
+        star = centre != sig
+        pairs, n = np.unique(np.stack([centre[star], sig[star]]), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "n"])
     _, keep = np.unique(cell, return_index=True)
     take = np.isin(np.repeat(np.arange(len(size)), size), keep)
     a, b = np.repeat(cell, size)[take], sig[take]
@@ -359,17 +374,34 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     buckets = max(1, math.ceil(total * (DOWN - UP) / DOWN / BUCKET))
     cells = save(grouped(_prefixes(docs, buckets, (tok, level)), ["bucket"], _cells, "kind int, a long, b long, n long"), "cells", keep)
     # first links: every class against the smallest member that it shares most cells with
-    star = cells.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    star = cells.where("kind <> 1").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).groupBy("kind", "b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verify(docs, save(_bounded(star, classes), "star", keep), classes, keep)
+    member = save(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct(), "members", keep)
+    for k in range(ROUNDS):
+        comps = save(components(links), "components", keep)
+        known = classes.select("sig", "n").join(comps.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("comp"))
+        at = save(member.join(known, "sig"), "at", keep)
+        mixed_ = at.groupBy("cell").agg(F.min(F.struct("comp", F.xxhash64("sig", F.lit(k)).alias("h"), "sig")).alias("c"), F.max("comp").alias("_hi")).where("c.comp < _hi").select("cell", "c")
+        # components that meet in cells are tried by a pair of sets, another one each time
+        met = at.join(mixed_, "cell").where("comp <> c.comp").groupBy("comp", F.col("c.comp").alias("other"), F.col("c.sig").alias("a"), F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        met = met.groupBy("comp", "other").agg(F.max_by(F.struct("a", "b"), F.struct("n", F.xxhash64("a", "b", F.lit(k)).alias("h"))).alias("p")).select("p.a", "p.b")
+        more = save(_bounded(met, classes), "met", keep)
+        new = _verify(docs, more, classes, keep)
+        n = new.count()
+        links = save(links.unionByName(new), "links", keep)
+        if not n:
+            break
+    # what remains: pairs of different components within a cell, by trees
     comps = save(components(links), "components", keep)
-    # the others: pairs of different components within a cell, by trees
-    member = cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct()
     known = classes.select("sig", "n").join(comps.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("comp"))
     at = member.join(known, "sig")
+    mixed_ = at.groupBy("cell").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("cell")
+    at = at.join(mixed_, "cell")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(DOWN / UP)).cast("int")
     # sizes a quarter apart at most are in one band or in neighbours; each point also visits the next
     at = at.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("home"), band).otherwise(band + 1))
-    at = save(at, "members", keep)
+    at = save(at, "banded", keep)
     full = at.groupBy("cell", "band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("home").alias("_home")).where("_lo < _hi and _home").select("cell", "band")
     dealt = split_hot(at.join(full, ["cell", "band"]), ["cell", "band"], "sig", BLOCK).join(classes.select("sig", "vec"), "sig")
     more = save(grouped(dealt, ["cell", "band", "lo", "hi"], cell_pairs, "a long, b long").distinct(), "pairs", keep)
