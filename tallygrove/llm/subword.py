@@ -16,6 +16,7 @@ every text gets that class's share (0.5 for none); rows that repeat are scored e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -274,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, kind: Kind, ident: str =
             yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "_y": b.column("_y"), "at": pa.array([x.tobytes() for x, _ in lots], pa.binary()), "ends": pa.array([x.astype(np.int64).tobytes() for _, x in lots], pa.binary())})
 
     got = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(extract, "_id long, _y int, at binary, ends binary").collect()
-    got.sort(key=lambda r: (r["_id"], bytes(r["at"])))
-    return train([(r["_y"], np.frombuffer(bytes(r["at"]), np.uint32), np.frombuffer(bytes(r["ends"]), np.int64)) for r in got], share, kind)
+    got.sort(key=lambda r: (r["_id"], len(r["at"]), zlib.crc32(r["at"])))
+    return train([(r["_y"], np.frombuffer(r["at"], np.uint32), np.frombuffer(r["ends"], np.int64)) for r in got], share, kind)
 
 
 def score(docs: DataFrame, model: Model, kind: Kind, least: float, ident: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from . import subword
 
-KIND = subword.Kind(grams=(3, 4, 5), window=8, blanks=30, train_bytes=4 << 20)
+KIND = subword.Kind(grams=(3, 4, 5), window=8, blanks=30, train_bytes=3 << 20)
 LEAST = 0.7
 
 
