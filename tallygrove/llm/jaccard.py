@@ -4,7 +4,7 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes. Equal s
 shingles are also dealt to groups by their leading bits; the counts a group are a point, of up to one
 shingle a coordinate. Two sets share at most the sum of the smaller counts, and two nodes of a tree
 at most that of their largest counts, which bounds every pair below a pair of nodes. Trees are built on
-points with neighbouring groups summed; pairs of leaves that pass are bounded again by all groups.
+points with neighbouring groups summed; pairs that pass are bounded again by all groups.
 
 As count vectors of unlike texts of one length lie close together in few dimensions, one tree over all points would
 visit most pairs. So points are first dealt to cells: sets that reach a Jaccard of 0.75 share one of
@@ -43,7 +43,7 @@ FREQUENT, OFTEN = 1 << 17, 8
 ROUNDS = 3
 #: Prefix shingles a bucket holds on average; points of a block of a hot cell; points of a leaf, children of a node, and groups
 #: that a tree's coordinate sums.
-BUCKET, BLOCK, LEAF, FAN, COARSE = 200_000, 1500, 32, 8, 8
+BUCKET, BLOCK, LEAF, FAN, COARSE = 200_000, 1500, 32, 8, 4
 
 _MULT = mixed(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -51,7 +51,7 @@ _MULT = mixed(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     with np.errstate(over="ignore"):
-        for a, b, data, offs in text_slices(col):
+        for a, b, data, offs in text_slices(col, 1 << 19):
             data = lowered(data)
             starts, ends = word_bounds(data, offs)
             h = word_hashes(data, starts, ends)
@@ -75,9 +75,18 @@ def class_of(s: np.ndarray) -> int:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups; their number is a power of two, as many as the shingles or more."""
-    k = min(18, max(4, math.ceil(math.log2(max(1, len(s))))))
-    return np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).clip(max=65535).astype(np.uint16)
+    """Counts of the groups; their number is a power of two, as many as the shingles or more, so a byte holds a count."""
+    k = max(4, math.ceil(math.log2(max(1, len(s)))))
+    n = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    if n.max(initial=0) > 255:
+        raise ValueError("shingle hashes aren't spread")
+    return n.astype(np.uint8)
+
+
+def coarse(v: np.ndarray) -> np.ndarray:
+    """The counts of a tree's point: ``COARSE`` neighbouring groups summed, unless a byte can't hold a sum."""
+    w = fold(v, max(4, len(v) // COARSE))
+    return v if w.max(initial=0) > 255 else w.astype(np.uint8)
 
 
 def prefix(n: int) -> int:
@@ -102,8 +111,7 @@ class CountTree:
 
     def __init__(self, at: np.ndarray, points: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
         order = np.lexsort((points.argmax(axis=1), n, comp))  # near copies lie side by side
-        self.at, self.fine, self.n = at[order], points[order], n[order]
-        self.points = fold(self.fine, self.fine.shape[1] // COARSE).astype(np.int32)
+        self.at, self.points, self.n = at[order], points[order].astype(np.int32), n[order]
         self.levels: list[tuple[np.ndarray, ...]] = []
         comp = comp[order]
         low = (self.points, self.n, self.n, comp, comp)
@@ -130,13 +138,8 @@ class CountTree:
                 p, q = fold(self.points[xa:ya], width), fold(other.points[xb:yb], width)
                 shared = np.minimum(p[:, None], q[None]).sum(axis=2)
                 i, j = np.nonzero(enough(shared, self.n[xa:ya, None] + other.n[None, xb:yb]))
-                if not len(i):
-                    continue
-                i, j = xa + i, xb + j
-                fine = min(self.fine.shape[1], other.fine.shape[1])
-                shared = np.minimum(fold(self.fine[i], fine), fold(other.fine[j], fine)).sum(axis=1)
-                ok = enough(shared, self.n[i] + other.n[j])
-                yield self.at[i[ok]], other.at[j[ok]]
+                if len(i):
+                    yield self.at[xa + i], other.at[xb + j]
             elif la >= lb:
                 todo += [(la - 1, k, lb, b) for k in range(xa, ya)]
             else:
@@ -149,7 +152,7 @@ def cell_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
     lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
     if len(sig) < 2 or comp.min() == comp.max():
         return
-    vecs = [np.frombuffer(x, np.uint16) for x in t.column("vec").to_pylist()]
+    vecs = [np.frombuffer(x, np.uint8) for x in t.column("vec").to_pylist()]
     wide = np.array([len(v) for v in vecs])
     trees = {}
     for side in {lo, hi}:
@@ -172,7 +175,7 @@ def cell_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """Rows of three kinds: documents (id, n, sig), classes (sig, n, vec), and frequent shingles (sig, n)."""
+    """Rows of three kinds: documents (id, n, sig), classes (sig, n, vec, point), and frequent shingles (sig, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -184,12 +187,12 @@ def _summaries(docs: DataFrame) -> DataFrame:
             tok, n = tok[n >= OFTEN], n[n >= OFTEN]
             return rows(2, None, tok.astype(np.int64), n, None)
 
-        def rows(kind, ids, sig, n, vec) -> pa.RecordBatch:
+        def rows(kind, ids, sig, n, vec, point=None) -> pa.RecordBatch:
             m = len(sig)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.int64()) if ids is None else ids, pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()) if vec is None else pa.array(vec, pa.binary())], names=["kind", "id", "sig", "n", "vec"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.int64()) if ids is None else ids, pa.array(sig, pa.int64()), pa.array(n, pa.int64()), *[pa.nulls(m, pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (vec, point)]], names=["kind", "id", "sig", "n", "vec", "point"])
 
         for b in batches:
-            sig, n, own = [], [], ([], [], [])
+            sig, n, own = [], [], ([], [], [], [])
             for s in shingle_sets(b.column("t")):
                 c = class_of(s)
                 sig.append(c)
@@ -198,19 +201,20 @@ def _summaries(docs: DataFrame) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(c)
-                    for x, v in zip(own, (c, len(s), vector(s).tobytes()), strict=True):
-                        x.append(v)
+                    v = vector(s)
+                    for x, y in zip(own, (c, len(s), v.tobytes(), coarse(v).tobytes()), strict=True):
+                        x.append(y)
                     held.append(s)
                     size += len(s)
                     if size > 2_000_000:
                         yield frequent()
                         held, size = [], 0
             yield rows(0, b.column("id"), sig, n, None)
-            yield rows(1, None, own[0], own[1], own[2])
+            yield rows(1, None, *own)
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, id long, sig long, n long, vec binary")
+    return docs.mapInArrow(run, "kind int, id long, sig long, n long, vec binary, point binary")
 
 
 def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -343,19 +347,20 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for x, y, n in zip(b.column("x"), b.column("y"), b.column("n").to_pylist(), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint16).astype(np.int32), np.frombuffer(y.as_buffer(), np.uint16).astype(np.int32)
+                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int32), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int32)
                 w = min(len(x), len(y))
                 ok.append(bool(enough(np.minimum(fold(x, w), fold(y, w)).sum(), n)))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    c = classes.select("sig", "n", "vec")
-    both = pairs.join(c.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("vec").alias("x")), "a").join(c.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("y")), "b")
-    both = both.where(f"{DOWN} * na >= {UP} * nb and {DOWN} * nb >= {UP} * na")
+    sizes = classes.select("sig", "n")
+    pairs = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = pairs.where(f"{DOWN} * na >= {UP} * nb and {DOWN} * nb >= {UP} * na")
+    both = pairs.join(classes.select(F.col("sig").alias("a"), F.col("vec").alias("x")), "a").join(classes.select(F.col("sig").alias("b"), F.col("vec").alias("y")), "b")
     return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
 def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: id, n, sig), (classes: sig, n, vec, rep), (links between classes: a, b).
+    """(documents: id, n, sig), (classes: sig, n, vec, point, rep), (links between classes: a, b).
 
     The links connect exactly what all links of the join connect.
     """
@@ -368,7 +373,7 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     tok = np.array([r["sig"] for r in often], np.int64).astype(np.uint64)
     level = np.log2(np.array([r["n"] for r in often], float).clip(min=1)).astype(np.int8)
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    vecs = told.where("kind = 1").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    vecs = told.where("kind = 1").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("point").alias("point"))
     classes = save(vecs.join(reps, "sig"), "classes", keep)
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total * (DOWN - UP) / DOWN / BUCKET))
@@ -382,10 +387,11 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
         comps = save(components(links), "components", keep)
         known = classes.select("sig", "n").join(comps.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("comp"))
         at = save(member.join(known, "sig"), "at", keep)
-        mixed_ = at.groupBy("cell").agg(F.min(F.struct("comp", F.xxhash64("sig", F.lit(k)).alias("h"), "sig")).alias("c"), F.max("comp").alias("_hi")).where("c.comp < _hi").select("cell", "c")
-        # components that meet in cells are tried by a pair of sets, another one each time
-        met = at.join(mixed_, "cell").where("comp <> c.comp").groupBy("comp", F.col("c.comp").alias("other"), F.col("c.sig").alias("a"), F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        met = met.groupBy("comp", "other").agg(F.max_by(F.struct("a", "b"), F.struct("n", F.xxhash64("a", "b", F.lit(k)).alias("h"))).alias("p")).select("p.a", "p.b")
+        mixed_ = at.groupBy("cell").agg(F.min(F.struct("comp", F.xxhash64("sig", F.lit(k)).alias("h"), "sig", "n")).alias("c"), F.max("comp").alias("_hi")).where("c.comp < _hi").select("cell", "c")
+        # components that meet in cells are tried by a pair of sets of like sizes, another one each time
+        like = f"comp <> c.comp and {DOWN} * n >= {UP} * c.n and {DOWN} * c.n >= {UP} * n"
+        met = at.join(mixed_, "cell").where(like).groupBy("comp", F.col("c.comp").alias("other"), F.col("c.sig").alias("a"), F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+        met = met.groupBy("comp", "other").agg(F.max_by(F.struct("a", "b"), F.struct("m", F.xxhash64("a", "b", F.lit(k)).alias("h"))).alias("p")).select("p.a", "p.b")
         more = save(_bounded(met, classes), "met", keep)
         new = _verify(docs, more, classes, keep)
         n = new.count()
@@ -403,8 +409,9 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     at = at.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("home"), band).otherwise(band + 1))
     at = save(at, "banded", keep)
     full = at.groupBy("cell", "band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("home").alias("_home")).where("_lo < _hi and _home").select("cell", "band")
-    dealt = split_hot(at.join(full, ["cell", "band"]), ["cell", "band"], "sig", BLOCK).join(classes.select("sig", "vec"), "sig")
+    dealt = split_hot(at.join(full, ["cell", "band"]), ["cell", "band"], "sig", BLOCK).join(classes.select("sig", F.col("point").alias("vec")), "sig")
     more = save(grouped(dealt, ["cell", "band", "lo", "hi"], cell_pairs, "a long, b long").distinct(), "pairs", keep)
+    more = save(_bounded(more, classes), "bounded", keep)
     return rows, classes, links.unionByName(_verify(docs, more, classes, keep)).distinct()
 
 
