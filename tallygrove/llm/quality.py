@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import subword
 
-KIND = subword.Kind(grams=(3, 4), words=True, lower=False, train_bytes=4 << 20)
+KIND = subword.Kind(grams=(3, 4), words=True, lower=False, train_bytes=3 << 20)
 LEAST = 0.5
 
 
