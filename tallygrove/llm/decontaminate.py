@@ -3,8 +3,9 @@
 Texts are cut into words and numbers. Numbers, units after a number, and capitalised words within a sentence
 become typed placeholders; other words are lower-cased, and punctuation falls away. Every window of 8 such
 tokens of every document is hash-joined with those of the benchmark. Matches on one diagonal (document place minus
-item place) are an occurrence; it counts if each value of the item's slots stands for one value of the
-document's. A document holds an item if the windows that count are all the item's, or at least 6
+item place) are an occurrence. A window counts if it has no slots or they hold the item's own values, and otherwise
+if each holds the value that most places of its slot have on the diagonal; where a slot has no such value, only
+the former count. A document holds an item if the windows that count are all the item's, or at least 6
 (13 tokens on end), so re-parameterised questions are caught and chance templates aren't.
 
 Windows of more than 4 placeholders are no evidence and are left out. Edge cases: a null or empty text has
@@ -23,6 +24,8 @@ from .common import save, without
 WINDOW, SHORTEST, ENOUGH = 8, 4, 6
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inch", "inches", "ft", "feet", "yards", "miles", "lb", "lbs", "oz", "pounds", "kmh", "mph", "dollars", "cents", "euros", "percent", "degrees", "watts", "kw", "volts", "hz", "meters", "metres", "liters", "litres", "grams")
 NUM, UNIT, NAME = "\u0001#", "\u0001U", "\u0001N"
+#: Between a slot's value and its place.
+PLACE = "\u0002"
 TOKEN = r"\x01?(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)"
 #: Before a capitalised word that no sentence begins with.
 WITHIN = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
@@ -39,12 +42,20 @@ def _canon(toks: Column) -> Column:
     return F.transform(toks, one)
 
 
-def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """(id, pos, h, slots) of the windows of these sizes; slots: the values behind their placeholders, typed."""
+def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), placed: bool = False) -> DataFrame:
+    """(id, pos, h, slots) of the windows of these sizes; slots: the values behind their placeholders, typed.
+
+    With ``placed`` also places: those of the slots in the text.
+    """
     d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(F.regexp_replace(F.col(text), WITHIN, "\u0001"), F.lit(TOKEN), F.lit(0)).alias("toks"))
     d = d.where(F.size("toks") >= min(sizes)).withColumn("canon", _canon(F.col("toks")))
     marked = F.exists("canon", lambda c: c.startswith("\u0001"))
-    d = d.select("id", F.transform("canon", lambda c: F.xxhash64(c)).alias("hs"), F.when(marked, F.zip_with("canon", "toks", lambda c, t: F.when(c.startswith("\u0001"), F.concat(c, F.lower(t))))).alias("vals"))
+
+    def val(c: Column, i: Column) -> Column:
+        said = F.concat(c, F.lower(F.get("toks", i)))
+        return F.when(c.startswith("\u0001"), F.concat(said, F.lit(PLACE), i.cast("string")) if placed else said)
+
+    d = d.select("id", F.transform("canon", lambda c: F.xxhash64(c)).alias("hs"), F.when(marked, F.transform("canon", val)).alias("vals"))
     none = F.array().cast("array<string>")
     lots = []
     for w in sizes:
@@ -57,21 +68,24 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
         lot = F.transform(F.sequence(F.lit(0), F.size("hs") - w), one)
         lots.append(F.when(F.size("hs") >= w, lot).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")))
     d = d.select("id", F.explode(lots[0] if len(lots) == 1 else F.concat(*lots)).alias("w"))
-    return d.select("id", "w.pos", "w.h", "w.slots").where(F.size("slots") <= WINDOW - SHORTEST)
+    d = d.select("id", "w.pos", "w.h", "w.slots")
+    if placed:
+        d = d.withColumn("places", F.transform("slots", lambda v: F.substring_index(v, PLACE, -1).cast("int"))).withColumn("slots", F.transform("slots", lambda v: F.substring_index(v, PLACE, 1)))
+    return d.where(F.size("slots") <= WINDOW - SHORTEST)
 
 
 def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, tuple[int, ...]]:
-    """(item, bpos, h, bslots, item_windows) and the sizes of window that occur."""
+    """(item, bpos, h, bslots, places, item_windows) and the sizes of window that occur."""
     sized = bench.select(F.col(item).alias("item"), F.col(text).alias("text"), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("_n")).where(F.col("_n") >= SHORTEST)
     sized = save(sized.withColumn("_w", F.least("_n", F.lit(WINDOW))), "benchmark")
     sizes = tuple(sorted(r["_w"] for r in sized.select("_w").distinct().collect()))  # 5 values at most
     lots = None
     for w in sizes:
-        lot = windows(sized.where(F.col("_w") == w), "item", "text", (w,))
+        lot = windows(sized.where(F.col("_w") == w), "item", "text", (w,), True)
         lots = lot if lots is None else lots.unionByName(lot)
     if lots is None:
-        return bench.select(F.col(item).alias("item")).limit(0).selectExpr("item", "0 as bpos", "0L as h", "array('') as bslots", "0L as item_windows"), ()
-    lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"))
+        return bench.select(F.col(item).alias("item")).limit(0).selectExpr("item", "0 as bpos", "0L as h", "array('') as bslots", "array(0) as places", "0L as item_windows"), ()
+    lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"), "places")
     n = lots.groupBy("item").agg(F.countDistinct("bpos").alias("item_windows"))
     return save(lots.join(n, "item"), "benchmark-windows"), sizes
 
@@ -82,13 +96,19 @@ def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "
     own = windows(docs, ident, text, sizes or (WINDOW,))
     # the benchmark's windows go to all tasks only if they are few
     small = F.broadcast(known) if known.count() <= most else known
-    hits = own.join(small, "h").where(F.size("slots") == F.size("bslots")).select("id", "item", "pos", "bpos", "slots", "bslots", "item_windows")
-    hits = save(hits, "hits").withColumn("off", F.col("pos") - F.col("bpos"))
-    key = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), "item", "off"]
-    slot = hits.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip("bslots", "slots")).alias("s")).select("k", "item", "off", F.col("s.bslots").alias("b"), F.col("s.slots").alias("d"))
-    odd = slot.groupBy("k", "item", "off", "b").agg((F.min("d") != F.max("d")).alias("bad"), F.max(F.col("d") != F.col("b")).alias("new"))
-    odd = odd.groupBy("k", "item", "off").agg(F.max("bad").alias("bad"), F.max("new").alias("new"))
-    hits = hits.withColumn("k", key[0]).join(odd, ["k", "item", "off"], "left").where(~F.coalesce("bad", F.lit(False)))
+    hits = own.join(small, "h").where(F.size("slots") == F.size("bslots")).select("id", "item", "pos", "bpos", "slots", "bslots", "places", "item_windows")
+    hits = save(hits, "hits").withColumn("off", F.col("pos") - F.col("bpos")).withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    key = ["k", "item", "off"]
+    slot = hits.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip("bslots", "slots", "places")).alias("s"))
+    vote = slot.groupBy(*key, F.col("s.bslots").alias("b"), F.col("s.slots").alias("d")).agg(F.countDistinct("s.places").alias("n")).withColumn("own", F.col("d") == F.col("b"))
+    most = F.max(F.struct("n", "own", "d"))
+    vote = vote.groupBy(*key, "b").agg(most.alias("m"), F.sum("n").alias("all"), F.max(~F.col("own")).alias("new"))
+    # the item's own value needs no more places than any other
+    clear = F.col("m.own") | (2 * F.col("m.n") > F.col("all"))
+    odd = vote.groupBy(*key).agg(F.max(~clear).alias("torn"), F.max("new").alias("new"), F.map_from_entries(F.collect_list(F.struct("b", "m.d"))).alias("held"))
+    hits = hits.join(odd, key, "left")
+    fits = F.forall(F.arrays_zip("bslots", "slots"), lambda s: F.element_at("held", s["bslots"]) == s["slots"])
+    hits = hits.where((F.size("slots") == 0) | (F.col("slots") == F.col("bslots")) | (~F.col("torn") & fits))
     told = hits.groupBy("id", "item", "item_windows").agg(F.countDistinct("bpos").alias("n_windows"), (~F.coalesce(F.max("new"), F.lit(False))).alias("exact"))
     return told.where(F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(ENOUGH))).select(F.col("id").alias(ident), F.col("item").alias(item), "n_windows", "item_windows", "exact")
 

@@ -342,6 +342,17 @@ def test_templates(spark, odd, none):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_one_clash_does_not_hide_a_long_copy(spark):
+    text = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(72)]
+    text[10] = text[50] = "1987"
+    bench = spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")
+    edits = {1: {}, 2: {50: "1988"}, 3: {10: "1988", 50: "1989"}, 4: {10: "1988", 50: "1988"}}
+    docs = spark.createDataFrame([(k, " ".join(e.get(i, w) for i, w in enumerate(text))) for k, e in edits.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.item_windows, r.exact) for r in decontaminate.find(docs, bench).collect()}
+    # the windows with a year that clashes go, 8 a year
+    assert got == {1: (65, 65, True), 2: (57, 65, False), 3: (49, 65, False), 4: (65, 65, False)}
+
+
 # --- 10 ----------------------------------------------------------------------------------------------
 
 
