@@ -8,7 +8,9 @@ if each holds the value that most places of its slot have on the diagonal; where
 the former count. A document holds an item if the windows that count are all the item's, or at least 6
 (13 tokens on end), so re-parameterised questions are caught and chance templates aren't.
 
-Windows of more than 4 placeholders are no evidence and are left out. Edge cases: a null or empty text has
+Windows whose placeholders are more than half of their tokens are hashed with the values behind them, so they match only
+where these are the item's own. So that they don't raise the bar for re-parameterised questions, the windows of fewer
+placeholders also suffice if they are all of the item's, or 6. Edge cases: a null or empty text has
 no window; an item of 4 to 7 tokens is one window of its own length, a shorter one is never found; equal
 items are each found; rows that repeat a document id count together; a null id is a document like
 any other; other columns are ignored; texts are read whole.
@@ -43,7 +45,7 @@ def _canon(toks: Column) -> Column:
 
 
 def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), placed: bool = False) -> DataFrame:
-    """(id, pos, h, slots) of the windows of these sizes; slots: the values behind their placeholders, typed.
+    """(id, pos, h, slots, loose) of the windows of these sizes; slots: the values behind their placeholders, typed; loose: few enough of them for other values.
 
     With ``placed`` also places: those of the slots in the text.
     """
@@ -63,19 +65,19 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
 
         def one(i: Column) -> Column:
             held = F.when(F.col("vals").isNotNull(), F.array_compact(F.slice(F.col("vals"), i + 1, size))).otherwise(none)  # noqa: B023
-            return F.struct(i.alias("pos"), F.xxhash64(size, F.slice(F.col("hs"), i + 1, size)).alias("h"), held.alias("slots"))  # noqa: B023
+            return F.struct(i.alias("pos"), F.xxhash64(size, F.slice(F.col("hs"), i + 1, size)).alias("h"), held.alias("slots"), F.lit(w // 2).alias("most"))  # noqa: B023
 
         lot = F.transform(F.sequence(F.lit(0), F.size("hs") - w), one)
-        lots.append(F.when(F.size("hs") >= w, lot).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>>>")))
+        lots.append(F.when(F.size("hs") >= w, lot).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>,most:int>>")))
     d = d.select("id", F.explode(lots[0] if len(lots) == 1 else F.concat(*lots)).alias("w"))
-    d = d.select("id", "w.pos", "w.h", "w.slots")
+    d = d.select("id", "w.pos", "w.h", "w.slots", (F.size("w.slots") <= F.col("w.most")).alias("loose"))
     if placed:
         d = d.withColumn("places", F.transform("slots", lambda v: F.substring_index(v, PLACE, -1).cast("int"))).withColumn("slots", F.transform("slots", lambda v: F.substring_index(v, PLACE, 1)))
-    return d.where(F.size("slots") <= WINDOW - SHORTEST)
+    return d.withColumn("h", F.when(F.col("loose"), F.col("h")).otherwise(F.xxhash64("h", "slots")))
 
 
 def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, tuple[int, ...]]:
-    """(item, bpos, h, bslots, places, item_windows) and the sizes of window that occur."""
+    """(item, bpos, h, bslots, places, loose, item_windows, item_loose) and the sizes of window that occur."""
     sized = bench.select(F.col(item).alias("item"), F.col(text).alias("text"), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("_n")).where(F.col("_n") >= SHORTEST)
     sized = save(sized.withColumn("_w", F.least("_n", F.lit(WINDOW))), "benchmark")
     sizes = tuple(sorted(r["_w"] for r in sized.select("_w").distinct().collect()))  # 5 values at most
@@ -84,19 +86,19 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
         lot = windows(sized.where(F.col("_w") == w), "item", "text", (w,), True)
         lots = lot if lots is None else lots.unionByName(lot)
     if lots is None:
-        return bench.select(F.col(item).alias("item")).limit(0).selectExpr("item", "0 as bpos", "0L as h", "array('') as bslots", "array(0) as places", "0L as item_windows"), ()
-    lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"), "places")
-    n = lots.groupBy("item").agg(F.countDistinct("bpos").alias("item_windows"))
+        return bench.select(F.col(item).alias("item")).limit(0).selectExpr("item", "0 as bpos", "0L as h", "array('') as bslots", "array(0) as places", "true as loose", "0L as item_windows", "0L as item_loose"), ()
+    lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"), "places", "loose")
+    n = lots.groupBy("item").agg(F.countDistinct("bpos").alias("item_windows"), F.countDistinct(F.when(F.col("loose"), F.col("bpos"))).alias("item_loose"))
     return save(lots.join(n, "item"), "benchmark-windows"), sizes
 
 
 def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = 500_000) -> DataFrame:
     """Pairs: ident, item, n_windows, item_windows, exact (every slot has the item's own value)."""
     known, sizes = benchmark_windows(bench, item, item_text)
-    own = windows(docs, ident, text, sizes or (WINDOW,))
+    own = windows(docs, ident, text, sizes or (WINDOW,)).drop("loose")
     # the benchmark's windows go to all tasks only if they are few
     small = F.broadcast(known) if known.count() <= most else known
-    hits = own.join(small, "h").where(F.size("slots") == F.size("bslots")).select("id", "item", "pos", "bpos", "slots", "bslots", "places", "item_windows")
+    hits = own.join(small, "h").where(F.size("slots") == F.size("bslots")).select("id", "item", "pos", "bpos", "slots", "bslots", "places", "loose", "item_windows", "item_loose")
     hits = save(hits, "hits").withColumn("off", F.col("pos") - F.col("bpos")).withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit("")))
     key = ["k", "item", "off"]
     slot = hits.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip("bslots", "slots", "places")).alias("s"))
@@ -109,8 +111,10 @@ def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "
     hits = hits.join(odd, key, "left")
     fits = F.forall(F.arrays_zip("bslots", "slots"), lambda s: F.element_at("held", s["bslots"]) == s["slots"])
     hits = hits.where((F.size("slots") == 0) | (F.col("slots") == F.col("bslots")) | (~F.col("torn") & fits))
-    told = hits.groupBy("id", "item", "item_windows").agg(F.countDistinct("bpos").alias("n_windows"), (~F.coalesce(F.max("new"), F.lit(False))).alias("exact"))
-    return told.where(F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(ENOUGH))).select(F.col("id").alias(ident), F.col("item").alias(item), "n_windows", "item_windows", "exact")
+    n_loose = F.countDistinct(F.when(F.col("loose"), F.col("bpos"))).alias("n_loose")
+    told = hits.groupBy("id", "item", "item_windows", "item_loose").agg(F.countDistinct("bpos").alias("n_windows"), n_loose, (~F.coalesce(F.max("new"), F.lit(False))).alias("exact"))
+    enough = (F.col("n_windows") >= F.least("item_windows", F.lit(ENOUGH))) | ((F.col("n_loose") > 0) & (F.col("n_loose") >= F.least("item_loose", F.lit(ENOUGH))))
+    return told.where(enough).select(F.col("id").alias(ident), F.col("item").alias(item), "n_windows", "item_windows", "exact")
 
 
 def clean(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", **kw) -> DataFrame:

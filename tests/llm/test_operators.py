@@ -353,6 +353,17 @@ def test_one_clash_does_not_hide_a_long_copy(spark):
     assert got == {1: (65, 65, True), 2: (57, 65, False), 3: (49, 65, False), 4: (65, 65, False)}
 
 
+def test_items_rich_in_numbers(spark):
+    sums = "Compute 12 + 15 * 3 - 4 / 2 + 8 - 6 * 9 + 7 - 11 * 14 + 21 and round 5"
+    # one window of 8 with 4 numbers, five with more
+    mixed = "we add up all {} {} {} {} {} {} {} {} {}"
+    bench = spark.createDataFrame([(1, sums), (2, "1 2 3 4"), (3, mixed.format(*range(31, 40)))], "item_id long, text string")
+    texts = {1: "now " + sums.lower(), 2: "now " + sums.replace("15", "16").replace("9", "8"), 3: "row 9 8 7 6 5", 4: "row 1 2 3 4 5", 5: mixed.format(*range(41, 50)), 6: "they say " + mixed.format(*range(31, 40))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.exact) for r in decontaminate.find(docs, bench).collect()}
+    assert got == {(1, 1): (9, 9, True), (4, 2): (1, 1, True), (5, 3): (1, 6, False), (6, 3): (6, 6, True)}
+
+
 # --- 10 ----------------------------------------------------------------------------------------------
 
 
