@@ -2,14 +2,16 @@
 
 Texts are cut into words and numbers. Numbers, units after a number, and capitalised words within a sentence
 become typed placeholders; other words are lower-cased, and punctuation falls away. Every window of 8 such
-tokens of every document is hash-joined with those of the benchmark. Matches on one diagonal (document place minus
+tokens of every document is hash-joined with those of the benchmark, in a second form too: with its numbers as the only
+placeholders. As what stands before a word makes it a name or a unit, only that form is the same in every context. Of an
+item, the words that begin a sentence are also taken as names. Matches on one diagonal (document place minus
 item place) are an occurrence. A window counts if it has no slots or they hold the item's own values, and otherwise
 if each holds the value that most places of its slot have on the diagonal; where a slot has no such value, only
 the former count. A document holds an item if the windows that count are all the item's, or at least 6
 (13 tokens on end), so re-parameterised questions are caught and chance templates aren't.
 
-Windows whose placeholders are more than half of their tokens are hashed with the values behind them, so they match only
-where these are the item's own. So that they don't raise the bar for re-parameterised questions, the windows of fewer
+Windows whose numbers are more than half of their tokens are hashed with the values behind them, so they match only
+where these are the item's own; those with more than half placeholders, names and units included, have the second form only. So that they don't raise the bar for re-parameterised questions, the windows of fewer
 placeholders also suffice if they are all of the item's, or 6. Edge cases: a null or empty text has
 no window; an item of 4 to 7 tokens is one window of its own length, a shorter one is never found; equal
 items are each found; rows that repeat a document id count together; a null id is a document like
@@ -31,6 +33,8 @@ PLACE = "\u0002"
 TOKEN = r"\x01?(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)"
 #: Before a capitalised word that no sentence begins with.
 WITHIN = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
+#: Before any capitalised word: what an item's sentences begin with may stand within a document's.
+ANYWHERE = r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})"
 
 
 def _canon(toks: Column) -> Column:
@@ -44,20 +48,22 @@ def _canon(toks: Column) -> Column:
     return F.transform(toks, one)
 
 
-def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), placed: bool = False) -> DataFrame:
+def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), placed: bool = False, names: str = WITHIN) -> DataFrame:
     """(id, pos, h, slots, loose) of the windows of these sizes; slots: the values behind their placeholders, typed; loose: few enough of them for other values.
 
     With ``placed`` also places: those of the slots in the text.
     """
-    d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(F.regexp_replace(F.col(text), WITHIN, "\u0001"), F.lit(TOKEN), F.lit(0)).alias("toks"))
+    d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(F.regexp_replace(F.col(text), names, "\u0001"), F.lit(TOKEN), F.lit(0)).alias("toks"))
     d = d.where(F.size("toks") >= min(sizes)).withColumn("canon", _canon(F.col("toks")))
     marked = F.exists("canon", lambda c: c.startswith("\u0001"))
 
     def val(c: Column, i: Column) -> Column:
-        said = F.concat(c, F.lower(F.get("toks", i)))
+        said = F.concat(c, F.get("words", i))
         return F.when(c.startswith("\u0001"), F.concat(said, F.lit(PLACE), i.cast("string")) if placed else said)
 
-    d = d.select("id", F.transform("canon", lambda c: F.xxhash64(c)).alias("hs"), F.when(marked, F.transform("canon", val)).alias("vals"))
+    d = d.withColumn("words", F.transform("toks", lambda t: F.translate(F.lower(t), "\u0001", "")))
+    plain = F.zip_with("canon", "words", lambda c, t: F.xxhash64(F.when(c == NUM, c).otherwise(t)))
+    d = d.select("id", F.transform("canon", lambda c: F.xxhash64(c)).alias("hs"), plain.alias("ps"), F.when(marked, F.transform("canon", val)).alias("vals"))
     none = F.array().cast("array<string>")
     lots = []
     for w in sizes:
@@ -65,15 +71,21 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
 
         def one(i: Column) -> Column:
             held = F.when(F.col("vals").isNotNull(), F.array_compact(F.slice(F.col("vals"), i + 1, size))).otherwise(none)  # noqa: B023
-            return F.struct(i.alias("pos"), F.xxhash64(size, F.slice(F.col("hs"), i + 1, size)).alias("h"), held.alias("slots"), F.lit(w // 2).alias("most"))  # noqa: B023
+            return F.struct(i.alias("pos"), F.xxhash64(size, F.slice(F.col("hs"), i + 1, size)).alias("h"), F.xxhash64(size, F.slice(F.col("ps"), i + 1, size)).alias("p"), held.alias("slots"), F.lit(w // 2).alias("most"))  # noqa: B023
 
         lot = F.transform(F.sequence(F.lit(0), F.size("hs") - w), one)
-        lots.append(F.when(F.size("hs") >= w, lot).otherwise(F.array().cast("array<struct<pos:int,h:bigint,slots:array<string>,most:int>>")))
+        lots.append(F.when(F.size("hs") >= w, lot).otherwise(F.array().cast("array<struct<pos:int,h:bigint,p:bigint,slots:array<string>,most:int>>")))
     d = d.select("id", F.explode(lots[0] if len(lots) == 1 else F.concat(*lots)).alias("w"))
-    d = d.select("id", "w.pos", "w.h", "w.slots", (F.size("w.slots") <= F.col("w.most")).alias("loose"))
+    d = d.select("id", "w.pos", "w.h", "w.p", "w.slots", "w.most", (F.size("w.slots") <= F.col("w.most")).alias("loose"))
     if placed:
         d = d.withColumn("places", F.transform("slots", lambda v: F.substring_index(v, PLACE, -1).cast("int"))).withColumn("slots", F.transform("slots", lambda v: F.substring_index(v, PLACE, 1)))
-    return d.withColumn("h", F.when(F.col("loose"), F.col("h")).otherwise(F.xxhash64("h", "slots")))
+    d = d.withColumn("nums", F.filter("slots", lambda v: v.startswith(NUM)))
+    more = ["places"] if placed else []
+    own = [F.filter("places", lambda v, i: F.get("slots", i).startswith(NUM)).alias("places")] if placed else []
+    one = F.struct(F.when(F.size("nums") <= F.col("most"), F.col("p")).otherwise(F.xxhash64("p", "nums")).alias("h"), F.col("nums").alias("slots"), *own)
+    both = F.array(one, F.struct("h", "slots", *more))
+    d = d.select("id", "pos", "loose", F.explode(F.when(F.col("loose") & (F.size("nums") < F.size("slots")), both).otherwise(F.array(one))).alias("w"))
+    return d.select("id", "pos", "loose", "w.*")
 
 
 def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, tuple[int, ...]]:
@@ -83,11 +95,12 @@ def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text
     sizes = tuple(sorted(r["_w"] for r in sized.select("_w").distinct().collect()))  # 5 values at most
     lots = None
     for w in sizes:
-        lot = windows(sized.where(F.col("_w") == w), "item", "text", (w,), True)
-        lots = lot if lots is None else lots.unionByName(lot)
+        for names in (WITHIN, ANYWHERE):
+            lot = windows(sized.where(F.col("_w") == w), "item", "text", (w,), True, names)
+            lots = lot if lots is None else lots.unionByName(lot)
     if lots is None:
         return bench.select(F.col(item).alias("item")).limit(0).selectExpr("item", "0 as bpos", "0L as h", "array('') as bslots", "array(0) as places", "true as loose", "0L as item_windows", "0L as item_loose"), ()
-    lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"), "places", "loose")
+    lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"), "places", "loose").distinct()
     n = lots.groupBy("item").agg(F.countDistinct("bpos").alias("item_windows"), F.countDistinct(F.when(F.col("loose"), F.col("bpos"))).alias("item_loose"))
     return save(lots.join(n, "item"), "benchmark-windows"), sizes
 

@@ -364,6 +364,17 @@ def test_items_rich_in_numbers(spark):
     assert got == {(1, 1): (9, 9, True), (4, 2): (1, 1, True), (5, 3): (1, 6, False), (6, 3): (6, 6, True)}
 
 
+def test_context_does_not_hide_a_copy(spark):
+    item = "Every morning the baker in Ghent sells warm bread to nine people"
+    two = "He went home. Then Anna called the old man. Later Bob came by"
+    days = "Days pass slowly when nobody calls us"
+    bench = spark.createDataFrame([(1, item), (2, two), (3, days)], "item_id long, text string")
+    texts = {1: "we read , " + item, 2: "It ends. " + item, 3: item.lower(), 4: "they say " + two.replace(".", ""), 5: "after 3 " + days, 6: "we read , " + item.replace("Ghent", "Rome"), 7: "we read. " + item.replace("Ghent", "Rome")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows == r.item_windows, r.exact) for r in decontaminate.find(docs, bench).collect()}
+    assert got == {(1, 1): (True, True), (2, 1): (True, True), (3, 1): (True, True), (4, 2): (True, True), (5, 3): (True, True), (6, 1): (True, False), (7, 1): (True, False)}
+
+
 # --- 10 ----------------------------------------------------------------------------------------------
 
 
