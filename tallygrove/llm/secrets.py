@@ -4,7 +4,7 @@ Every whole text is searched for assignments, access keys and long hexadecimal s
 strings (runs of 20 or more key characters that aren't plain words) are read character by character: a window
 of 20 moves along, the counts of its characters change by one in and one out, and the sum of
 ``count * log2(count)`` with them, which gives the window's Shannon entropy. Each class of characters has
-its own alphabet and threshold. What overlaps a pattern's span, or holds an allow-listed string, adds no span.
+its own alphabet and threshold, and every candidate is of one class. What overlaps a pattern's span, or holds an allow-listed string, adds no span.
 
 Offsets are code points, ends exclusive. Edge cases: a null or empty text has no spans; rows that
 repeat are scanned each; other columns are ignored; very long texts are scanned whole.
@@ -29,7 +29,11 @@ WINDOW = 20
 CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 2.9),
     ("upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.4),
+    ("lower", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 3.4),
     ("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.8),
+    # with one case and symbols; 99 in 100 windows of random characters have 3.48 bits or more
+    ("lower_marks", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_=-]+$", "0123456789abcdefghijklmnopqrstuvwxyz+/_=-", 3.45),
+    ("upper_marks", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9+/_=-]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.45),
 )
 ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|your_?key|xxxx|0000000|12345678|abcdefgh|(.)\1{5}"
 

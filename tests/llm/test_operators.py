@@ -135,6 +135,17 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+def test_keys_of_one_case(spark, letters):
+    rng = np.random.default_rng(2)
+    texts = ["k3j5h2g9x8w7v6z5q4m1"] + ["".join(rng.choice(list(letters), 40)) for _ in range(30)] + ["a1" * 20, "A1-" * 10, "a1_" * 10]
+    rows = [(k, f"key {t} end") for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_entropy, r.spans) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (1, "entropy:4:24")
+    assert all(got[k][0] == 1 for k in range(31)) and all(got[k][0] == 0 for k in range(31, 34))
+    assert all(got[k][1] == brute_secrets(t)[2] for k, t in rows)
+
+
 # --- 4 -----------------------------------------------------------------------------------------------
 
 
