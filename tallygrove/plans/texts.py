@@ -27,6 +27,13 @@ def lexicon_fuzzy(spark, d):
     return signals.match_tokens(toks, spark.createDataFrame(LEXICON, "ord int, kw string, label string"))
 
 
+@register()
+def lexicon_fuzzy_documents(spark, d):
+    """All distinct tokens of documents, whatever their characters; without SQL, as DuckDB's distance is one of bytes."""
+    toks = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), "[ \\n]+")).alias("token"))
+    return signals.match_tokens(toks, spark.createDataFrame(LEXICON, "ord int, kw string, label string"))
+
+
 @register(f"""WITH s AS (SELECT doc_id, arg_min(label, ord) AS label FROM documents JOIN {_LEX_SQL} ON contains(lower(text), kw) GROUP BY doc_id)
 SELECT doc_id, label, list_sort(list_distinct(list(kw))) AS synonyms, arg_min(kw, ord) AS first_kw FROM s JOIN {_LEX_SQL} USING (label) GROUP BY ALL""")
 def lexicon_expand(spark, d):

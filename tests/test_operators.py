@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.lexicon import SUBJECT_EN
 from tallygrove.operators import enrich, extract, fit, learn, search, signals, tables, views
+from tallygrove.plans import texts
 from tallygrove.sources import documents as D
 from tallygrove.streaming.ingest import ingest
 
@@ -86,6 +87,29 @@ def test_learn(spark):
     assert sorted(tuple(r) for r in learn.standardise(d, ["x", "y"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
+def test_fuzzy_lexicon_takes_every_token(spark, tmp_path):
+    lex = [(o, k, v) for o, k, v in texts.LEXICON]
+    said = "The, der. que, éque qué tökén token1 token-2 passw0rd the_ 1the licensed\nthé the der"
+    spark.createDataFrame([(1, said), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {}
+    for t in set(said.lower().replace("\n", " ").split(" ")):
+        near = [(far(t, k), o, v) for o, k, v in lex if t == k or (len(t) >= 4 and far(t, k) <= 1)]
+        if near:
+            want[t] = min(near)[2]
+    got = {r.token: r.label for r in texts.lexicon_fuzzy_documents(spark, str(tmp_path)).collect()}
+    assert got == want and {"the,", "der.", "éque", "token1", "passw0rd"} <= set(got) and "tökén" not in got
+
+
 def test_views(spark):
     names = F.create_map(F.lit("61"), F.lit("Math"))
     assert spark.range(1).select(views.display_codes(F.array(F.lit("61"), F.lit("99")), names)).first()[0] == "Math, 99"
