@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct labels an agglomerative clustering takes; beyond it, it stops.
+from .tables import surrogate
+
+#: Labels an agglomerative clustering takes in one step; more are split where no merge can cross, and beyond it a part stops.
 MOST_LABELS = 5000
 
 
@@ -50,20 +52,71 @@ def average_linkage(vecs: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(owner, return_inverse=True)[1]
 
 
-def cluster_labels(df: DataFrame, label: str, vec: str, count: str, cut: float = 0.40) -> DataFrame:
-    """(label, cluster, representative): of distinct labels, which are a vocabulary; more than ``MOST_LABELS`` is an error."""
-    n = df.count()
-    if n > MOST_LABELS:
-        raise ValueError(f"{n} labels; {MOST_LABELS} are the most")
+def near_parts(d: DataFrame, cut: float, block: int) -> DataFrame:
+    """(label, part): labels that a chain of distances up to ``cut`` connects. No cluster of average linkage crosses parts.
+
+    Blocks meet in pairs; each pair gives a forest, and the driver joins them, with an entry a label.
+    """
+    d = d.select("label", "vec")
+    blocks = max(1, -(-d.count() // block))
+
+    def span(p: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack([np.asarray(x, float) for x in p["vec"]])
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        left, told = np.arange(len(v)), []
+        while len(left):
+            root, front, left = left[0], left[:1], left[1:]
+            while len(front) and len(left):
+                near = np.zeros(len(left), bool)
+                for k in range(0, len(front), 256):
+                    near |= (1 - v[front[k : k + 256]] @ v[left].T <= cut + 1e-9).any(axis=0)
+                front, left = left[near], left[~near]
+                told += [(root, j) for j in front]
+        lab = p["label"].to_numpy()
+        return pd.DataFrame({"a": [lab[i] for i, _ in told], "b": [lab[j] for _, j in told]}, dtype=object)
+
+    mine = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
+    both = d.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    edges = both.groupBy(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(span, "a string, b string")
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for a, b in edges.toLocalIterator():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    known = d.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], "label string, part string")
+    return d.select("label").join(known, "label", "left").select("label", F.coalesce("part", "label").alias("part"))
+
+
+def cluster_labels(df: DataFrame, label: str, vec: str, count: str, cut: float = 0.40, most: int = MOST_LABELS) -> DataFrame:
+    """(label, cluster, representative): of distinct labels, numbered by their smallest.
+
+    More than ``most`` are clustered in the parts of ``near_parts``, with the same result; a part beyond it is an error.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("label").reset_index(drop=True)
         v = np.stack([np.asarray(x, float) for x in p["vec"]])
         v /= np.linalg.norm(v, axis=1)[:, None]
-        return pd.DataFrame({"label": p["label"], "cluster": average_linkage(v, cut), "n": p["n"]})
+        own = average_linkage(v, cut)
+        return pd.DataFrame({"label": p["label"], "first": p["label"].groupby(own).transform("min"), "n": p["n"]})
 
     d = df.select(F.col(label).cast("string").alias("label"), F.col(vec).alias("vec"), F.col(count).cast("long").alias("n"))
-    c = d.groupBy().applyInPandas(run, "label string, cluster int, n long")
+    if d.count() <= most:
+        parts = d.withColumn("part", F.lit(""))
+    else:
+        parts = d.join(near_parts(d, cut, most), "label")
+        n = parts.groupBy("part").count().agg(F.max("count")).first()[0]
+        if n > most:
+            raise ValueError(f"{n} labels that near ones connect; {most} are the most")
+    c = parts.groupBy("part").applyInPandas(run, "label string, first string, n long")
+    ids = surrogate(c.select("first").distinct(), ["first"]).select("first", (F.col("id") - 1).cast("int").alias("cluster"))
+    c = c.join(ids, "first").select("label", "cluster", "n")
     return c.join(representatives(c), "cluster").select("label", "cluster", "representative")
 
 

@@ -99,8 +99,9 @@ def kmeans_topics(spark, d):
 
 @register()
 def agglomerative(spark, d):
-    e = learn.mean_vectors(table(spark, d, "embeddings").withColumn("g", F.col("vec_id") % 100), "g", "embedding")
-    return learn.cluster_labels(e.withColumn("n", F.lit(1)), "g", "centroid", "n", 0.6)
+    """The vectors themselves, each under its id, at the reference's cut."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.lit(1).alias("n"))
+    return learn.cluster_labels(e, "vec_id", "embedding", "n")
 
 
 @register()

@@ -1,10 +1,13 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallygrove.functions.lexicon import SUBJECT_EN
 from tallygrove.operators import enrich, extract, fit, learn, search, signals, tables, views
+from tallygrove.plans import ingest as ingest_queries
 from tallygrove.plans import texts
 from tallygrove.sources import documents as D
 from tallygrove.streaming.ingest import ingest
@@ -110,6 +113,28 @@ def test_fuzzy_lexicon_takes_every_token(spark, tmp_path):
     assert got == want and {"the,", "der.", "éque", "token1", "passw0rd"} <= set(got) and "tökén" not in got
 
 
+def test_clustering_in_parts_is_the_clustering_of_all(spark):
+    rng = np.random.default_rng(6)
+    far = np.eye(12)[rng.integers(0, 12, 150)]
+    v = far + rng.normal(size=far.shape) * 0.13
+    d = spark.createDataFrame([(str(k), [float(x) for x in r], 1) for k, r in enumerate(v)], "l string, v array<double>, n int")
+    whole = sorted(map(tuple, learn.cluster_labels(d, "l", "v", "n").collect()))
+    assert len({c for _, c, _ in whole}) < 150 and len(whole) == 150
+    assert sorted(map(tuple, learn.cluster_labels(d, "l", "v", "n", most=40).collect())) == whole
+    order = sorted(range(150), key=str)
+    unit = v[order] / np.linalg.norm(v[order], axis=1)[:, None]
+    assert {str(k): int(c) for k, c in zip(order, learn.average_linkage(unit, 0.4), strict=True)} == {lab: c for lab, c, _ in whole}
+    with pytest.raises(ValueError):
+        learn.cluster_labels(d, "l", "v", "n", most=5)
+
+
+def test_agglomerative_clusters_the_vectors(spark):
+    sf = "/root/testdata/sf0.001"
+    got = ingest_queries.agglomerative(spark, sf).collect()
+    ids = {str(r.vec_id) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert {r.label for r in got} == ids and len(got) == len(ids)
+
+
 def test_views(spark):
     names = F.create_map(F.lit("61"), F.lit("Math"))
     assert spark.range(1).select(views.display_codes(F.array(F.lit("61"), F.lit("99")), names)).first()[0] == "Math, 99"
