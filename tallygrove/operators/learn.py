@@ -134,13 +134,15 @@ def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
     return d.select(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def kmeans(df: DataFrame, cols: list[str] | None = None, vec: str | None = None, k: int = 8, starts: int = 3) -> DataFrame:
-    """The input with ``topic``: of several seeded starts the one of least cost."""
+def kmeans(df: DataFrame, cols: list[str] | None = None, vec: str | None = None, k: int = 8, starts: int = 3, scale: bool = False) -> DataFrame:
+    """The input with ``topic``: of several seeded starts the one of least cost; ``scale`` standardises the columns first."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import array_to_vector
 
     d = VectorAssembler(inputCols=cols, outputCol="_f").transform(df) if cols else df.withColumn("_f", array_to_vector(F.col(vec).cast("array<double>")))
+    if scale:
+        d = StandardScaler(inputCol="_f", outputCol="_z", withMean=True).fit(d).transform(d).drop("_f").withColumnRenamed("_z", "_f")
     best = min((KMeans(k=k, seed=s, featuresCol="_f", predictionCol="topic").fit(d) for s in range(starts)), key=lambda m: m.summary.trainingCost)
     return best.transform(d).drop("_f")
 

@@ -94,7 +94,7 @@ def cluster_rep(spark, d):
 
 @register()
 def kmeans_topics(spark, d):
-    return learn.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), vec="embedding", k=8, starts=2).select("vec_id", "topic")
+    return learn.kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), vec="embedding", k=8, starts=10, scale=True).select("vec_id", "topic")
 
 
 @register()
@@ -111,7 +111,7 @@ def mlp_classify(spark, d):
     size = F.greatest(F.length("text"), F.lit(1))
     f = docs.select("doc_id", *[(F.regexp_count("text", F.lit(rx)) / size).alias(k) for k, rx in (("caps", "[A-Z]"), ("marks", "[!|#$%&*]"), ("digits", "[0-9]"), ("stops", "[.,]"))])
     t = learn.stratified_split(f.join(table(spark, d, "labels"), "doc_id"), "quality", ["doc_id"])
-    return learn.report(learn.classify(t, ["caps", "marks", "digits", "stops"], "quality", (8,), 50), "quality", "prediction")
+    return learn.report(learn.classify(t, ["caps", "marks", "digits", "stops"], "quality", (64, 32), 400), "quality", "prediction")
 
 
 @register("""WITH p AS (SELECT quality AS l, (d.doc_id % 3 > 0)::INT AS p FROM labels JOIN documents d USING (doc_id)),

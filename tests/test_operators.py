@@ -135,6 +135,19 @@ def test_agglomerative_clusters_the_vectors(spark):
     assert {r.label for r in got} == ids and len(got) == len(ids)
 
 
+def test_learning_queries_do_the_whole_job(spark, monkeypatch):
+    d = spark.createDataFrame([(k, [float(k % 2), 1000.0 * (k * 7 % 40)]) for k in range(40)], "k int, v array<double>")
+    for scale, n in ((False, 2), (True, 1)):
+        got = {r.k: r.topic for r in learn.kmeans(d, vec="v", k=2, starts=10, scale=scale).collect()}
+        assert len({got[k] for k in range(0, 40, 2)}) == n
+    asked = {}
+    monkeypatch.setattr(learn, "kmeans", lambda df, **kw: asked.update(kw) or df.withColumn("topic", F.lit(0)))
+    monkeypatch.setattr(learn, "classify", lambda df, f, label, hidden=(64, 32), rounds=100: asked.update(hidden=hidden, rounds=rounds) or df.withColumn("prediction", F.lit(0)))
+    ingest_queries.kmeans_topics(spark, "/root/testdata/sf0.001")
+    ingest_queries.mlp_classify(spark, "/root/testdata/sf0.001")
+    assert (asked["starts"], asked["scale"], asked["hidden"], asked["rounds"]) == (10, True, (64, 32), 400)
+
+
 def test_views(spark):
     names = F.create_map(F.lit("61"), F.lit("Math"))
     assert spark.range(1).select(views.display_codes(F.array(F.lit("61"), F.lit("99")), names)).first()[0] == "Math, 99"
