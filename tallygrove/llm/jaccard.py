@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, parts, save, split_hot, text_slices, without, word_bounds, word_hashes
@@ -428,14 +428,16 @@ def join(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_one(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id. Of rows that repeat its id, one stays."""
-    told = save(join(df, ident, text), "joined")
-    out = without(df, ident, told.where(F.col(ident) != F.col("component_id")).select(ident))
-    again = told.groupBy(ident).count().where(F.col("count") > 1).where(F.col(ident).isNotNull()).limit(1)
+    """One row of each group: that with the smallest id. Rows that repeat an id, or have none, are rows like any other."""
+    again = df.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).limit(1)
     if not again.count():
-        return out
-    w = Window.partitionBy(ident).orderBy(F.md5(text), *[c for c in df.columns if c not in (ident, text)])
-    return out.withColumn("_k", F.when(F.col(ident).isNull(), F.lit(1)).otherwise(F.row_number().over(w))).where("_k = 1").drop("_k")
+        told = save(join(df, ident, text), "joined")
+        return without(df, ident, told.where(F.col(ident) != F.col("component_id")).select(ident))
+    # ids don't tell the rows apart: numbers in the order of the ids do
+    order = [F.asc_nulls_last(ident), F.md5(text), *[c for c in df.columns if c not in (ident, text)]]
+    rows = save(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    told = save(join(rows, "_row", text), "joined")
+    return without(rows, "_row", told.where(F.col("_row") != F.col("component_id")).select("_row")).drop("_row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -293,6 +293,13 @@ def test_join_against_brute_force(spark, odd, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "None"]
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c = "one two three four five six", "other words that are not near it", "a tail of some seven words here"
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (5, b), (6, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (None, c), (6, None)], key=str)
+
+
 def test_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(4)
     sets = []
