@@ -63,15 +63,13 @@ def near_parts(d: DataFrame, cut: float, block: int) -> DataFrame:
     def span(p: pd.DataFrame) -> pd.DataFrame:
         v = np.stack([np.asarray(x, float) for x in p["vec"]])
         v /= np.linalg.norm(v, axis=1)[:, None]
-        left, told = np.arange(len(v)), []
-        while len(left):
-            root, front, left = left[0], left[:1], left[1:]
-            while len(front) and len(left):
-                near = np.zeros(len(left), bool)
-                for k in range(0, len(front), 256):
-                    near |= (1 - v[front[k : k + 256]] @ v[left].T <= cut + 1e-9).any(axis=0)
-                front, left = left[near], left[~near]
-                told += [(root, j) for j in front]
+        comp = np.arange(len(v))
+        for k in range(0, len(v), 256):
+            for row in 1 - v[k : k + 256] @ v.T <= cut + 1e-9:
+                met = comp[row]
+                if len(met) > 1 and (met != met[0]).any():
+                    comp[np.isin(comp, met)] = met.min()
+        told = [(i, j) for j, i in enumerate(comp) if i != j]
         lab = p["label"].to_numpy()
         return pd.DataFrame({"a": [lab[i] for i, _ in told], "b": [lab[j] for _, j in told]}, dtype=object)
 
