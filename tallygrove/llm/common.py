@@ -253,10 +253,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def open_fs(uri: str):
-    """(file system, path) of a URI, in any store that Arrow reaches."""
+    """(file system, path) of a URI, in any store that Arrow reaches; Hadoop's names of a store are known too."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(scheme, scheme) + colon + rest if colon else uri)
 
 
 class Rolling:
@@ -284,31 +285,70 @@ class Rolling:
 
     def close(self) -> str:
         self.out.close()
-        self.fs.move(self.temp, f"{self.root}/{self.name}")
+        final = f"{self.root}/{self.name}"
+        there = self.fs.get_file_info(final)
+        if there.is_file and there.size == self.size:  # an earlier attempt's, and the bytes don't depend on the attempt
+            self.fs.delete_file(self.temp)
+        else:
+            if there.is_file:  # not every store renames onto a name that exists
+                self.fs.delete_file(final)
+            self.fs.move(self.temp, final)
         self.out, self.seq = None, self.seq + 1
         return self.name
 
 
+def commit(manifest: DataFrame, root: str) -> DataFrame:
+    """Write the manifest below the files that it names, last of all; a folder that has one already is refused."""
+    path = f"{root.rstrip('/')}/manifest"
+    manifest.write.parquet(path)
+    return manifest.sparkSession.read.schema(manifest.schema).parquet(path)
+
+
+def manifest_of(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest of a folder that was written, in this session or another."""
+    return spark.read.parquet(f"{root.rstrip('/')}/manifest")
+
+
 # --- ranges that are the same in every run --------------------------------------------------------
 
 
-def range_shards(df: DataFrame, col: str, per: int = 20) -> DataFrame:
-    """Adds ``shard``: the number of a range of a long column, nulls in the first; sorted ranges are dealt out in order.
+LEAST_ID = -(1 << 63)
+
+
+def range_bounds(slim: DataFrame, col: str, tie: str, size: str, per: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of as many ranges of (long column, nulls first; ``tie``, a long) as Spark shuffles to, of about equal sums of ``size``.
+
+    They come from a sample by hash, about ``per`` rows a range, so the same rows give the same bounds in every run,
+    unlike the ranges that Spark samples by itself.
+    """
+    n = parts(slim.sparkSession)
+    every = max(1, slim.count() // (per * n))
+    key = F.coalesce(F.col(col), F.lit(LEAST_ID)).alias("_at")
+    some = slim.select(key, tie, size).where(F.pmod(F.xxhash64("_at", tie, F.lit(3)), F.lit(every)) == 0).groupBy("_at", tie).agg(F.sum(size).cast("double")).collect()
+    some.sort(key=lambda r: (r[0], r[1]))
+    ids, ties = (np.array([r[k] for r in some], np.int64) for k in (0, 1))
+    upto = np.cumsum([r[2] or 0.0 for r in some])
+    cut = np.unique(np.searchsorted(upto, np.linspace(0, upto[-1], n + 1)[1:-1])) if len(some) and upto[-1] > 0 else np.zeros(0, np.int64)
+    return ids[cut], ties[cut]
+
+
+def range_shards(df: DataFrame, col: str, tie: str, bounds: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows dealt to the ranges, so that partition k is range k and rows with one value of the column, or none, may be cut by ``tie``.
 
-    Spark samples the bounds of its own ranges differently in every plan. These come from a sample by
-    hash of the values (about ``per`` a shard), so the same rows are cut at the same places every time.
+    Adds ``shard``, the number of the range, and ``_at``, the column with nulls as the least long.
     """
-    n = parts(df.sparkSession)
-    every = max(1, df.count() // (per * n))
-    some = df.select(col).where(F.col(col).isNotNull() & (F.pmod(F.xxhash64(col, F.lit(3)), F.lit(every)) == 0)).distinct().collect()
-    ids = np.sort(np.array([r[0] for r in some], np.int64))
-    bounds = np.unique(ids[np.linspace(0, len(ids), n + 1)[1:-1].astype(int)]) if len(ids) else ids
+    ids, ties = bounds
 
     @F.pandas_udf(T.IntegerType())
-    def shard(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.isna(), 0, np.searchsorted(bounds, x.fillna(0).astype("int64"), side="right")).astype("int32"))
+    def shard(at: pd.Series, tie: pd.Series) -> pd.Series:
+        x, y = at.to_numpy(), tie.to_numpy()
+        low, high = np.searchsorted(ids, x, side="left"), np.searchsorted(ids, x, side="right")
+        for k in np.flatnonzero(high > low):  # a bound has this very value
+            low[k] += np.searchsorted(ties[low[k] : high[k]], y[k], side="right")
+        return pd.Series(low.astype("int32"))
 
-    return df.withColumn("shard", shard(F.col(col)))
+    df = df.withColumn("_at", F.coalesce(F.col(col), F.lit(LEAST_ID)))
+    return df.withColumn("shard", shard("_at", tie)).repartitionById(parts(df.sparkSession), "shard")
 
 
 # --- many small groups in one task ------------------------------------------------------------------
@@ -358,7 +398,15 @@ def arrow_rows(spark: SparkSession, n: int):
 
 
 def without(df: DataFrame, ident: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """The rows whose id isn't in the one column of ``ids``; those are sent to all tasks only if few."""
-    gone = ids.toDF("_gone").where("_gone is not null").distinct()
-    gone = save(gone, "gone")
-    return df.join(F.broadcast(gone) if gone.count() <= most else gone, F.col(ident) == F.col("_gone"), "left_anti")
+    """The rows whose id, null or not, isn't in the one column of ``ids``; those are sent to all tasks only if few."""
+    name = free_name(df, "gone")
+    gone = save(ids.toDF(name).distinct(), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= most else gone, F.col(ident).eqNullSafe(gone[name]), "left_anti")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

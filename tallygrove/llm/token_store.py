@@ -4,28 +4,30 @@ An id is cut into chunks of 8 bits, the lowest first. Level k holds the k-th chu
 have one, a bitmap that says which of them go on, and a directory with the rank of every 512th bit.
 Token i is found by one rank a level, without decoding a block. A file also holds its documents' ids
 and first tokens. Files are written in ascending document order, under temporary names, and a
-manifest gives each file's place among all tokens.
+manifest, written last into the same folder, gives each file's place among all tokens.
 
 Edge cases: a null or empty text is the end id alone; documents with a null id come first, and rows that
-repeat an id are documents of their own, in order of their text; an empty table gives no files. A very long text is
+repeat an id are documents of their own, in order of a hash of their text; an empty table gives no files. A very long text is
 encoded whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, open_fs, parts, range_shards, save, scratch
+from .common import Rolling, commit, open_fs, parts, range_bounds, range_shards, save, scratch, text_slices
 
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
@@ -105,103 +107,129 @@ class TokenFile:
         return full + np.bitwise_count(bits[where >> 3] & ((1 << (where & 7)) - 1).astype(np.uint8)).astype(np.int64)
 
 
+def ragged(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` values of a pool that begin at ``at``, one after the other."""
+    ends = np.cumsum(n)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - n), n)]
+
+
+class Pieces:
+    """Pieces that were encoded, and their ids in one pool."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ends = np.zeros(1 << 12, np.int64)  # piece k's ids are pool[ends[k] : ends[k + 1]]
+        self.pool = np.zeros(1 << 14, np.uint32)
+
+    def add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = len(self.at), len(pieces)
+        used = int(self.ends[n])
+        while n + m + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.ends[n + 1 : n + m + 1] = used + np.cumsum(counts)
+        self.pool[used : used + len(ids)] = ids
+        self.at.update(zip(pieces, range(n, n + m), strict=True))
+
+
 class Encoder:
     """The tokenizer's ids of whole texts, with its results for space-led pieces kept.
 
     A single space between two characters that aren't white space always begins a pre-token of the
-    byte-level BPE, so such pieces can be encoded by themselves. Texts with any other use of spaces
-    next to white space, or that may hold a special token, go to the tokenizer whole.
+    byte-level BPE, so such pieces can be encoded by themselves: a run of texts is cut and its pieces told apart
+    by Arrow, only those not seen before go to the tokenizer, and the ids are gathered. Texts with any other
+    use of spaces next to white space, or that may hold a special token, go to the tokenizer whole, and so do all texts
+    where the tokenizer isn't of this kind.
     """
 
-    BLANKS = " \n\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-    ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Texts that aren't cut: white space beside a space, rarer white space, what might be a special token.
+    ODD = r"\x00|<\||[ \n\t\v\f\r\x1c-\x1f] | [\n\t\v\f\r\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     #: Pieces a generation keeps; the one before is still looked into, so what recurs stays.
-    MOST = 900_000
+    MOST = 500_000
+    #: Bytes of text that are cut at a time, and new pieces that share a call.
+    RUN, CALL = 8 << 20, 256
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _each(self, todo: set[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids of pre-tokens; words share calls, with line feeds between."""
-        plain = [t for t in todo if t.removeprefix(" ").isalpha()]
-        rest = list(todo.difference(plain))
-        yield from zip(rest, self._ids(rest), strict=True)
-        for a in range(0, len(plain), 256):
-            some = plain[a : a + 256]
-            (ids,) = self._ids(["\n".join(some)])
-            raw = np.frombuffer(ids, np.uint32)
-            at = 0
-            for t, k in zip(some, [*np.flatnonzero(raw == self.feed).tolist(), len(raw)], strict=True):
-                yield t, ids[4 * at : 4 * k]
-                at = k + 1
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Get the ids of pieces that aren't kept: from the older generation, or of their pre-tokens."""
-        kept, old = self.kept, self.old
-        new = []
-        for p in pieces:
-            x = old.get(p)
-            if x is None:
-                new.append(p)
+        with open(path, "rb") as f:
+            told = json.load(f)
+        cut = told.get("pre_tokenizer") or {}
+        self.cuts = told.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        # between the pieces of a call: whatever stands around it, the text is cut there
+        self.mark, self.between = next(((k, t.content) for k, t in self.tok.get_added_tokens_decoder().items() if t.special and not t.normalized and "<|" in t.content), (None, None))
+        self.new, self.old = Pieces(), Pieces()
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each) by the tokenizer alone."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that the new generation lacks come into it: from the old one, or by the tokenizer."""
+        if self.old.at:
+            got = list(map(self.old.at.get, pieces))
+            known = np.array([k for k in got if k is not None], np.int64)
+            n = self.old.ends[known + 1] - self.old.ends[known]
+            self.new.add([p for p, k in zip(pieces, got, strict=True) if k is not None], ragged(self.old.pool, self.old.ends[known], n), n)
+            pieces = [p for p, k in zip(pieces, got, strict=True) if k is None]
+        step = 1 if self.mark is None else self.CALL
+        for a in range(0, len(pieces), 64 * step):
+            some = pieces[a : a + 64 * step]
+            if self.mark is None:
+                ids, n = self.whole(some)
             else:
-                kept[p] = x
-        parts = [self.cut(p) for p in new]
-        todo = {t for ts in parts for t in ts if t not in kept}
-        for t in [t for t in todo if t in old]:
-            kept[t] = old[t]
-            todo.discard(t)
-        for t, x in self._each(todo):
-            kept[t] = x
-        for p, ts in zip(new, parts, strict=True):
-            if len(ts) != 1:
-                kept[p] = b"".join([kept[t] for t in ts])
-
-    def plain(self, text: str) -> bool:
-        if "\0" in text or "<|" in text:
-            return False
-        if any(w in text and (w + " " in text or " " + w in text) for w in self.BLANKS):
-            return False
-        return text.isascii() or not self.ODD.search(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """uint32 ids of each text, as bytes."""
-        if len(self.kept) > self.MOST:
-            self.old, self.kept = self.kept, {}
-        kept = self.kept
-        out: list[bytes] = []
-        open_: list[tuple[int, list[str], list[bytes | None]]] = []
-        new: set[str] = set()
-        for t in texts:
-            if not self.plain(t):
-                out.append(self._ids([t])[0])
+                ids, _ = self.whole([self.between.join(some[k : k + step]) + self.between for k in range(0, len(some), step)])
+                marks = np.flatnonzero(ids == self.mark)
+                n = np.diff(marks, prepend=-1) - 1
+                ids = ids[ids != self.mark]
+            self.new.add(some, ids, n)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each text) of texts that may be cut."""
+        if len(self.new.at) > self.MOST:
+            self.old, self.new = self.new, Pieces()
+        words = pc.split_pattern(texts, " ")
+        offs = words.offsets.to_numpy() - words.offsets[0].as_py()
+        told, first = words.flatten().dictionary_encode(), words.flatten().take(pa.array(offs[:-1])).dictionary_encode()
+        # a text's first piece has no space before it
+        codes = told.indices.to_numpy().copy()
+        codes[offs[:-1]] = first.indices.to_numpy() + len(told.dictionary)
+        pieces = [*pc.binary_join_element_wise("", told.dictionary, " ").to_numpy(zero_copy_only=False).tolist(), *first.dictionary.to_pylist()]
+        got = list(map(self.new.at.get, pieces))
+        if None in got:
+            self._learn([p for p, k in zip(pieces, got, strict=True) if k is None])
+            got = list(map(self.new.at.__getitem__, pieces))
+        got = np.array(got, np.int64)
+        at, n = self.new.ends[got], self.new.ends[got + 1] - self.new.ends[got]
+        each = n[codes]
+        step = 1 << 20  # words at a time
+        ids = [ragged(self.new.pool, at[codes[a : a + step]], each[a : a + step]) for a in range(0, len(codes), step)]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.diff(upto[offs])
+
+    def encode(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of each text) of run after run of texts; null texts are empty."""
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        col = col.fill_null("")
+        for a, b, _, _ in text_slices(col, self.RUN):
+            some = col.slice(a, b - a)
+            odd = pc.match_substring_regex(some, self.ODD) if self.cuts else pa.array([True] * len(some))
+            bad = odd.to_numpy(zero_copy_only=False).astype(bool)
+            if not bad.any():
+                yield self._cut(some)
                 continue
-            pieces = t.replace(" ", "\0 ").split("\0")
-            got = list(map(kept.get, pieces))
-            if None in got:
-                new.update(p for p, x in zip(pieces, got, strict=True) if x is None)
-                open_.append((len(out), pieces, got))
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        if new:
-            self._learn(new)
-            for k, pieces, got in open_:
-                out[k] = b"".join([kept[p] if x is None else x for p, x in zip(pieces, got, strict=True)])
-        return out
+            x, nx = self.whole(some.filter(odd).to_pylist())
+            y, ny = self._cut(some.filter(pc.invert(odd))) if not bad.all() else (x[:0], nx[:0])
+            n = np.zeros(len(some), np.int64)
+            n[bad], n[~bad] = nx, ny
+            at = np.zeros(len(some), np.int64)
+            at[bad], at[~bad] = np.cumsum(nx) - nx, len(x) + np.cumsum(ny) - ny
+            yield ragged(np.concatenate([x, y]), at, n), n
 
 
 @functools.lru_cache(1)
@@ -211,54 +239,59 @@ def encoder(path: str) -> Encoder:
 
 
 def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Write the files below ``root`` and return the manifest: file, part, seq, docs, tokens, crc32, first_token."""
-    spark = df.sparkSession
-    rows = df.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = range_shards(rows, "id").repartitionByRange(parts(spark), "shard").sortWithinPartitions("shard", "id", "t")
+    """Write the files and their manifest below ``root``; the manifest has file, part, seq, docs, tokens, crc32, first_token."""
+    rows = df.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    bounds = range_bounds(rows.withColumn("size", F.length("t") + 16), "id", "h", "size")
+    rows = range_shards(rows, "id", "h", bounds).sortWithinPartitions("_at", "h", "id", "t").select("id", "t", "shard")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, files = -1, encoder(tokenizer), None
-        end = np.array([end_id], np.uint32).tobytes()
-        docs: list[int | None] = []
-        held: list[bytes] = []
+        enc, files = encoder(tokenizer), None
+        docs: list[tuple[np.ndarray, np.ndarray]] = []  # ids, and which of them are null
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # tokens, and their number by document
         size = 0
         said: list[tuple] = []
 
         def flush() -> None:
-            nonlocal files, docs, held, size
-            if not docs:
-                return
-            files = files or Rolling(root, part, ".dac")
-            ids = np.frombuffer(b"".join(held), np.uint32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
-            data = pack(ids, np.array([d or 0 for d in docs], np.int64), np.array([d is None for d in docs], bool), offsets)
+            nonlocal docs, held, size
+            ids, counts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            own, null = (np.concatenate([x[k] for x in docs]) for k in (0, 1))
+            data = pack(ids, own, null, np.concatenate([[0], np.cumsum(counts)]))
             files.start().write(data)
             seq = files.seq
-            said.append((files.close(), part, seq, len(docs), len(ids), zlib.crc32(data)))
+            said.append((files.close(), files.part, seq, len(own), len(ids), zlib.crc32(data)))
             docs, held, size = [], [], 0
 
         for b in batches:
-            idents, texts, shards = b.column("id").to_pylist(), b.column("t"), b.column("shard").to_numpy()
-            a = 0
-            while a < len(idents):
-                if shards[a] != part:
-                    flush()
-                    part, files = int(shards[a]), None
-                n = min(256, int(np.searchsorted(shards, part, side="right")) - a)
-                for i, x in zip(idents[a : a + n], enc.encode(texts.slice(a, n).to_pylist()), strict=True):
-                    docs.append(i)
-                    held.append(x + end)
-                    size += len(x) // 4 + 1
+            if not b.num_rows:
+                continue
+            files = files or Rolling(root, b.column("shard")[0].as_py(), ".dac")  # a partition is a shard
+            own = b.column("id")
+            null, own = own.is_null().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy(zero_copy_only=False)
+            at = 0
+            for ids, counts in enc.encode(b.column("t")):
+                ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+                a = done = 0
+                upto = np.cumsum(counts)
+                while a < len(counts):  # a file ends with the document that fills it
+                    z = min(len(counts), int(np.searchsorted(upto, done + file_tokens - size)) + 1)
+                    held.append((ids[done : upto[z - 1]], counts[a:z]))
+                    docs.append((own[at + a : at + z], null[at + a : at + z]))
+                    size += int(upto[z - 1]) - done
+                    a, done = z, int(upto[z - 1])
                     if size >= file_tokens:
                         flush()
-                a += n
-        flush()
+                at += len(counts)
+        if docs:
+            flush()
         names = ("file", "part", "seq", "docs", "tokens", "crc32")
         yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in said], pa.string() if not k else pa.int64()) for k, c in enumerate(names)})
 
     said = save(rows.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long, crc32 long"), "token-manifest")
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    return save(said.withColumn("first_token", F.coalesce(F.sum("tokens").over(order), F.lit(0))), "token-manifest")
+    parted = said.groupBy("part").agg(F.sum("tokens").alias("_all"))
+    before = parted.select(F.col("part"), F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row a shard
+    order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_ahead") + F.coalesce(F.sum("tokens").over(order), F.lit(0))
+    return commit(said.join(before, "part").withColumn("first_token", first).select(*said.columns, "first_token"), root)
 
 
 def read(manifest: DataFrame, root: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A deterministic, sharded WARC writer, and a reader of what it wrote.
 
 Records are range-sorted by page, files roll by compressed size, every header and digest is made
-anew, and files are written under temporary names that a manifest commits. Every record is a gzip
+anew, and files are written under temporary names that a manifest, written last into the same folder, commits. Every record is a gzip
 member of its own. A payload that was written before is a revisit of the record with the smallest
 page id.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, open_fs, parts, range_shards, save, scratch
+from .common import Rolling, commit, open_fs, parts, range_bounds, range_shards, save, scratch
 
 #: Compressed bytes a file holds before the next begins.
 ROLL = 32 << 20
@@ -93,16 +93,15 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write(df: DataFrame, root: str, ident: str = "page_id", url: str = "url", payload: str = "html", roll: int = ROLL, level: int = 6) -> DataFrame:
-    """Write the archives below ``root`` and return the manifest: file, records, bytes, crc32."""
-    spark = df.sparkSession
+    """Write the archives and their manifest below ``root``; the manifest has file, records, bytes, crc32."""
     base = df.select(F.col(ident).cast("long").alias("page"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
-    base = base.withColumn("sha1", F.sha1(F.col("body").cast("binary")))
-    slim = base.select("page", "sha1")
+    base = base.withColumn("sha1", F.sha1(F.col("body").cast("binary"))).withColumn("tie", F.xxhash64("sha1"))
+    slim = save(base.select("page", "sha1", "tie", (F.octet_length("body") + 400).cast("long").alias("size")), "digests")
     first = slim.groupBy("sha1").agg(F.min("page").alias("ref"))
     # who refers to whom travels in rows of its own, so that the payloads are dealt out once only
-    refs = slim.distinct().join(first, "sha1").select("page", "sha1", F.lit(0).alias("kind"), "ref", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"))
-    rows = base.select("page", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ref"), "url", "body").unionByName(refs)
-    rows = range_shards(rows, "page").repartitionByRange(parts(spark), "shard").sortWithinPartitions("shard", "page", "sha1", "kind", "url")
+    refs = slim.select("page", "sha1", "tie").distinct().join(first, "sha1").select("page", "sha1", "tie", F.lit(0).alias("kind"), "ref", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"))
+    rows = base.select("page", "sha1", "tie", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ref"), "url", "body").unionByName(refs)
+    rows = range_shards(rows, "page", "tie", range_bounds(slim, "page", "tie", "size")).sortWithinPartitions("_at", "tie", "page", "sha1", "kind", "url")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: Rolling | None = None
@@ -139,7 +138,7 @@ def write(df: DataFrame, root: str, ident: str = "page_id", url: str = "url", pa
             close()
         yield pa.RecordBatch.from_pydict({"file": pa.array([x[0] for x in said], pa.string())} | {c: pa.array([x[k] for x in said], pa.int64()) for k, c in ((1, "records"), (2, "bytes"), (3, "crc32"))})
 
-    return save(rows.mapInArrow(pack, "file string, records long, bytes long, crc32 long"), "warc-manifest")
+    return commit(save(rows.mapInArrow(pack, "file string, records long, bytes long, crc32 long"), "warc-manifest"), root)
 
 
 def read(manifest: DataFrame, root: str) -> DataFrame:

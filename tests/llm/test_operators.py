@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, subword, token_store, toxicity, url_filter, warc
-from tallygrove.llm.common import components, scratch
+from tallygrove.llm.common import Rolling, components, manifest_of, scratch
 
 from ..oracle import differences, duck
 
@@ -225,8 +226,59 @@ def test_token_store(spark, odd, none):
 
 @pytest.mark.parametrize("text", ["a  b", "a   b", " \n b", "x \n\n y", "\t a", " a", "a ", "  ", "don't we'll X'S", "<|endoftext|> a <|endoftext|>", "é  b", "１２ ３4.5,6%", "a  b", "a b", "\0 x", "a\n\nb c", "x\r\ny z"])
 def test_pieces_encode_as_whole_texts(text):
-    e = token_store.encoder(token_store.tokenizer_path())
-    assert e.encode([text, "word " + text, text + " word"]) == e._ids([text, "word " + text, text + " word"])
+    e = token_store.Encoder(token_store.tokenizer_path())
+    texts = [text, "word " + text, "", text + " word", text, f"word {text} it's"]
+    want = e.whole(texts)
+    for col in (pa.array(texts), pa.array(["", *texts, None])[1:-1]):
+        for e.MOST in (500_000, 0, 0):  # generations change before each run
+            ids, n = (np.concatenate(x) for x in zip(*e.encode(col), strict=True))
+            assert ids.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+
+
+def test_pieces_of_random_texts_encode_as_whole_texts():
+    rng = np.random.default_rng(3)
+    parts = ["a", " ", "  ", "\n", "é", "don't", "we'LL", "\t", "\u3000", "x1y2", "...", "!?", "Ω", "<|", "\u0301", "\u200b", "日本", "12,5", "\r\n", "'s"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(20_000)]
+    for name, few in (("byte_bpe_50k.json", 20_000), ("word_bpe_49k.json", 500)):
+        e = token_store.Encoder(token_store.tokenizer_path(name))
+        e.RUN = 20_000
+        ids, n = (np.concatenate(x) for x in zip(*e.encode(pa.array(texts[:few])), strict=True))
+        want = e.whole(texts[:few])
+        assert ids.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+
+
+def test_written_folders_stand_alone(spark):
+    """Files and manifest are all below the root; one id of half the rows is cut, in the same way every time."""
+    rows = [(7 if k % 2 else None if k % 3 else k, f"text {k % 300} " * (k % 9)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    told = []
+    for _ in range(2):
+        root = scratch(spark, "t")
+        n = token_store.write(docs, root, token_store.tokenizer_path(), file_tokens=5000).count()
+        m = manifest_of(spark, root)
+        assert m.count() == n > 8 and m.select("part").distinct().count() > 4
+        told.append(sorted((r.file, r.crc32) for r in m.collect()))
+        got = sorted(token_store.read(m, root).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+        assert all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(got))
+        with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+            token_store.write(docs, root, token_store.tokenizer_path())
+    assert told[0] == told[1]
+    pages = spark.createDataFrame([(*r, None, i) for i, r in enumerate(rows)], "page_id long, html string, url string, tie int")
+    read = []
+    for some in (pages, pages.orderBy("html")):
+        root = scratch(spark, "t")
+        warc.write(some, root, roll=2000)
+        read.append(sorted(str(r[:5]) for r in warc.read(manifest_of(spark, root), root).collect()))
+    assert read[0] == read[1] and len(read[0]) == len(rows)
+
+
+def test_a_task_that_runs_again_leaves_the_file(tmp_path):
+    for data in (b"abc", b"abc", b"abcd"):
+        f = Rolling(f"file://{tmp_path}", 3, ".x").start()
+        f.write(data)
+        assert f.close() == "part-000003-00000.x"
+        assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("part-000003-00000.x", data)]
 
 
 # --- 6 -----------------------------------------------------------------------------------------------
