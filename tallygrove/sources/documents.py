@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 COMPONENT = "struct<category:string,test_or_subject_code:string,subject_code:string,subject_name_th:string,weight_percent:string,min_threshold_percent:string,min_threshold:string>"
 PROGRAM = f"struct<tcas_code:string,program_code:string,project_code:string,round_label:string,program_name_th:string,program_name_en:string,major_name_en:string,faculty_th:string,faculty_major_th:string,other_conditions_th:string,topic:string,seats:int,min_gpax:double,min_total_score:double,gpax_min:string,subject_codes:array<string>,weighted_components:array<{COMPONENT}>,weighted_subjects:array<{COMPONENT}>>"
@@ -75,20 +78,23 @@ def read_binary(spark: SparkSession, path: str, convert: Callable[[bytes], str],
 
 
 def extract_with(chunks: DataFrame, client: Callable[[str], list[dict]], schema: str) -> DataFrame:
-    """Rows that a client (say a language model) finds in (id, chunk, text); failed chunks have one row with an error."""
-    names = [f.split()[0] for f in schema.split(",")]
+    """Rows that a client (say a language model) finds in (id, chunk, text); failed chunks have one row with an error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A row that doesn't fit the schema is a failure of its chunk too.
+    """
+    ddl = f"id string, chunk int, error string, {schema}"
+    kind = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, k, t in zip(b["id"], b["chunk"], b["text"], strict=True):
+            for i, k, t in zip(*(b.column(c).to_pylist() for c in ("id", "chunk", "text")), strict=True):
                 try:
-                    out += [{"id": i, "chunk": k, "error": None} | {n: r.get(n) for n in names} for r in client(t)]
+                    found = pa.RecordBatch.from_pylist([r | {"id": i, "chunk": k, "error": None} for r in client(t)], schema=kind)
                 except Exception as e:  # noqa: BLE001
-                    out.append({"id": i, "chunk": k, "error": str(e)[:120]})
-            yield pd.DataFrame(out, columns=["id", "chunk", "error", *names])
+                    found = pa.RecordBatch.from_pylist([{"id": i, "chunk": k, "error": (str(e) or type(e).__name__)[:120]}], schema=kind)
+                yield found
 
-    return chunks.mapInPandas(run, f"id string, chunk int, error string, {schema}")
+    return chunks.select("id", "chunk", "text").mapInArrow(run, ddl)
 
 
 def write_search_rows(df: DataFrame, path: str) -> None:

@@ -164,7 +164,13 @@ def test_sources(spark, tmp_path):
     assert got == {"a.pdf": ("ok", ""), "b.pdf": (None, "Unicode")}
     chunks = spark.createDataFrame([("1", 0, "a"), ("1", 1, "")], "id string, chunk int, text string")
     rows = D.extract_with(chunks, lambda t: [{"code": t[0]}], "code string").collect()
-    assert [(r.code, r.error) for r in rows] == [("a", None), (None, "string index out of range")]
+    assert sorted(((r.code, r.error) for r in rows), key=str) == [("a", None), (None, "string index out of range")]
+    for only in ([("1", 1, ""), ("2", 0, None)], [("1", 0, "a")], []):  # a batch that fails whole, one that doesn't, none
+        some = spark.createDataFrame(only, "id string, chunk int, text string").coalesce(1)
+        rows = D.extract_with(some, lambda t: [{"code": t[0], "n": 1, "other": 2}] * 2, "code string, n int").collect()
+        assert [(r.id, r.chunk, r.code, r.n, r.error is None) for r in rows] == [x for i, k, t in only for x in ([(i, k, t[0], 1, True)] * 2 if t else [(i, k, None, None, False)])]
+    rows = D.extract_with(chunks, lambda t: [{"code": "a", "n": "many"}], "code string, n int").collect()
+    assert [(r.code, r.n) for r in rows] == [(None, None)] * 2 and all(r.error for r in rows)
     df = spark.createDataFrame([("001", "R1", 1), ("002", "R1", 2)], "university_id string, round string, n int")
     D.write_partitioned(df, str(tmp_path / "p"))
     D.write_partitioned(df.where("n = 2").withColumn("n", F.lit(3)), str(tmp_path / "p"))
