@@ -3,14 +3,15 @@
 A document is the set of its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class. A set's
 shingles are also dealt to groups by their leading bits; the counts a group are a point, of up to one
 shingle a coordinate. Two sets share at most the sum of the smaller counts, and two nodes of a tree
-at most that of their largest counts, which bounds every pair below a pair of nodes. Trees are built on
-points with neighbouring groups summed; pairs that pass are bounded again by all groups.
+at most that of their largest counts, which bounds every pair below a pair of nodes. The trees' nodes hold
+counts of neighbouring groups summed; pairs of points that pass are bounded by all groups before they leave the tree.
 
 As count vectors of unlike texts of one length lie close together in few dimensions, one tree over all points would
 visit most pairs. So points are first dealt to cells: sets that reach a Jaccard of 0.75 share one of
 the first ``n - ceil(0.75 n) + 1`` shingles of any fixed order. The order here puts frequent shingles
 last. Each cell with points of more than one known component gets its own tree; surviving pairs are
-verified on the whole sets. To keep groups of near copies from meeting all against all, each set is first
+verified on the whole sets. A pair leaves the trees in the first of the cells that both sets are in, so hardly
+any is told twice. To keep groups of near copies from meeting all against all, each set is first
 verified against the best of its cells' smallest members and of their largest; components that still meet
 in cells are then tried by one pair each, a few times, and only pairs between different components
 remain for the trees. Nothing is left out: a pair of one component needs no link of its own.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, parts, save, split_hot, text_slices, without, word_bounds, word_hashes
+from .common import arrow_rows, bloom_of, components, free_name, grouped, in_bloom, lowered, mixed, save, split_hot, text_slices, word_bounds, word_hashes
 
 WORDS = 5
 #: Jaccard of at least UP / DOWN.
@@ -40,10 +41,16 @@ UP, DOWN = 3, 4
 #: Shingles that are ordered last: at most so many, seen so often in a lot of texts.
 FREQUENT, OFTEN = 1 << 17, 8
 #: Passes at most that link components by one pair each, before all pairs that are left.
-ROUNDS = 3
+ROUNDS = 2
+#: Shingles of so many texts (a power of two) are cells dealt by class, not by shingle.
+HOT = 12
+#: Cells of a class that are looked through for the first that a pair shares; beyond these a pair may be told twice.
+FIRSTS = 64
 #: Prefix shingles a bucket holds on average; points of a block of a hot cell; points of a leaf, children of a node, and groups
 #: that a tree's coordinate sums.
 BUCKET, BLOCK, LEAF, FAN, COARSE = 200_000, 1500, 32, 8, 4
+#: Points that are compared one by one rather than by a tree.
+FEW = 8
 
 _MULT = mixed(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -83,10 +90,22 @@ def vector(s: np.ndarray) -> np.ndarray:
     return n.astype(np.uint8)
 
 
-def coarse(v: np.ndarray) -> np.ndarray:
-    """The counts of a tree's point: ``COARSE`` neighbouring groups summed, unless a byte can't hold a sum."""
-    w = fold(v, max(4, len(v) // COARSE))
-    return v if w.max(initial=0) > 255 else w.astype(np.uint8)
+_TWO_BITS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Counts in two bits each, and before them the groups of what is beyond 3."""
+    over = np.repeat(np.arange(len(v)), np.maximum(v.astype(np.int64) - 3, 0)).astype(np.uint32)
+    low = np.minimum(v, 3).reshape(-1, 4)
+    return np.array([len(over)], np.uint32).tobytes() + over.tobytes() + (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    v = _TWO_BITS[np.frombuffer(raw, np.uint8, offset=4 + 4 * n)].ravel()
+    if n:
+        np.add.at(v, np.frombuffer(raw, np.uint32, n, 4), 1)
+    return v
 
 
 def prefix(n: int) -> int:
@@ -106,12 +125,22 @@ def fold(v: np.ndarray, width: int) -> np.ndarray:
     return v if v.shape[-1] == width else v.reshape(*v.shape[:-1], width, -1).sum(axis=-1, dtype=np.int32)
 
 
+def bounded(x: np.ndarray, y: np.ndarray, total: int) -> bool:
+    """Whether two counts allow the Jaccard."""
+    w = min(len(x), len(y))
+    return bool(enough(int(np.minimum(fold(x, w), fold(y, w)).sum(dtype=np.int64)), total))
+
+
 class CountTree:
-    """A packed R-tree of points of one width: leaves of ``LEAF`` points, nodes of ``FAN`` children."""
+    """A packed R-tree of points of one width: leaves of ``LEAF`` points, nodes of ``FAN`` children.
+
+    Nodes hold the counts of ``COARSE`` neighbouring groups summed.
+    """
 
     def __init__(self, at: np.ndarray, points: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
         order = np.lexsort((points.argmax(axis=1), n, comp))  # near copies lie side by side
-        self.at, self.points, self.n = at[order], points[order].astype(np.int32), n[order]
+        self.at, self.full, self.n = at[order], points[order], n[order]
+        self.points = fold(self.full, max(4, points.shape[1] // COARSE)).astype(np.int32)
         self.levels: list[tuple[np.ndarray, ...]] = []
         comp = comp[order]
         low = (self.points, self.n, self.n, comp, comp)
@@ -120,9 +149,9 @@ class CountTree:
             low = tuple(f.reduceat(x, cuts) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), low, strict=True))
             self.levels.append((cuts, np.append(cuts[1:], len(self.levels[-1][0]) if self.levels else len(at)), *low))
 
-    def join(self, other: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of pairs that may reach the Jaccard; of a tree with itself, both ways round."""
-        width = min(self.points.shape[1], other.points.shape[1])
+    def join(self, other: CountTree, asked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs whose counts allow the Jaccard and that ``asked(i, j)`` lets pass; of a tree with itself, both ways round."""
+        width, wide = min(self.points.shape[1], other.points.shape[1]), min(self.full.shape[1], other.full.shape[1])
         todo = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while todo:
             la, a, lb, b = todo.pop()
@@ -136,10 +165,14 @@ class CountTree:
                 continue
             if la == lb == 0:
                 p, q = fold(self.points[xa:ya], width), fold(other.points[xb:yb], width)
-                shared = np.minimum(p[:, None], q[None]).sum(axis=2)
-                i, j = np.nonzero(enough(shared, self.n[xa:ya, None] + other.n[None, xb:yb]))
+                total = self.n[xa:ya, None] + other.n[None, xb:yb]
+                i, j = np.nonzero(enough(np.minimum(p[:, None], q[None]).sum(axis=2), total))
+                ok = asked(self.at[xa + i], other.at[xb + j])
+                i, j = i[ok], j[ok]
                 if len(i):
-                    yield self.at[xa + i], other.at[xb + j]
+                    shared = np.minimum(fold(self.full[xa + i], wide), fold(other.full[xb + j], wide)).sum(axis=1, dtype=np.int64)
+                    ok = enough(shared, total[i, j])
+                    yield self.at[xa + i[ok]], other.at[xb + j[ok]]
             elif la >= lb:
                 todo += [(la - 1, k, lb, b) for k in range(xa, ya)]
             else:
@@ -147,25 +180,41 @@ class CountTree:
 
 
 def cell_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a cell's block pair: columns sig, n, vec, comp, home, blk, lo, hi."""
+    """Candidate pairs of a cell's block pair: columns cell, sig, n, vec, comp, home, blk, lo, hi, firsts."""
     sig, n, comp, home, blk = (t.column(c).to_numpy() for c in ("sig", "n", "comp", "home", "blk"))
-    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    cell, lo, hi = (t.column(c)[0].as_py() for c in ("cell", "lo", "hi"))
     if len(sig) < 2 or comp.min() == comp.max():
         return
-    vecs = [np.frombuffer(x, np.uint8) for x in t.column("vec").to_pylist()]
-    wide = np.array([len(v) for v in vecs])
-    trees = {}
-    for side in {lo, hi}:
-        for w in np.unique(wide[blk == side]):
-            at = np.flatnonzero((blk == side) & (wide == w))
-            trees[side, w] = CountTree(at, np.stack([vecs[k] for k in at]), n[at], comp[at])
+    raw = t.column("vec")
+    asked = lambda i, j: (comp[i] != comp[j]) & (home[i] | home[j])
+    if len(sig) <= FEW:  # less than a leaf
+        i, j = np.triu_indices(len(sig), 1)
+        ok = asked(i, j) & (DOWN * n[i] >= UP * n[j]) & (DOWN * n[j] >= UP * n[i]) & (np.minimum(blk[i], blk[j]) == lo) & (np.maximum(blk[i], blk[j]) == hi)
+        vecs = {k: unpacked(raw[k].as_buffer()) for k in {*i[ok].tolist(), *j[ok].tolist()}}
+        near = [(a, b) for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True) if bounded(vecs[a], vecs[b], n[a] + n[b])]
+        some = [np.array(near, np.int64).T] if near else []
+    else:
+        vecs = [unpacked(x.as_buffer()) for x in raw]
+        wide = np.array([len(v) for v in vecs])
+        trees = {}
+        for side in {lo, hi}:
+            for w in np.unique(wide[blk == side]):
+                at = np.flatnonzero((blk == side) & (wide == w))
+                trees[side, w] = CountTree(at, np.stack([vecs[k] for k in at]), n[at], comp[at])
+        some = (np.stack(p) for (sa, _), x in trees.items() for (sb, _), y in trees.items() if sa == lo and sb == hi for p in x.join(y, asked))
+    del vecs
+    firsts = t.column("firsts")
+    before: dict[int, frozenset] = {}
+
+    def earlier(k: int) -> frozenset:
+        if k not in before:
+            before[k] = frozenset(c for c in firsts[k].as_py() if c < cell)
+        return before[k]
+
     found = []
-    for (sa, _), x in trees.items():
-        for (sb, _), y in trees.items():
-            if sa == lo and sb == hi:
-                for i, j in x.join(y):
-                    ok = (comp[i] != comp[j]) & (home[i] | home[j])
-                    found.append(np.stack([np.minimum(sig[i], sig[j])[ok], np.maximum(sig[i], sig[j])[ok]]))
+    for i, j in some:
+        ok = [earlier(a).isdisjoint(earlier(b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        found.append(np.stack([np.minimum(sig[i], sig[j])[ok], np.maximum(sig[i], sig[j])[ok]]))
     if found:
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
@@ -175,7 +224,7 @@ def cell_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """Rows of three kinds: documents (id, n, sig), classes (sig, n, vec, point), and frequent shingles (sig, n)."""
+    """Rows of three kinds: documents (id, n, sig), classes (sig, n, vec), and frequent shingles (sig, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -187,12 +236,12 @@ def _summaries(docs: DataFrame) -> DataFrame:
             tok, n = tok[n >= OFTEN], n[n >= OFTEN]
             return rows(2, None, tok.astype(np.int64), n, None)
 
-        def rows(kind, ids, sig, n, vec, point=None) -> pa.RecordBatch:
+        def rows(kind, ids, sig, n, vec) -> pa.RecordBatch:
             m = len(sig)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.int64()) if ids is None else ids, pa.array(sig, pa.int64()), pa.array(n, pa.int64()), *[pa.nulls(m, pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (vec, point)]], names=["kind", "id", "sig", "n", "vec", "point"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.int64()) if ids is None else ids, pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()) if vec is None else pa.array(vec, pa.binary())], names=["kind", "id", "sig", "n", "vec"])
 
         for b in batches:
-            sig, n, own = [], [], ([], [], [], [])
+            sig, n, own = [], [], ([], [], [])
             for s in shingle_sets(b.column("t")):
                 c = class_of(s)
                 sig.append(c)
@@ -201,8 +250,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(c)
-                    v = vector(s)
-                    for x, y in zip(own, (c, len(s), v.tobytes(), coarse(v).tobytes()), strict=True):
+                    for x, y in zip(own, (c, len(s), packed(vector(s))), strict=True):
                         x.append(y)
                     held.append(s)
                     size += len(s)
@@ -214,11 +262,11 @@ def _summaries(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, id long, sig long, n long, vec binary, point binary")
+    return docs.mapInArrow(run, "kind int, id long, sig long, n long, vec binary")
 
 
 def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Prefix shingles with their class, packed by bucket: payload is 32 bits a shingle, then 64 a class."""
+    """Prefix shingles with their class, packed by bucket: payload is 32 bits a shingle, then 64 a class. Those of hot shingles have buckets below 0, by class."""
     sent = docs.sparkSession.sparkContext.broadcast((often[0].tobytes(), often[1].tobytes()))  # FREQUENT entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +275,7 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
         maybe[(tok & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
         toks: list[np.ndarray] = []
+        hots: list[np.ndarray] = []
         sigs: list[tuple[int, int]] = []
         size = 0
 
@@ -234,6 +283,9 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
             t = np.concatenate(toks)
             c = np.repeat(np.array([x for x, _ in sigs], np.int64), [y for _, y in sigs])
             into = (t % np.uint64(buckets)).astype(np.int64)
+            warm = np.concatenate(hots)
+            with np.errstate(over="ignore"):
+                into[warm] = -1 - (mixed(c[warm].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(into, kind="stable")
             into, t, c = into[order], ((t >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], c[order]
             has, at = np.unique(into, return_index=True)
@@ -251,18 +303,21 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
                     seen.clear()
                 seen.add(c)
                 p = prefix(len(s))
+                hot = np.zeros(len(s), bool)
                 hit = np.flatnonzero(maybe[(s & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(tok) else ()
                 if len(hit):
                     at = np.minimum(np.searchsorted(tok, s[hit]), len(tok) - 1)
                     rank = np.zeros(len(s), np.int8)
                     rank[hit] = np.where(tok[at] == s[hit], level[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
+                    order = np.argsort(rank, kind="stable")
+                    s, hot = s[order], rank[order] >= HOT
                 toks.append(s[:p])
+                hots.append(hot[:p])
                 sigs.append((c, p))
                 size += p
                 if size > 1_000_000:
                     yield flush()
-                    toks, sigs, size = [], [], 0
+                    toks, hots, sigs, size = [], [], [], 0
         if toks:
             yield flush()
 
@@ -272,7 +327,7 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
 def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """Of a bucket: kind 0, (smallest class of a cell, other class, cells both are in); kind 2, the same of the largest; kind 1, (cell, class, 0).
 
-    Shingles of one class fall away, and cells with equal members are one.
+    Shingles of one class fall away, and cells with equal members are one. Of a bucket of hot shingles: kind 1 only.
     """
     tok, sig = [], []
     for x in t.column("payload").to_pylist():
@@ -285,6 +340,11 @@ def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
     tok, sig = tok[new], sig[new]
+    if t.column("bucket")[0].as_py() < 0:  # whom else these shingles' cells hold isn't known here
+        with np.errstate(over="ignore"):
+            cell = mixed(tok.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig), np.int32)), pa.array(cell), pa.array(sig), pa.array(np.zeros(len(sig), np.int64))], names=["kind", "a", "b", "n"])
+        return
     first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
     size = np.diff(np.append(first, len(tok)))
     many = np.repeat(size, size) > 1
@@ -347,9 +407,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for x, y, n in zip(b.column("x"), b.column("y"), b.column("n").to_pylist(), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int32), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int32)
-                w = min(len(x), len(y))
-                ok.append(bool(enough(np.minimum(fold(x, w), fold(y, w)).sum(), n)))
+                ok.append(bounded(unpacked(x.as_buffer()), unpacked(y.as_buffer()), n))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sizes = classes.select("sig", "n")
@@ -360,7 +418,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: id, n, sig), (classes: sig, n, vec, point, rep), (links between classes: a, b).
+    """(documents: id, n, sig), (classes: sig, n, vec, rep), (links between classes: a, b).
 
     The links connect exactly what all links of the join connect.
     """
@@ -373,7 +431,7 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     tok = np.array([r["sig"] for r in often], np.int64).astype(np.uint64)
     level = np.log2(np.array([r["n"] for r in often], float).clip(min=1)).astype(np.int8)
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    vecs = told.where("kind = 1").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("point").alias("point"))
+    vecs = told.where("kind = 1").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
     classes = save(vecs.join(reps, "sig"), "classes", keep)
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total * (DOWN - UP) / DOWN / BUCKET))
@@ -403,15 +461,15 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     known = classes.select("sig", "n").join(comps.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("comp"))
     at = member.join(known, "sig")
     mixed_ = at.groupBy("cell").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("cell")
-    at = at.join(mixed_, "cell")
+    at = save(at.join(mixed_, "cell"), "mixed", keep)
+    firsts = at.groupBy("sig").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, FIRSTS).alias("firsts"))
+    points = save(classes.select("sig", "vec").join(firsts, "sig"), "points", keep)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(DOWN / UP)).cast("int")
     # sizes a quarter apart at most are in one band or in neighbours; each point also visits the next
     at = at.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("home"), band).otherwise(band + 1))
-    at = save(at, "banded", keep)
     full = at.groupBy("cell", "band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("home").alias("_home")).where("_lo < _hi and _home").select("cell", "band")
-    dealt = split_hot(at.join(full, ["cell", "band"]), ["cell", "band"], "sig", BLOCK).join(classes.select("sig", F.col("point").alias("vec")), "sig")
+    dealt = split_hot(at.join(full, ["cell", "band"]), ["cell", "band"], "sig", BLOCK).join(points, "sig")
     more = save(grouped(dealt, ["cell", "band", "lo", "hi"], cell_pairs, "a long, b long").distinct(), "pairs", keep)
-    more = save(_bounded(more, classes), "bounded", keep)
     return rows, classes, links.unionByName(_verify(docs, more, classes, keep)).distinct()
 
 
@@ -428,16 +486,13 @@ def join(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_one(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that with the smallest id. Rows that repeat an id, or have none, are rows like any other."""
-    again = df.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).limit(1)
-    if not again.count():
-        told = save(join(df, ident, text), "joined")
-        return without(df, ident, told.where(F.col(ident) != F.col("component_id")).select(ident))
-    # ids don't tell the rows apart: numbers in the order of the ids do
-    order = [F.asc_nulls_last(ident), F.md5(text), *[c for c in df.columns if c not in (ident, text)]]
-    rows = save(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    told = save(join(rows, "_row", text), "joined")
-    return without(rows, "_row", told.where(F.col("_row") != F.col("component_id")).select("_row")).drop("_row")
+    """One row of each group: that with the smallest id, one without an id last. Rows that repeat an id, or have none, are rows like any other."""
+    row = free_name(df, "row")
+    rows = save(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    told = save(join(rows, row, text), "joined")
+    of = rows.select(F.col(row).alias("_r"), F.col(ident).cast("long").alias("_id")).join(told.select(F.col(row).alias("_r"), F.col("component_id").alias("_c")), "_r")
+    best = of.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_r")).alias("_b")).select(F.col("_b._r").alias(row))
+    return rows.join(best, row, "left_semi").select(*df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
