@@ -410,3 +410,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def rows_apart(df: DataFrame, ident: str) -> tuple[DataFrame, str]:
+    """The frame and a column that tells its rows apart: the id, or where ids repeat or lack, a number that a written copy carries."""
+    if not df.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).limit(1).count():
+        return df, ident
+    row = free_name(df, "row")
+    return save(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row

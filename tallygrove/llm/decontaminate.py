@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts are cut into words and numbers. Numbers, units after a number, and capitalised words within a sentence
+First, of every window of every document only hashes are made and looked up among the benchmark's; then, for the few
+documents with any, the windows whole. Texts are cut into words and numbers. Numbers, units after a number, and capitalised words within a sentence
 become typed placeholders; other words are lower-cased, and punctuation falls away. Every window of 8 such
 tokens of every document is hash-joined with those of the benchmark, in a second form too: with its numbers as the only
 placeholders. As what stands before a word makes it a name or a unit, only that form is the same in every context. Of an
@@ -13,17 +14,19 @@ the former count. A document holds an item if the windows that count are all the
 Windows whose numbers are more than half of their tokens are hashed with the values behind them, so they match only
 where these are the item's own; those with more than half placeholders, names and units included, have the second form only. So that they don't raise the bar for re-parameterised questions, the windows of fewer
 placeholders also suffice if they are all of the item's, or 6. Edge cases: a null or empty text has
-no window; an item of 4 to 7 tokens is one window of its own length, a shorter one is never found; equal
-items are each found; rows that repeat a document id count together; a null id is a document like
+no window; an item of 4 to 7 tokens is one window of its own length, a shorter one is found where a text has its tokens and no more; equal
+items are each found, and items without an id are one item; rows that repeat a document id count together; a null id is a document like
 any other; other columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, without
+from .common import rows_apart, save, without
 
 WINDOW, SHORTEST, ENOUGH = 8, 4, 6
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inch", "inches", "ft", "feet", "yards", "miles", "lb", "lbs", "oz", "pounds", "kmh", "mph", "dollars", "cents", "euros", "percent", "degrees", "watts", "kw", "volts", "hz", "meters", "metres", "liters", "litres", "grams")
@@ -31,6 +34,8 @@ NUM, UNIT, NAME = "\u0001#", "\u0001U", "\u0001N"
 #: Between a slot's value and its place.
 PLACE = "\u0002"
 TOKEN = r"\x01?(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)"
+#: Begins to match where so many tokens follow that there is a window.
+SHORTEST_OR_MORE = r"(?:(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}\p{M}]++)[^\p{L}\p{M}0-9]*+){%d}" % SHORTEST
 #: Before a capitalised word that no sentence begins with.
 WITHIN = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
 #: Before any capitalised word: what an item's sentences begin with may stand within a document's.
@@ -88,32 +93,66 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
     return d.select("id", "pos", "loose", "w.*")
 
 
-def benchmark_windows(bench: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, tuple[int, ...]]:
-    """(item, bpos, h, bslots, places, loose, item_windows, item_loose) and the sizes of window that occur."""
+def window_hashes(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), names: str = WITHIN) -> DataFrame:
+    """(id, g): hashes of the windows of these sizes, with all their placeholders and with numbers only; no places and no values."""
+    toks = F.regexp_extract_all(F.regexp_replace(F.col(text), names, "\u0001"), F.lit(TOKEN), F.lit(0))
+    d = df.select(F.col(ident).alias("id"), toks.alias("toks")).where(F.size("toks") >= min(sizes)).select("id", F.transform("toks", F.lower).alias("low"))
+    digit = lambda t: F.ascii(t).between(48, 57)
+    num, unit, name = (F.xxhash64(F.lit(x)) for x in (NUM, UNIT, NAME))
+    d = d.withColumn("ps", F.transform("low", lambda t: F.when(digit(t), num).when(F.ascii(t) == 1, F.xxhash64(F.substring(t, 2, 1 << 30))).otherwise(F.xxhash64(t))))
+    typed = lambda t, i: F.when(F.ascii(t) == 1, name).when(digit(F.get("low", i - 1)) & t.isin(*UNITS), unit).otherwise(F.get("ps", i))
+    d = d.select("id", "ps", F.transform("low", typed).alias("hs"))
+    none = F.array().cast("array<bigint>")
+
+    def lot(of: str, w: int) -> Column:
+        one = lambda i: F.xxhash64(F.lit(w), *[F.get(of, i + k) for k in range(w)])
+        return F.when(F.size(of) >= w, F.transform(F.sequence(F.lit(0), F.size(of) - w), one)).otherwise(none)
+
+    plain = F.concat(*[lot("ps", w) for w in sizes])
+    return d.select("id", F.explode(F.when(F.col("hs") == F.col("ps"), plain).otherwise(F.concat(plain, *[lot("hs", w) for w in sizes]))).alias("g"))
+
+
+def benchmark_items(bench: DataFrame, item: str, text: str) -> tuple[DataFrame, tuple[int, ...]]:
+    """(item, text, _w: the size of its windows) and the sizes that occur."""
     sized = bench.select(F.col(item).alias("item"), F.col(text).alias("text"), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("_n")).where(F.col("_n") >= SHORTEST)
     sized = save(sized.withColumn("_w", F.least("_n", F.lit(WINDOW))), "benchmark")
-    sizes = tuple(sorted(r["_w"] for r in sized.select("_w").distinct().collect()))  # 5 values at most
-    lots = None
-    for w in sizes:
-        for names in (WITHIN, ANYWHERE):
-            lot = windows(sized.where(F.col("_w") == w), "item", "text", (w,), True, names)
-            lots = lot if lots is None else lots.unionByName(lot)
-    if lots is None:
-        return bench.select(F.col(item).alias("item")).limit(0).selectExpr("item", "0 as bpos", "0L as h", "array('') as bslots", "array(0) as places", "true as loose", "0L as item_windows", "0L as item_loose"), ()
+    return sized, tuple(sorted(r["_w"] for r in sized.select("_w").distinct().collect()))  # 5 values at most
+
+
+def suspects(docs: DataFrame, items: DataFrame, sizes: tuple[int, ...], ident: str, text: str, most: int) -> DataFrame:
+    """(ident, text) of the documents with any window of the benchmark's: who else can't hold an item.
+
+    Of each window only a hash is made here, so what is made of a whole window is made for few documents.
+    """
+    lots = [window_hashes(items.where(F.col("_w") == w), "item", "text", (w,), names).select("g") for w in sizes for names in (WITHIN, ANYWHERE)]
+    if not lots:
+        return docs.select(ident, text).limit(0)
+    known = save(functools.reduce(DataFrame.unionByName, lots).distinct(), "benchmark-hashes")
+    small = known.count() <= 4 * most  # longs
+    ids = save(window_hashes(docs, ident, text, sizes).join(F.broadcast(known) if small else known, "g", "left_semi").select("id").distinct(), "suspects")
+    same = docs[ident].eqNullSafe(ids["id"])
+    return docs.select(ident, text).join(F.broadcast(ids) if ids.count() <= most else ids, same, "left_semi")
+
+
+def benchmark_windows(items: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(item, bpos, h, bslots, places, loose, item_windows, item_loose)."""
+    lots = [windows(items.where(F.col("_w") == w), "item", "text", (w,), True, names) for w in sizes for names in (WITHIN, ANYWHERE)]
+    lots = functools.reduce(DataFrame.unionByName, lots) if lots else windows(items, "item", "text", placed=True)
     lots = lots.select(F.col("id").alias("item"), F.col("pos").alias("bpos"), "h", F.col("slots").alias("bslots"), "places", "loose").distinct()
-    n = lots.groupBy("item").agg(F.countDistinct("bpos").alias("item_windows"), F.countDistinct(F.when(F.col("loose"), F.col("bpos"))).alias("item_loose"))
-    return save(lots.join(n, "item"), "benchmark-windows"), sizes
+    n = lots.groupBy(F.col("item").alias("_item")).agg(F.countDistinct("bpos").alias("item_windows"), F.countDistinct(F.when(F.col("loose"), F.col("bpos"))).alias("item_loose"))
+    return save(lots.join(n, F.col("item").eqNullSafe(F.col("_item"))).drop("_item"), "benchmark-windows")
 
 
-def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = 500_000) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = 100_000) -> DataFrame:
     """Pairs: ident, item, n_windows, item_windows, exact (every slot has the item's own value)."""
-    known, sizes = benchmark_windows(bench, item, item_text)
-    own = windows(docs, ident, text, sizes or (WINDOW,)).drop("loose")
+    items, sizes = benchmark_items(bench, item, item_text)
+    known = benchmark_windows(items, sizes)
+    own = windows(suspects(docs, items, sizes, ident, text, most), ident, text, sizes or (WINDOW,)).drop("loose")
     # the benchmark's windows go to all tasks only if they are few
     small = F.broadcast(known) if known.count() <= most else known
     hits = own.join(small, "h").where(F.size("slots") == F.size("bslots")).select("id", "item", "pos", "bpos", "slots", "bslots", "places", "loose", "item_windows", "item_loose")
-    hits = save(hits, "hits").withColumn("off", F.col("pos") - F.col("bpos")).withColumn("k", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    key = ["k", "item", "off"]
+    hits = save(hits, "hits").withColumn("off", F.col("pos") - F.col("bpos")).withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("k", "id"), ("ik", "item"))})
+    key = ["k", "ik", "off"]
     slot = hits.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip("bslots", "slots", "places")).alias("s"))
     vote = slot.groupBy(*key, F.col("s.bslots").alias("b"), F.col("s.slots").alias("d")).agg(F.countDistinct("s.places").alias("n")).withColumn("own", F.col("d") == F.col("b"))
     most = F.max(F.struct("n", "own", "d"))
@@ -127,12 +166,28 @@ def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "
     n_loose = F.countDistinct(F.when(F.col("loose"), F.col("bpos"))).alias("n_loose")
     told = hits.groupBy("id", "item", "item_windows", "item_loose").agg(F.countDistinct("bpos").alias("n_windows"), n_loose, (~F.coalesce(F.max("new"), F.lit(False))).alias("exact"))
     enough = (F.col("n_windows") >= F.least("item_windows", F.lit(ENOUGH))) | ((F.col("n_loose") > 0) & (F.col("n_loose") >= F.least("item_loose", F.lit(ENOUGH))))
-    return told.where(enough).select(F.col("id").alias(ident), F.col("item").alias(item), "n_windows", "item_windows", "exact")
+    told = told.where(enough).select("id", "item", "n_windows", "item_windows", "exact")
+    return told.unionByName(find_short(docs, bench, ident, text, item, item_text)).select(F.col("id").alias(ident), F.col("item").alias(item), "n_windows", "item_windows", "exact")
+
+
+def find_short(docs: DataFrame, bench: DataFrame, ident: str, text: str, item: str, item_text: str) -> DataFrame:
+    """The documents whose tokens are those of an item that is too short for a window, as rows of ``find``."""
+
+    def whole(df: DataFrame, ident: str, text: str, name: str) -> DataFrame:
+        toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+        d = df.where(~F.col(text).rlike(SHORTEST_OR_MORE)).select(F.col(ident).alias(name), F.array_join(toks, " ").alias("words"))
+        return d.where("words <> ''")
+
+    items = save(whole(bench, item, item_text, "item"), "short-items")
+    d = whole(docs, ident, text, "id") if items.limit(1).count() else docs.select(F.col(ident).alias("id"), F.lit("").alias("words")).limit(0)
+    one = F.lit(1).cast("long")
+    return d.join(items, "words").groupBy("id", "item").agg(one.alias("n_windows"), one.alias("item_windows"), F.lit(True).alias("exact")).select("id", "item", "n_windows", "item_windows", "exact")
 
 
 def clean(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", **kw) -> DataFrame:
-    """The documents that hold no item."""
-    return without(docs, ident, find(docs, bench, ident, **kw).select(ident))
+    """The rows whose texts hold no item; rows that repeat an id, or have none, are judged each by itself."""
+    rows, row = rows_apart(docs, ident)
+    return without(rows, row, find(rows, bench, row, **kw).select(row)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bloom_of, components, free_name, grouped, in_bloom, lowered, mixed, save, split_hot, text_slices, word_bounds, word_hashes
+from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, rows_apart, save, split_hot, text_slices, without, word_bounds, word_hashes
 
 WORDS = 5
 #: Jaccard of at least UP / DOWN.
@@ -487,9 +487,10 @@ def join(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
 
 def keep_one(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that with the smallest id, one without an id last. Rows that repeat an id, or have none, are rows like any other."""
-    row = free_name(df, "row")
-    rows = save(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows, row = rows_apart(df, ident)
     told = save(join(rows, row, text), "joined")
+    if row == ident:
+        return without(df, ident, told.where(F.col(ident) != F.col("component_id")).select(ident))
     of = rows.select(F.col(row).alias("_r"), F.col(ident).cast("long").alias("_id")).join(told.select(F.col(row).alias("_r"), F.col("component_id").alias("_c")), "_r")
     best = of.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_r")).alias("_b")).select(F.col("_b._r").alias(row))
     return rows.join(best, row, "left_semi").select(*df.columns)

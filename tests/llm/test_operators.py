@@ -109,15 +109,18 @@ def brute_secrets(text):
     base += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     more = []
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
-        s = m[0]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or re.search(secrets.ALLOW, s) or any(b[0] < m.end() and b[2] > m.start() for b in base):
+        if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
             continue
-        for _, looks, _, bits in secrets.CLASSES:
-            if re.search(looks, s):
-                hot = [i for i in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) >= bits - 1e-9]
-                if hot:
-                    more.append((m.start() + hot[0], 3, m.start() + hot[-1] + 20, "entropy"))
-                break
+        cuts = [(0, 0), *(x.span() for x in re.finditer(secrets.ALLOWED, m[0])), (len(m[0]),) * 2]
+        for (_, x), (y, _) in itertools.pairwise(cuts):
+            s = m[0][x:y]
+            for _, looks, _, bits in secrets.CLASSES:
+                if re.search(looks, s):
+                    hot = [i for i in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) >= bits - 1e-9]
+                    at = (m.start() + x + hot[0], m.start() + x + hot[-1] + 20) if hot else None
+                    if hot and not any(b[0] < at[1] and b[2] > at[0] for b in base):
+                        more.append((at[0], 3, at[1], "entropy"))
+                    break
     tell = lambda xs: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(xs))
     return len(base), hashlib.sha256(tell(base).encode()).hexdigest(), tell(base + more)
 
@@ -127,6 +130,10 @@ def test_secrets(spark, none):
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
     texts = ["", "é token:secret: abcdefghijk", 'PASSWORD = "abcdefgh" token=short api_key:\'x.y-z_1234\'', "AKIA1234 AKIAABCDEFGHIJKL9 " + "0123456789abcdef" * 3, "x" * 50_000 + " passwd=12345678", "example" + "Zq8w" * 9, "ñ " + "aB3" * 12, "deadbeef" * 5 + "g"]
     texts += [" ".join("".join(rng.choice(letters, n)) for n in rng.integers(3, 60, 6)) for _ in range(60)]
+    run = "".join(rng.choice(letters, 16_000))
+    keys = ["".join(rng.choice(letters[:62], 40)) for _ in range(900)]
+    texts += [run, run[:300] + "xxxx" + run[300:700], "xxxx" + run[:60], run[:3000] + "Example" + run[3000:3100] + "changeme" + run[3100:3150] + "dummy" + run[3200:], " ".join("token=abcdefgh1" for _ in range(16_000))]
+    texts += [" ".join(f"{k} token={k} {k[:30]} {hashlib.md5(k.encode()).hexdigest()}" for k in keys), ("0123456789abcdef" * 300 + " " + keys[0] + " ") * 3]
     rows = [(k, t) for k, t in enumerate(texts)] + [(1, texts[1]), (None, None)]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and sum(r.n_entropy for r in got) > 10
@@ -361,8 +368,7 @@ def test_rows_are_dropped_by_row_whatever_columns_are_called(spark):
     assert kept.columns == docs.columns and sorted(r._k for r in kept.collect()) == [0, 2, 4, 5]
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today")], "item_id long, text string")
     clean = decontaminate.clean(docs, bench)
-    # rows without an id are told apart no more than rows that share one: what one of them holds, all of them lose
-    assert clean.columns == docs.columns and sorted(r._k for r in clean.collect()) == [0, 1, 2]
+    assert clean.columns == docs.columns and sorted(r._k for r in clean.collect()) == [0, 1, 2, 3]
 
 
 def test_hot_shingles_are_dealt_by_class(spark, monkeypatch):
@@ -433,11 +439,14 @@ def test_decontamination_against_brute_force(spark):
 def test_templates(spark, odd, none):
     ask = "{} has {} apples and buys {} more kg of flour , so if {} has {} apples again how many are there for {} then"
     bench = spark.createDataFrame([(1, "Today " + ask.format("Bob", 12, 4, "Mary", 12, "Bob")), (2, "one two three four five"), (3, "a b"), (4, None)], "item_id long, text string")
-    texts = {10: "Now " + ask.format("Tom", 5, 7, "Anna", 5, "Tom"), 11: "Now " + ask.format("Tom", 5, 7, "Anna", 6, "Tom"), 12: "it was said , " + ask.format("Bob", 12, 4, "Mary", 12, "Bob"), 13: "zero ONE two, three; four five six", 14: None, 15: ""}
+    texts = {10: "Now " + ask.format("Tom", 5, 7, "Anna", 5, "Tom"), 11: "Now " + ask.format("Tom", 5, 7, "Anna", 6, "Tom"), 12: "it was said , " + ask.format("Bob", 12, 4, "Mary", 12, "Bob"), 13: "zero ONE two, three; four five six", 14: None, 15: "", 16: "A -- b!", 17: "a b c", 18: "a b 1,5 6"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.find(docs, bench).collect()}
-    assert got == {(10, 1): False, (12, 1): True, (13, 2): True}
-    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [11, 14, 15]
+    assert got == {(10, 1): False, (12, 1): True, (13, 2): True, (16, 3): True}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [11, 14, 15, 17, 18]
+    # items without an id are found like others
+    named = bench.select(F.when(F.col("item_id") > 1, F.col("item_id")).alias("item_id"), "text")
+    assert {(r.doc_id, r.item_id): r.exact for r in decontaminate.find(docs, named).collect()} == {(10, None): False, (12, None): True, (13, 2): True, (16, 3): True}
     assert decontaminate.clean(odd, bench).columns == odd.columns
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
