@@ -45,10 +45,12 @@ ROUNDS = 2
 #: Shingles of so many texts (a power of two) are cells dealt by class, not by shingle.
 HOT = 12
 #: Cells of a class that are looked through for the first that a pair shares; beyond these a pair may be told twice.
-FIRSTS = 64
+FIRSTS = 8
 #: Prefix shingles a bucket holds on average; points of a block of a hot cell; points of a leaf, children of a node, and groups
 #: that a tree's coordinate sums.
 BUCKET, BLOCK, LEAF, FAN, COARSE = 200_000, 1500, 32, 8, 4
+#: Pairs of longs that are sent to all tasks at most (16 MB).
+MOST_SENT = 1_000_000
 #: Points that are compared one by one rather than by a tree.
 FEW = 8
 
@@ -365,10 +367,16 @@ def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], names=["kind", "a", "b", "n"])
 
 
+def _some(pairs: DataFrame) -> DataFrame:
+    """Written pairs of longs, sent to all tasks if they are counted and few."""
+    return F.broadcast(pairs) if pairs.count() <= MOST_SENT else pairs
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keep: list[str]) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Only the texts of classes in question are hashed again."""
+    """The pairs (a, b) of a written table that link, by their whole sets. Only the texts of classes in question are hashed again."""
     spark = docs.sparkSession
-    need = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    need = save(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct(), "need", keep)
+    need = _some(need)
     bits = bloom_of(need.join(classes.select("sig", "rep"), "sig"), "rep")
     sent = spark.sparkContext.broadcast(bits.tobytes())
 
@@ -395,13 +403,13 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keep: list[st
                 ok.append(bool(len(x)) and enough(shared, len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
+    both = _some(pairs).select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
     with arrow_rows(spark, 1000):
         return save(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links", keep)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose count vectors allow the Jaccard."""
+    """Pairs of a written table whose count vectors allow the Jaccard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -410,10 +418,9 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 ok.append(bounded(unpacked(x.as_buffer()), unpacked(y.as_buffer()), n))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sizes = classes.select("sig", "n")
-    pairs = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(f"{DOWN} * na >= {UP} * nb and {DOWN} * nb >= {UP} * na")
-    both = pairs.join(classes.select(F.col("sig").alias("a"), F.col("vec").alias("x")), "a").join(classes.select(F.col("sig").alias("b"), F.col("vec").alias("y")), "b")
+    one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("vec").alias("x"))
+    two = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("y"))
+    both = _some(pairs).select("a", "b").join(one, "a").join(two, "b").where(f"{DOWN} * na >= {UP} * nb and {DOWN} * nb >= {UP} * na")
     return both.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(run, "a long, b long")
 
 
@@ -438,7 +445,7 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     cells = save(grouped(_prefixes(docs, buckets, (tok, level)), ["bucket"], _cells, "kind int, a long, b long, n long"), "cells", keep)
     # first links: every class against the smallest member that it shares most cells with
     star = cells.where("kind <> 1").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).groupBy("kind", "b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    star = save(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars", keep)
     links = _verify(docs, save(_bounded(star, classes), "star", keep), classes, keep)
     member = save(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct(), "members", keep)
     for k in range(ROUNDS):
@@ -450,6 +457,7 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
         like = f"comp <> c.comp and {DOWN} * n >= {UP} * c.n and {DOWN} * c.n >= {UP} * n"
         met = at.join(mixed_, "cell").where(like).groupBy("comp", F.col("c.comp").alias("other"), F.col("c.sig").alias("a"), F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("m"))
         met = met.groupBy("comp", "other").agg(F.max_by(F.struct("a", "b"), F.struct("m", F.xxhash64("a", "b", F.lit(k)).alias("h"))).alias("p")).select("p.a", "p.b")
+        met = save(met, "met", keep)
         more = save(_bounded(met, classes), "met", keep)
         new = _verify(docs, more, classes, keep)
         n = new.count()
