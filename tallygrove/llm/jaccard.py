@@ -9,7 +9,8 @@ counts of neighbouring groups summed; pairs of points that pass are bounded by a
 As count vectors of unlike texts of one length lie close together in few dimensions, one tree over all points would
 visit most pairs. So points are first dealt to cells: sets that reach a Jaccard of 0.75 share one of
 the first ``n - ceil(0.75 n) + 1`` shingles of any fixed order. The order here puts frequent shingles
-last. Each cell with points of more than one known component gets its own tree; surviving pairs are
+last. Each cell with points of more than one known component gets its own tree, without the points whose shingle comes so
+late that no other of the cell can be near them; surviving pairs are
 verified on the whole sets. A pair leaves the trees in the first of the cells that both sets are in, so hardly
 any is told twice. To keep groups of near copies from meeting all against all, each set is first
 verified against the best of its cells' smallest members and of their largest; components that still meet
@@ -44,6 +45,10 @@ FREQUENT, OFTEN = 1 << 17, 8
 ROUNDS = 2
 #: Shingles of so many texts (a power of two) are cells dealt by class, not by shingle.
 HOT = 12
+#: Shingles of a long set: counts of fewer groups tell long sets apart well enough.
+LONG = 512
+#: A set's first shingle is place 0, and one after its last this.
+PLACES = 1000
 #: Cells of a class that are looked through for the first that a pair shares; beyond these a pair may be told twice.
 FIRSTS = 8
 #: Prefix shingles a bucket holds on average; points of a block of a hot cell; points of a leaf, children of a node, and groups
@@ -84,29 +89,35 @@ def class_of(s: np.ndarray) -> int:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups; their number is a power of two, as many as the shingles or more, so a byte holds a count."""
-    k = max(4, math.ceil(math.log2(max(1, len(s)))))
+    """Counts of the groups, whose number is a power of two: as many as the shingles or more, or a quarter of that where a set is long.
+
+    A byte holds a count.
+    """
+    k = max(4, math.ceil(math.log2(max(1, len(s)))) - (2 if len(s) > LONG else 0))
     n = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
     if n.max(initial=0) > 255:
         raise ValueError("shingle hashes aren't spread")
     return n.astype(np.uint8)
 
 
-_TWO_BITS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
+_SHIFTS = {2: np.array([0, 2, 4, 6], np.uint8), 4: np.array([0, 4], np.uint8)}
+_CUT = {bits: ((np.arange(256)[:, None] >> at) & ((1 << bits) - 1)).astype(np.uint8) for bits, at in _SHIFTS.items()}
 
 
 def packed(v: np.ndarray) -> bytes:
-    """Counts in two bits each, and before them the groups of what is beyond 3."""
-    over = np.repeat(np.arange(len(v)), np.maximum(v.astype(np.int64) - 3, 0)).astype(np.uint32)
-    low = np.minimum(v, 3).reshape(-1, 4)
-    return np.array([len(over)], np.uint32).tobytes() + over.tobytes() + (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    """Counts in two bits each, or four where they are many; before them the groups of what is beyond that."""
+    bits = 2 if v.sum(dtype=np.int64) <= len(v) else 4
+    most = (1 << bits) - 1
+    over = np.repeat(np.arange(len(v)), np.maximum(v.astype(np.int64) - most, 0)).astype(np.uint32)
+    low = np.minimum(v, most).reshape(-1, 8 // bits)
+    return np.array([bits, len(over)], np.uint32).tobytes() + over.tobytes() + (low << _SHIFTS[bits]).sum(axis=1, dtype=np.uint8).tobytes()
 
 
 def unpacked(raw) -> np.ndarray:
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    v = _TWO_BITS[np.frombuffer(raw, np.uint8, offset=4 + 4 * n)].ravel()
+    bits, n = np.frombuffer(raw, np.uint32, 2).tolist()
+    v = _CUT[bits][np.frombuffer(raw, np.uint8, offset=8 + 4 * n)].ravel()
     if n:
-        np.add.at(v, np.frombuffer(raw, np.uint32, n, 4), 1)
+        np.add.at(v, np.frombuffer(raw, np.uint32, n, 8), 1)
     return v
 
 
@@ -136,13 +147,13 @@ def bounded(x: np.ndarray, y: np.ndarray, total: int) -> bool:
 class CountTree:
     """A packed R-tree of points of one width: leaves of ``LEAF`` points, nodes of ``FAN`` children.
 
-    Nodes hold the counts of ``COARSE`` neighbouring groups summed.
+    Nodes hold the counts of ``COARSE`` neighbouring groups summed, unless the sets are long.
     """
 
     def __init__(self, at: np.ndarray, points: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
         order = np.lexsort((points.argmax(axis=1), n, comp))  # near copies lie side by side
         self.at, self.full, self.n = at[order], points[order], n[order]
-        self.points = fold(self.full, max(4, points.shape[1] // COARSE)).astype(np.int32)
+        self.points = fold(self.full, max(4, points.shape[1] // (COARSE if n.sum() <= points.size else 1))).astype(np.int32)
         self.levels: list[tuple[np.ndarray, ...]] = []
         comp = comp[order]
         low = (self.points, self.n, self.n, comp, comp)
@@ -268,7 +279,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Prefix shingles with their class, packed by bucket: payload is 32 bits a shingle, then 64 a class. Those of hot shingles have buckets below 0, by class."""
+    """Prefix shingles with their class, packed by bucket: payload is 32 bits a shingle, then 64 a class, then 8 a place. Those of hot shingles have buckets below 0, by class."""
     sent = docs.sparkSession.sparkContext.broadcast((often[0].tobytes(), often[1].tobytes()))  # FREQUENT entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +288,7 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
         maybe[(tok & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
         toks: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         hots: list[np.ndarray] = []
         sigs: list[tuple[int, int]] = []
         size = 0
@@ -289,10 +301,10 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
             with np.errstate(over="ignore"):
                 into[warm] = -1 - (mixed(c[warm].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(into, kind="stable")
-            into, t, c = into[order], ((t >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], c[order]
+            into, t, c, q = into[order], ((t >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], c[order], np.concatenate(places)[order]
             has, at = np.unique(into, return_index=True)
             ends = np.append(at[1:], len(t))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(has, pa.int64()), "payload": pa.array([t[x:y].tobytes() + c[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(has, pa.int64()), "payload": pa.array([t[x:y].tobytes() + c[x:y].tobytes() + q[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())})
 
         for b in batches:
             for s in shingle_sets(b.column("t")):
@@ -315,11 +327,12 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
                     s, hot = s[order], rank[order] >= HOT
                 toks.append(s[:p])
                 hots.append(hot[:p])
+                places.append((np.arange(p) * PLACES // len(s)).astype(np.uint8))
                 sigs.append((c, p))
                 size += p
                 if size > 1_000_000:
                     yield flush()
-                    toks, hots, sigs, size = [], [], [], 0
+                    toks, places, hots, sigs, size = [], [], [], [], 0
         if toks:
             yield flush()
 
@@ -327,30 +340,31 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
 
 
 def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: kind 0, (smallest class of a cell, other class, cells both are in); kind 2, the same of the largest; kind 1, (cell, class, 0).
+    """Of a bucket: kind 0, (smallest class of a cell, other class, cells both are in); kind 2, the same of the largest; kind 1, (cell, class, first place of a shingle of the cell's among the class's, in thousandths).
 
     Shingles of one class fall away, and cells with equal members are one. Of a bucket of hot shingles: kind 1 only.
     """
-    tok, sig = [], []
+    tok, sig, place = [], [], []
     for x in t.column("payload").to_pylist():
-        n = len(x) // 12
+        n = len(x) // 13
         tok.append(np.frombuffer(x, np.uint32, n))
-        sig.append(np.frombuffer(x, np.int64, n, 4 * n) if (4 * n) % 8 == 0 else np.frombuffer(x[4 * n :], np.int64))
-    tok, sig = np.concatenate(tok), np.concatenate(sig)
+        sig.append(np.frombuffer(x[4 * n : 12 * n], np.int64))
+        place.append(np.frombuffer(x, np.uint8, n, 12 * n))
+    tok, sig, place = np.concatenate(tok), np.concatenate(sig), np.concatenate(place).astype(np.int64)
     order = np.lexsort((sig, tok))
-    tok, sig = tok[order], sig[order]
+    tok, sig, place = tok[order], sig[order], place[order]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
-    tok, sig = tok[new], sig[new]
+    tok, sig, place = tok[new], sig[new], place[new]
     if t.column("bucket")[0].as_py() < 0:  # whom else these shingles' cells hold isn't known here
         with np.errstate(over="ignore"):
             cell = mixed(tok.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig), np.int32)), pa.array(cell), pa.array(sig), pa.array(np.zeros(len(sig), np.int64))], names=["kind", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig), np.int32)), pa.array(cell), pa.array(sig), pa.array(place)], names=["kind", "a", "b", "n"])
         return
     first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
     size = np.diff(np.append(first, len(tok)))
     many = np.repeat(size, size) > 1
-    sig, size = sig[many], size[size > 1]
+    sig, place, size = sig[many], place[many], size[size > 1]
     if not len(sig):
         return
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -361,10 +375,11 @@ def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
         star = centre != sig
         pairs, n = np.unique(np.stack([centre[star], sig[star]]), axis=1, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "n"])
-    _, keep = np.unique(cell, return_index=True)
+    _, keep, same = np.unique(cell, return_index=True, return_inverse=True)
+    np.minimum.at(place, np.repeat(first[keep[same]] - first, size) + np.arange(len(sig)), place)  # cells of equal members list them in one order
     take = np.isin(np.repeat(np.arange(len(size)), size), keep)
     a, b = np.repeat(cell, size)[take], sig[take]
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], names=["kind", "a", "b", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(place[take])], names=["kind", "a", "b", "n"])
 
 
 def _some(pairs: DataFrame) -> DataFrame:
@@ -444,10 +459,12 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     buckets = max(1, math.ceil(total * (DOWN - UP) / DOWN / BUCKET))
     cells = save(grouped(_prefixes(docs, buckets, (tok, level)), ["bucket"], _cells, "kind int, a long, b long, n long"), "cells", keep)
     # first links: every class against the smallest member that it shares most cells with
-    star = cells.where("kind <> 1").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).groupBy("kind", "b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    star = cells.where("kind <> 1").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
+    # these are only the first pairs to be tried, so those with little in common can wait
+    star = star.join(classes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b").where(f"m.n * {DOWN * DOWN} >= nb * {DOWN - UP}").select("b", "m.a")
     star = save(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars", keep)
     links = _verify(docs, save(_bounded(star, classes), "star", keep), classes, keep)
-    member = save(cells.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("sig")).distinct(), "members", keep)
+    member = save(cells.where("kind = 1").groupBy(F.col("a").alias("cell"), F.col("b").alias("sig")).agg(F.min("n").alias("place")), "members", keep)
     for k in range(ROUNDS):
         comps = save(components(links), "components", keep)
         known = classes.select("sig", "n").join(comps.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("comp"))
@@ -469,14 +486,20 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     known = classes.select("sig", "n").join(comps.select(F.col("v").alias("sig"), "root"), "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("comp"))
     at = member.join(known, "sig")
     mixed_ = at.groupBy("cell").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("cell")
-    at = save(at.join(mixed_, "cell"), "mixed", keep)
-    firsts = at.groupBy("sig").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, FIRSTS).alias("firsts"))
-    points = save(classes.select("sig", "vec").join(firsts, "sig"), "points", keep)
+    # in the cell of the first shingle that sets a and b share they share no more than is left of either, so 4 n_a - 7 place_a >= 3 n_b
+    left = (UP + DOWN) * (F.floor(F.col("place") * F.col("n") / PLACES)).cast("long")
+    at = at.join(mixed_, "cell").withColumn("reach", DOWN * F.col("n") - left).drop("place")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(DOWN / UP)).cast("int")
     # sizes a quarter apart at most are in one band or in neighbours; each point also visits the next
     at = at.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.when(F.col("home"), band).otherwise(band + 1))
-    full = at.groupBy("cell", "band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("home").alias("_home")).where("_lo < _hi and _home").select("cell", "band")
-    dealt = split_hot(at.join(full, ["cell", "band"]), ["cell", "band"], "sig", BLOCK).join(points, "sig")
+    both = [F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("home").alias("_home")]
+    full = at.groupBy("cell", "band").agg(*both, F.min("n").alias("_least"), F.max("reach").alias("_most")).where("_lo < _hi and _home").select("cell", "band", "_least", "_most")
+    at = save(at.join(full, ["cell", "band"]).where(f"reach >= {UP} * _least and _most >= {UP} * n").drop("_least", "_most", "reach"), "banded", keep)
+    full = at.groupBy("cell", "band").agg(*both).where("_lo < _hi and _home").select("cell", "band")
+    at = save(at.join(full, ["cell", "band"]), "banded", keep)
+    firsts = at.groupBy("sig", "band").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, FIRSTS).alias("firsts"))
+    points = classes.select("sig", "vec").join(firsts, "sig")
+    dealt = split_hot(at, ["cell", "band"], "sig", BLOCK).join(points, ["sig", "band"])
     more = save(grouped(dealt, ["cell", "band", "lo", "hi"], cell_pairs, "a long, b long").distinct(), "pairs", keep)
     return rows, classes, links.unionByName(_verify(docs, more, classes, keep)).distinct()
 
