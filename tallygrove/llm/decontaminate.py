@@ -33,7 +33,10 @@ UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "se
 NUM, UNIT, NAME = "\u0001#", "\u0001U", "\u0001N"
 #: Between a slot's value and its place.
 PLACE = "\u0002"
-TOKEN = r"\x01?(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)"
+NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+TOKEN = rf"\x01?(?:{NUMBER}|[\p{{L}}\p{{M}}]+)"
+#: A unit, with the number before it as the digit 0.
+UNIT_AFTER = rf"(0[^\p{{L}}\p{{M}}0-9]*+)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
 #: Begins to match where so many tokens follow that there is a window.
 SHORTEST_OR_MORE = r"(?:(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}\p{M}]++)[^\p{L}\p{M}0-9]*+){%d}" % SHORTEST
 #: Before a capitalised word that no sentence begins with.
@@ -58,7 +61,8 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
 
     With ``placed`` also places: those of the slots in the text.
     """
-    d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(F.regexp_replace(F.col(text), names, "\u0001"), F.lit(TOKEN), F.lit(0)).alias("toks"))
+    own = F.translate(F.col(text), "\u0001", PLACE)  # the mark is no mark in a text
+    d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(F.regexp_replace(own, names, "\u0001"), F.lit(TOKEN), F.lit(0)).alias("toks"))
     d = d.where(F.size("toks") >= min(sizes)).withColumn("canon", _canon(F.col("toks")))
     marked = F.exists("canon", lambda c: c.startswith("\u0001"))
 
@@ -94,22 +98,26 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
 
 
 def window_hashes(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), names: str = WITHIN) -> DataFrame:
-    """(id, g): hashes of the windows of these sizes, with all their placeholders and with numbers only; no places and no values."""
-    toks = F.regexp_extract_all(F.regexp_replace(F.col(text), names, "\u0001"), F.lit(TOKEN), F.lit(0))
-    d = df.select(F.col(ident).alias("id"), toks.alias("toks")).where(F.size("toks") >= min(sizes)).select("id", F.transform("toks", F.lower).alias("low"))
-    digit = lambda t: F.ascii(t).between(48, 57)
-    num, unit, name = (F.xxhash64(F.lit(x)) for x in (NUM, UNIT, NAME))
-    d = d.withColumn("ps", F.transform("low", lambda t: F.when(digit(t), num).when(F.ascii(t) == 1, F.xxhash64(F.substring(t, 2, 1 << 30))).otherwise(F.xxhash64(t))))
-    typed = lambda t, i: F.when(F.ascii(t) == 1, name).when(digit(F.get("low", i - 1)) & t.isin(*UNITS), unit).otherwise(F.get("ps", i))
-    d = d.select("id", "ps", F.transform("low", typed).alias("hs"))
+    """(id, g): hashes of the windows of these sizes, with all their placeholders and with numbers only; no places and no values.
+
+    Placeholders are put into the whole text, as digits: 0 a number, 1 a name, 2 a unit. Windows that are equal as ``windows``
+    makes them are equal here; the two small sigmas count as one, as a whole text's lower case depends on what follows.
+    """
+    low = lambda t: F.replace(F.lower(t), F.lit("ς"), F.lit("σ"))
+    plain = F.regexp_replace(low(F.col(text)), NUMBER, "0")
+    d = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), plain.alias("plain"))
+    typed = F.regexp_replace(low(F.regexp_replace(F.regexp_replace("t", NUMBER, "0"), names + r"[\p{L}\p{M}]++", "1")), UNIT_AFTER, "$12")
+    d = d.select("id", "plain", F.when(F.col("t").rlike(names) | F.col("plain").rlike(UNIT_AFTER), typed).alias("typed"))
+    hashes = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"[0-2]|[\p{L}\p{M}]++"), F.lit(0)), lambda x: F.xxhash64(x))
+    d = d.select("id", hashes("plain").alias("ps"), F.when(F.col("typed").isNotNull(), hashes("typed")).alias("hs"))
     none = F.array().cast("array<bigint>")
 
     def lot(of: str, w: int) -> Column:
         one = lambda i: F.xxhash64(F.lit(w), *[F.get(of, i + k) for k in range(w)])
         return F.when(F.size(of) >= w, F.transform(F.sequence(F.lit(0), F.size(of) - w), one)).otherwise(none)
 
-    plain = F.concat(*[lot("ps", w) for w in sizes])
-    return d.select("id", F.explode(F.when(F.col("hs") == F.col("ps"), plain).otherwise(F.concat(plain, *[lot("hs", w) for w in sizes]))).alias("g"))
+    own = F.concat(*[lot("ps", w) for w in sizes])
+    return d.select("id", F.explode(F.when(F.col("hs").isNull(), own).otherwise(F.concat(own, *[lot("hs", w) for w in sizes]))).alias("g"))
 
 
 def benchmark_items(bench: DataFrame, item: str, text: str) -> tuple[DataFrame, tuple[int, ...]]:

@@ -451,6 +451,24 @@ def test_templates(spark, odd, none):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_hashes_find_whatever_windows_find(spark):
+    """Two texts with a window in common, in either form, have a hash in common."""
+    rng = np.random.default_rng(9)
+    words = ["He", "said", "Anna", "km", "Km", "3", "3,5", "12abc", "kg.", "and", "ΟΔΟΣ", "ΟΔΟΣ.α", "İs", "é", "e\u0301", "Tom's", "x-ray", "5kg", "７", "1.", "\u0001A", "σς", "bread", ",", "it:"]
+    texts = [(k, " ".join(rng.choice(words, 12))) for k in range(120)]
+    texts += [(200 + k, t.replace(".", "").replace("3 ", "44 ").replace("Anna", "Mary")) for k, t in texts] + [(500, None), (501, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    for names in (decontaminate.WITHIN, decontaminate.ANYWHERE):
+        for w in (4, 8):
+            pairs = []
+            for rows, key in ((decontaminate.windows(d, "doc_id", "text", (w,), names=names), "h"), (decontaminate.window_hashes(d, "doc_id", "text", (w,), names), "g")):
+                at = collections.defaultdict(set)
+                for r in rows.select("id", key).collect():
+                    at[r[1]].add(r[0])
+                pairs.append({p for ids in at.values() for p in itertools.combinations(sorted(ids), 2)})
+            assert pairs[0] <= pairs[1] and len(pairs[0]) > 50
+
+
 def test_one_clash_does_not_hide_a_long_copy(spark):
     text = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(72)]
     text[10] = text[50] = "1987"
