@@ -93,6 +93,51 @@ def label_text(category_: Column, code: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.concat_ws(" ", code, name)), F.lit("")), F.nullif(category_, F.lit("")), F.lit("other"))
 
 
+def code_order(code: Column) -> tuple[Column, Column, Column]:
+    """Sort key: codes that aren't numbers by text, then numbers by value."""
+    digits = code.rlike(r"^\d+$")
+    return digits, F.coalesce(F.when(digits, code.try_cast("long")), F.lit(0)), code
+
+
+#: Rounds by the name of the catalog's field, which files are named after.
+ROUND_OF_FIELD = {"file_path_1": "R1", "file_path_2": "R2", "file_path_3": "R3", "file_path_4": "R4", "file_path_handicap": "handicap"}
+
+
+def round_of_file(name: Column) -> Column:
+    """The round of a file that is named ``<field>__<anything>``, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in ROUND_OF_FIELD.items() for x in kv]), F.regexp_extract(name, r"^(file_path_\w+?)__", 1))
+
+
+def tidy_lines(text: Column) -> Column:
+    """Line ends without blanks, one empty line at most between lines, none around the text."""
+    ends = F.regexp_replace(text, r"(?U)[^\S\n]+(?=\n|$)", "")
+    return F.regexp_replace(F.regexp_replace(ends, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+\z", "")
+
+
+def title(c: Column) -> Column:
+    """Each run of letters with a capital first."""
+    return F.array_join(F.transform(F.split(c, r"(?<=\P{L})(?=\p{L})|(?<=\p{L})(?=\P{L})"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
+
+
+def general(x: Column) -> Column:
+    """A number as C's %g writes it: six digits that count, no zeros at the end.
+
+    Of two that are equally near, the even one for binary fractions, else the larger.
+    """
+    full = F.regexp_replace(F.format_string("%.16e", F.abs(x)), r"\.", "")
+    tie = (F.substring(full, 7, 11) == "50000000000") & F.substring(full, 6, 1).isin("0", "2", "4", "6", "8") & (x * 1024 == F.floor(x * 1024))
+    said = F.regexp_replace(F.format_string("%.5e", F.abs(x)), r"\.", "")
+    said = F.when(tie, F.concat(F.substring(full, 1, 6), F.substring(full, 18, 9))).otherwise(said)
+    digits = F.rtrim(F.substring(said, 1, 6), F.lit("0"))
+    power = F.substring(said, 8, 9).cast("int")
+    dot = lambda a, b: F.concat(a, F.when(b != "", F.concat(F.lit("."), b)).otherwise(F.lit("")))
+    rest = lambda n: F.substring(digits, n + 1, F.lit(9))
+    plain = F.when(power >= 0, dot(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, "0"), rest(power + 1))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    wide = F.concat(dot(F.substring(digits, 1, 1), rest(F.lit(1))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"))
+    size = F.when(x == 0, F.lit("0")).when(power.between(-4, 5), plain).otherwise(wide)
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), size))
+
+
 def is_noise(token: Column) -> Column:
     return token.rlike(r"^\p{Nd}+$") | ~token.rlike(r"[\p{L}\p{N}]")
 

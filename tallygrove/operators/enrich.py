@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import fuzz_wratio
-from ..functions.text import squash
+from ..functions.text import safe_name, squash
 
 
 def fill_exact(rows: DataFrame, catalog: DataFrame, ident: str, code: str, name: str, seats: str) -> DataFrame:
@@ -49,6 +49,36 @@ def first_match(probe: DataFrame, build: DataFrame, key: str, ident: str) -> Dat
     return probe.join(build.groupBy(key).agg(F.min(ident).alias("match_id")), key, "left")
 
 
+def requested(ids: DataFrame, institutions: DataFrame, key: str) -> DataFrame:
+    """Each id that was asked for, once, and whether the list has it."""
+    have = institutions.select(key).distinct().withColumn("known", F.lit(True))
+    return ids.select(key).distinct().join(have, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def first_candidate(rows: DataFrame, files: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+    """Each row with the first file, by path, of its keys; null without one."""
+    return rows.join(files.groupBy(*keys).agg(F.min(path).alias(path)), keys, "left")
+
+
+def any_of(*cols: Column) -> Column:
+    """Whether any of the texts is there and not empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols]).isNotNull()
+
+
+def download_manifest(institutions: DataFrame, key: str, fields: list[str], present: DataFrame) -> DataFrame:
+    """A row a url that an institution publishes: (key, field, url, path, status), ``skip`` where the path is present, else ``todo``."""
+    urls = institutions.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("url")) for f in fields])).alias("u")).select(key, "u.*").where(any_of(F.col("url")))
+    base = F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), -1)
+    rows = urls.withColumn("path", F.concat_ws("/", F.col(key).cast("string"), F.concat("field", F.lit("__"), safe_name(base))))
+    there = present.select("path").distinct().withColumn("_there", F.lit(True))
+    return rows.join(there, "path", "left").select(key, "field", "url", "path", F.when(F.col("_there"), "skip").otherwise("todo").alias("status"))
+
+
+def assign(labels: DataFrame, mapping: DataFrame, keys: list[str], value: str = "canonical", default: str = "other") -> DataFrame:
+    """Labels with their word of a fixed vocabulary, from a table that a person or a model made; the first of repeated keys by its word."""
+    return lookup(labels, mapping.groupBy(*keys).agg(F.min(value).alias(value)), keys, value, default)
+
+
 def targets(manifest: DataFrame, archetypes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Files of a manifest (university_id, pdfs: array of round_key, path, status) that were fetched, with their archetype."""
     d = manifest.select("university_id", F.explode("pdfs").alias("f")).select("university_id", F.col("f.round_key").alias("round"), F.col("f.path").alias("path"), F.col("f.status").alias("status"))

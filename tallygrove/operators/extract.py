@@ -141,6 +141,28 @@ def header_of(rows: DataFrame, ident: str) -> DataFrame:
     return full.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "name"))), lambda x: x["name"]).alias("header"))
 
 
+def clean_cell(c: Column) -> Column:
+    return F.trim(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("/")))
+
+
+def render(rows: DataFrame, ident: str) -> DataFrame:
+    """Per table of (ident, line_no, cells): its text, with the merged header, a rule and the rows of data."""
+    coded = F.exists(F.slice("cells", 2, 2), lambda c: c.rlike(r"^\d+$"))
+    w = Window.partitionBy(ident)
+    d = rows.withColumn("r", F.row_number().over(w.orderBy("line_no")) - 1).withColumn("start", F.greatest(F.coalesce(F.min(F.when(coded, F.col("r"))).over(w), F.lit(0)), F.lit(1)))
+    data = d.where("r >= start").groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("data"))
+    line = lambda cs: F.concat(F.lit("| "), F.array_join(cs, " | "), F.lit(" |"))
+    n = F.size("header")
+    body = F.transform(F.coalesce("data", F.array().cast("array<struct<r:int,cells:array<string>>>")), lambda x: line(F.transform(F.sequence(F.lit(0), n - 1), lambda k: clean_cell(F.get(x["cells"], k)))))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), n), "|"), F.lit("|"))
+    return header_of(rows, ident).join(data, ident, "left").select(ident, F.array_join(F.concat(F.array(line(F.col("header")), rule), body), "\n").alias("markdown"))
+
+
+def prose(df: DataFrame, parsed: DataFrame, ident: str = "doc_id", text: str = "text", least: int = 800) -> DataFrame:
+    """Long texts that no parser found a record in; ``parsed`` has (ident, n)."""
+    return df.where(F.length(text) >= least).join(parsed.where("n > 0").select(ident), ident, "left_anti")
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """One row: keys only left, only right, common, and how many common ones agree (null as 0)."""
     x, y = a.select(F.col(key).alias("k"), F.col(value).alias("va"), F.lit(True).alias("ina")), b.select(F.col(key).alias("k"), F.col(value).alias("vb"), F.lit(True).alias("inb"))

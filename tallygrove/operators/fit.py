@@ -49,10 +49,10 @@ def fit(components: DataFrame, scores: DataFrame, weak: tuple[str, ...] = ("GPAX
     return g.select("pid", (F.col("_sum") / F.col("got_w")).alias("fit"), F.coalesce(F.try_divide("got_w", "total_w"), F.lit(0.0)).alias("coverage"), "total_w", "got_w")
 
 
-def my_fit(programs: DataFrame, institutions: DataFrame, components: DataFrame, scores: DataFrame, limit: int = 15) -> DataFrame:
+def my_fit(programs: DataFrame, institutions: DataFrame, components: DataFrame, scores: DataFrame, limit: int = 15, weak: tuple[str, ...] = ("GPAX",)) -> DataFrame:
     """Programs (pid, institution_id, ...) of known institutions by coverage, then fit, then pid; ranked from 1."""
     known = programs.join(institutions, "institution_id")
-    top = fit(components.join(known.select("pid"), "pid", "left_semi"), scores)
+    top = fit(components.join(known.select("pid"), "pid", "left_semi"), scores, weak)
     top = top.orderBy(F.desc(F.round("coverage", 6)), F.desc(F.round("fit", 6)), "pid").limit(limit)
     rank = Window.orderBy(F.desc(F.round("coverage", 6)), F.desc(F.round("fit", 6)), "pid")  # over ``limit`` rows
     return known.join(F.broadcast(top.withColumn("rank", F.row_number().over(rank))), "pid")

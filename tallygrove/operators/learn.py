@@ -151,6 +151,13 @@ def stratified_split(df: DataFrame, label: str, order: list[str], share: float =
     return df.withColumn("is_train", F.row_number().over(w.orderBy(*order)) <= F.floor(F.count(F.lit(1)).over(w) * share))
 
 
+def plain_split(df: DataFrame, key: list[str], share: float = 0.8) -> DataFrame:
+    """The input with ``is_train``: the first share of all rows in the order of a hash of their key."""
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    ids = surrogate(df.select(*key).distinct().withColumn("_h", h), ["_h", *key], "_no").drop("_h")
+    return df.join(ids, key).withColumn("is_train", F.col("_no") <= F.floor(F.lit(df.select(*key).distinct().count()) * share)).drop("_no")
+
+
 def encode_label(df: DataFrame, label: str) -> DataFrame:
     """The input with ``label_id``: the rank of the label among the distinct ones, from 0."""
     ids = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("label_id", F.row_number().over(Window.orderBy(label)) - 1)
@@ -168,6 +175,20 @@ def classify(df: DataFrame, features: list[str], label: str, hidden: tuple[int,
     return m.fit(d.where("is_train")).transform(d.where("not is_train")).drop("_f", "rawPrediction", "probability")
 
 
+def topic_labels(df: DataFrame, features: list[str], names: dict[str, str] | None = None, topic: str = "topic", most: int = 4) -> DataFrame:
+    """(topic, label): names of the features of the greatest means, of those above 1, or ``(misc)``."""
+    means = df.groupBy(topic).agg(*[F.avg(f).alias(f) for f in features])
+    lot = F.array(*[F.struct((-F.col(f)).alias("w"), F.lit(k).alias("k"), F.lit((names or {}).get(f, f)).alias("name")) for k, f in enumerate(features)])
+    top = F.filter(F.slice(F.array_sort(lot), 1, most), lambda x: x["w"] < -1)
+    return means.select(topic, F.coalesce(F.nullif(F.array_join(F.transform(top, lambda x: x["name"]), " + "), F.lit("")), F.lit("(misc)")).alias("label"))
+
+
+def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """One row: n, hits, accuracy."""
+    hits = F.count_if(F.col(label).eqNullSafe(F.col(pred)))
+    return df.agg(F.count(F.lit(1)).alias("n"), hits.alias("hits"), F.round(F.try_divide(hits, F.count(F.lit(1))), 6).alias("accuracy"))
+
+
 def report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Per label: precision, recall, F1, support."""
     c = df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))

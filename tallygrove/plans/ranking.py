@@ -35,14 +35,8 @@ FROM g JOIN orders ON o_orderkey = pid JOIN customer ON c_custkey = o_custkey OR
 def fit_rank(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_custkey").alias("institution_id"))
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("institution_id"), F.col("c_name").alias("institution"))
-    comps = components(spark, d)
-    known = orders.join(customer, "institution_id")
-    top = fit.fit(comps, scores(spark), weak=("RF",)).join(known.select("pid"), "pid", "left_semi")
-    from pyspark.sql import Window
-
-    by = [F.desc(F.round("coverage", 6)), F.desc(F.round("fit", 6)), F.col("pid")]
-    top = top.orderBy(*by).limit(20).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
-    return known.join(F.broadcast(top), "pid").select("pid", "institution", F.round("fit", 4).alias("fit"), F.round("coverage", 4).alias("coverage"), "total_w", "rank")
+    top = fit.my_fit(orders, customer, components(spark, d), scores(spark), 20, weak=("RF",))
+    return top.select("pid", "institution", F.round("fit", 4).alias("fit"), F.round("coverage", 4).alias("coverage"), "total_w", "rank")
 
 
 @register(f"""WITH c AS ({_COMP_SQL}) SELECT pid, string_agg(code || ':' || weight::BIGINT, ', ' ORDER BY weight DESC, code) AS detail
@@ -198,17 +192,21 @@ def enrich_exact(spark, d):
     return j.select("doc_id", F.coalesce(F.nullif("quality", F.lit(0)), F.nullif("q", F.lit(0))).alias("quality"))
 
 
-@register("""WITH h(status, handler) AS (VALUES ('O', 'criteria'), ('F', 'index'))
-SELECT o_orderkey AS id, o_orderpriority AS round, handler FROM orders JOIN h ON h.status = o_orderstatus
-WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND (o_custkey, o_orderpriority) IN (SELECT c_custkey, '1-URGENT' FROM customer WHERE c_acctbal > 0)
-AND o_orderkey NOT IN (SELECT doc_id FROM labels)""")
+@register("""WITH h(status, round, handler) AS (VALUES ('1-URGENT', 'O', 'criteria'), ('2-HIGH', 'F', 'index'), ('2-HIGH', 'O', 'list'))
+SELECT o_custkey AS university_id, o_orderpriority AS round, o_orderkey::VARCHAR AS path, handler FROM orders JOIN h ON h.status = o_orderpriority AND h.round = o_orderstatus
+WHERE o_orderkey % 4 < 2 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_orderkey NOT IN (SELECT doc_id FROM labels)""")
 def manifest_targets(spark, d):
-    h = spark.createDataFrame([("O", "criteria"), ("F", "index")], "o_orderstatus string, handler string")
-    o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).join(F.broadcast(h), "o_orderstatus")
-    only = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"))
-    done = table(spark, d, "labels").select(F.col("doc_id").alias("o_orderkey"))
-    o = o.join(only, ["o_custkey", "o_orderpriority"], "left_semi").join(done, "o_orderkey", "left_anti")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("round"), "handler")
+    """Orders as the files of a manifest a customer; known kinds only, of some customers, but for those that are done."""
+    from ..streaming.ingest import unprocessed
+
+    status = F.element_at(F.array(F.lit("ok"), F.lit("skip"), F.lit("fail:Timeout"), F.lit("todo")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    one = F.struct(F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("round_key"), F.col("o_orderkey").cast("string").alias("path"), status.alias("status"))
+    manifest = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("university_id")).agg(F.collect_list(one).alias("pdfs"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(r).alias("round"), F.lit(h).alias("handler")) for r, h in (("1-URGENT|O", "criteria"), ("2-HIGH|F", "index"), ("2-HIGH|O", "list"))])).alias("k")
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("university_id"), "c_acctbal", kinds).select("university_id", "c_acctbal", "k.*")
+    got = enrich.targets(manifest, known.drop("c_acctbal"), known.where("c_acctbal > 0").select("university_id", "round"))
+    got = unprocessed(got, table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path")), ["path"])
+    return got.select("university_id", F.split("round", "\\|")[0].alias("round"), "path", "handler")
 
 
 @register("""SELECT l_returnflag AS flag, l_linestatus AS status, round(sum(l_quantity), 2) AS w, row_number() OVER (PARTITION BY l_returnflag ORDER BY sum(l_quantity) DESC, l_linestatus)::INT AS k

@@ -104,13 +104,6 @@ def table_cells(spark, d):
     return c.select("doc_id", F.size("cells").alias("n_cells"), F.get("cells", 0).alias("first_cell"), F.get("cells", 2).alias("third_cell"))
 
 
-@register("""WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>([^<]*)</li>', 1)) AS item FROM pages)
-SELECT page_id, left(trim(item), 300) AS item FROM i""")
-def list_items(spark, d):
-    i = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<li>([^<]*)</li>"), F.lit(1))).alias("item"))
-    return i.select("page_id", F.substring(F.trim("item"), 1, 300).alias("item"))
-
-
 @register("""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS a, len(regexp_extract_all(text, '\\|')) AS b, len(regexp_extract_all(text, '!!')) AS c FROM documents)
 SELECT doc_id, CASE WHEN a = greatest(a, b, c) THEN 'criteria' WHEN b = greatest(a, b, c) THEN 'matrix' ELSE 'index' END AS kind, greatest(a, b, c)::INT AS n FROM n""")
 def parser_choice(spark, d):

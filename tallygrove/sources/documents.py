@@ -106,6 +106,19 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("universi
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
 
 
+def delete_partitions(junk: DataFrame, path: str, by: tuple[str, ...] = ("university_id", "round")) -> int:
+    """Delete the folders of the keys that a frame names, say those without a program; how many there were.
+
+    Keys come to the driver one by one, as a file system is asked for each.
+    """
+    spark, gone = junk.sparkSession, 0
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in junk.select(*by).distinct().toLocalIterator():
+        p = hadoop("/".join([path, *[f"{c}={v}" for c, v in zip(by, r, strict=True)]]))
+        gone += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return gone
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
