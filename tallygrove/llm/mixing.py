@@ -1,6 +1,7 @@
 """Mixing sources to target weights with DataFrame functions only.
 
-Each row gets a hash-random key. Rows are dealt, within their source, to ranges of that key (as many
+Each row gets a hash-random key, of its id and text, so that rows that share an id or have none are spread too and only equal
+rows tie. Rows are dealt, within their source, to ranges of that key (as many
 as the source needs, so that a hot source is spread), prefix sums of sizes run inside a range and over
 the ranges' totals, and each source is cut at its exact budget; budgets beyond one epoch repeat it.
 
@@ -41,7 +42,7 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
 
 def plan(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), **kw) -> DataFrame:
     """Per row: ident, size, source_size, target, taken, and the columns of ``carry`` under ``c_<name>``."""
-    base = df.select(F.col(ident).alias("id"), F.col(source).alias("src"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(ident).cast("string"), F.lit(""))).alias("key"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    base = df.select(F.col(ident).alias("id"), F.col(source).alias("src"), words(F.col(text)).alias("size"), F.md5(F.concat_ws("\x1f", F.coalesce(F.col(ident).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))).alias("key"), *[F.col(c).alias(f"c_{c}") for c in carry])
     base = base.withColumn("spot", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
     slim = save(base.select("src", "size", "spot"), "sizes")
     per = save(targets_with_ranges(slim, **kw), "targets")
@@ -94,7 +95,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+WITH d AS (SELECT doc_id, source AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')) AS key,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY src ASC NULLS LAST) AS rk FROM d GROUP BY src),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((rk - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS cap FROM s),

@@ -80,6 +80,8 @@ def test_classifiers(spark, odd, none, module, label, good):
     got = subword.score(docs, model, module.KIND, module.LEAST).join(labels, "doc_id")
     right = got.where("held_out").agg(F.avg((F.col("predicted") == F.col(label)).cast("int")), F.count(F.lit(1))).first()
     assert right[0] >= good and right[1] > 1000
+    both, said, true = got.where("held_out").agg(*[F.count_if(F.expr(x)) for x in (f"predicted = 1 and {label} = 1", "predicted = 1", f"{label} = 1")]).first()
+    assert both / said >= 0.95 and both / true >= 0.95, (both, said, true)
     assert {r.held_out for r in got.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1} == {True}
     edge = subword.score(odd, model, module.KIND, module.LEAST).collect()
     assert len(edge) == 9 and all(0 <= r.score <= 1 for r in edge)
@@ -89,6 +91,51 @@ def test_classifiers(spark, odd, none, module, label, good):
     assert {r.score for r in subword.score(odd, flat, module.KIND, 0.5).collect()} == {0.5}
 
 
+def plain_score(text, model, kind):
+    """The score in plain Python, feature by feature."""
+    u32, u64 = 0xFFFFFFFF, (1 << 64) - 1
+
+    def gram(g):
+        h = (2166136261 + len(g)) & u32
+        for c in g:
+            h = (h * 16777619 & u32) ^ c
+        h = (h ^ h >> 15) * 0x2C1B3C6D & u32
+        return h >> 32 - subword.BITS
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & u64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & u64
+        return x ^ x >> 31
+
+    data = text.encode()
+    data = b" " + (re.sub(rb"[A-Z]", lambda m: m[0].lower(), data) if kind.lower else data) + b" "
+    units, last, k = collections.defaultdict(list), None, -1
+    for k, m in enumerate(re.finditer(rb"[^\x00\x20\x09-\x0d]+", data)):
+        lot = units[k // kind.window if kind.window else 0]
+        if m[0] == last:
+            if kind.words:
+                lot.append(mix(77) >> 64 - subword.BITS)
+            continue
+        last = m[0]
+        whole = data[m.start() - 1 : m.end() + 1]
+        for n in kind.grams:
+            lot += [gram(whole[i : i + n]) for i in range(len(whole) - n + 1)]
+        if kind.words:
+            h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(last)) + len(last)
+            lot.append(mix(h & u64) >> 64 - subword.BITS)
+    odds = [model.bias + sum(float(model.table[b]) for b in lot) / (len(lot) + kind.blanks) for lot in units.values() if lot]
+    return 1 / (1 + math.exp(-max(odds))) if odds else model.share
+
+
+def test_scores_are_those_of_plain_python(spark):
+    rng = np.random.default_rng(0)
+    model = subword.Model(rng.normal(size=1 << subword.BITS).astype(np.float32) * 9, 0.1, 0.2)
+    texts = ["", " \n", "a", "ab cd cd ef", "Ab aB\tab\n\nAB", "é à b" * 9, "x" * 300, " ".join(str(i % 7) for i in range(40)), None]
+    texts += [r.text for r in table(spark, "documents").limit(60).collect()]
+    for kind in (quality.KIND, toxicity.KIND):
+        assert np.allclose(model.scores(pa.array(texts, pa.string()), kind), [plain_score(t or "", model, kind) for t in texts], atol=1e-6)
+
+
 def test_scores_do_not_depend_on_the_run():
     rng = np.random.default_rng(0)
     model = subword.Model(rng.normal(size=1 << subword.BITS).astype(np.float32), 0.1, 0.2)
