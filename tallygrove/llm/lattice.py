@@ -104,14 +104,14 @@ def links(df: DataFrame, ident: str = "vec_id", vec: str = "embedding", label: s
                     keys = cells(m)
                     n, (tables, each) = len(part), keys.shape[1:]
                     row = pa.array(np.repeat(np.arange(n), tables * each))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), some.column("label").take(row), some.column("cls").take(row), pa.array(np.tile(np.arange(each) == 0, n * tables)), some.column("v").take(row)], names=["key", "label", "cls", "home", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), some.column("label").take(row), some.column("cls").take(row), pa.array(np.tile(np.arange(each) == 0, n * tables))], names=["key", "label", "cls", "home"])
 
-    at = classes.select("cls", "label", F.col("v").cast("array<double>").alias("v")).mapInArrow(keyed, "key long, label string, cls long, home boolean, v array<double>")
-    at = at.withColumn("v", F.col("v").cast("array<float>")) if dict(df.dtypes)[vec] == "array<float>" else at
+    at = classes.select("cls", "label", F.col("v").cast("array<double>").alias("v")).mapInArrow(keyed, "key long, label string, cls long, home boolean")
     at = save(at, "cells", keep)
     # a cell whose members are one class, or none of them at home, has no pair
     full = at.groupBy("key", "label").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.max("home").alias("_home")).where("_lo < _hi and _home").select("key", "label")
-    dealt = split_hot(at.join(full, ["key", "label"]), ["key", "label"], "cls", BLOCK)
+    # vectors follow only to the cells that have pairs
+    dealt = split_hot(at.join(full, ["key", "label"]), ["key", "label"], "cls", BLOCK).join(classes.select("cls", "v"), "cls")
 
     def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cls, home, blk = (t.column(c).to_numpy() for c in ("cls", "home", "blk"))
