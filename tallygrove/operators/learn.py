@@ -13,8 +13,11 @@ from .tables import surrogate
 MOST_LABELS = 5000
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
@@ -25,11 +28,17 @@ def mean_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, centroids: DataFrame, ident: str, vec: str, key: str, most: int = 10_000) -> DataFrame:
-    """(ident, key) of the most similar centroid, the smallest key of equals. Centroids are few, and counted."""
+    """(ident, key) of the most similar centroid, the smallest key of equals, so also for a zero vector. Centroids are few, and counted.
+
+    All centroids are one row, of unit vectors, that each task gets; nothing is shuffled.
+    """
     if centroids.count() > most:
         raise ValueError("too many centroids to compare with each")
-    d = df.crossJoin(F.broadcast(centroids)).withColumn("_s", cosine(F.col(vec), F.col("centroid")))
-    return d.groupBy(ident).agg(F.max_by(key, F.struct("_s", -F.col(key))).alias(key))
+    unit = F.transform("centroid", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.sqrt(dot(F.col("centroid"), F.col("centroid")))), F.lit(0.0)))
+    row = centroids.select(F.struct(F.col(key).alias("key"), unit.alias("unit")).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("_cs"))
+    d = df.select(ident, vec).join(F.broadcast(row))  # one row
+    told = F.transform("_cs", lambda c, i: F.struct(dot(F.col(vec), c["unit"]).alias("s"), (-i).alias("i"), c["key"].alias("key")))
+    return d.select(ident, F.array_max(told)["key"].alias(key))
 
 
 def average_linkage(vecs: np.ndarray, cut: float) -> np.ndarray:

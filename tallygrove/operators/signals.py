@@ -163,9 +163,29 @@ def first_hit(text: Column, table: dict[str, str]) -> Column:
     return out
 
 
+#: Keywords up to which a chain of tests, which ends with the first hit, is written out.
+CHAIN = 200
+
+
 def lexicon_match(texts: DataFrame, ident: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """(ident, label, ord) by a join on containment with a lexicon (ord, kw, label): its first hit wins."""
-    return texts.join(_few(lexicon), F.contains(F.col(text), F.col("kw"))).groupBy(ident).agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
+    """(ident, label, ord) of each text that contains a keyword of the lexicon (ord, kw, label): its first hit wins.
+
+    The lexicon is counted, as in ``_few``, and comes into the plan, so texts are read once and neither joined nor shuffled.
+    """
+    n = lexicon.count()
+    if n > MOST_WORDS:
+        raise ValueError(f"a lexicon of {n} rows; {MOST_WORDS} are the most")
+    rows = [(F.lit(r["kw"]), F.struct(F.lit(r["label"]).alias("label"), F.lit(r["ord"]).alias("ord"))) for r in lexicon.where("kw is not null").orderBy("ord").collect()]
+    if not rows:
+        hit = F.lit(None).cast("struct<label:string,ord:int>")
+    elif len(rows) <= CHAIN:
+        hit = F
+        for kw, what in rows:
+            hit = hit.when(F.contains(F.col(text), kw), what)
+    else:
+        table = F.array(*[F.struct(kw.alias("kw"), what.alias("what")) for kw, what in rows])
+        hit = F.get(F.filter(table, lambda x: F.contains(F.col(text), x["kw"])), 0)["what"]
+    return texts.select(ident, hit.alias("_h")).where("_h is not null").select(ident, "_h.label", "_h.ord")
 
 
 def match_tokens(tokens: DataFrame, lexicon: DataFrame, most: int = 1) -> DataFrame:

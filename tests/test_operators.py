@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tallygrove.functions import text as TX
 from tallygrove.functions.lexicon import SUBJECT_EN
 from tallygrove.operators import enrich, extract, fit, learn, search, signals, tables, views
 from tallygrove.plans import ingest as ingest_queries
@@ -177,6 +178,51 @@ def test_sources(spark, tmp_path):
     assert sorted(r.n for r in spark.read.json(str(tmp_path / "p")).collect()) == [1, 3]
 
 
+def test_sinks_and_readers(spark, tmp_path):
+    rows = spark.createDataFrame([("ก", 1, None), ("b", 2, "x,y")], "name string, n int, t string")
+    D.write_csv(rows, str(tmp_path / "c"), bom=True)
+    told = sorted("".join(p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("*.csv")).splitlines())
+    assert {"\ufeffname,n,t", "ก,1,", 'b,2,"x,y"'} == set(told)
+    assert [D.write_version(rows, str(tmp_path / "v"), k) for k in (1, 2)] == [f"{tmp_path}/v/v00000{k}" for k in (1, 2)]
+    assert spark.read.parquet(f"{tmp_path}/v/v000001").count() == 2
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        D.write_version(rows, str(tmp_path / "v"), 2)
+    hits = spark.createDataFrame([("u", 5, {"61": 30.0}, ["61"])], "university string, seats int, weights map<string,double>, subject_codes array<string>")
+    D.write_search_rows(hits, str(tmp_path / "s"))
+    got = D.read_search_rows(spark, str(tmp_path / "s")).first()
+    assert (got.university, got.seats, got.weights, got.subject_codes, got.topic) == ("u", 5, {"61": 30.0}, ["61"], None)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/001_R2_x.md").write_text("a\nก\n", encoding="utf-8")
+    assert [tuple(r) for r in D.read_texts(spark, str(tmp_path / "t")).collect()] == [("001_R2_x.md", "001", "R2", "a\nก\n")]
+    parts = spark.createDataFrame([("001", "R1", 1), ("001", "R2", 2), ("002", "R1", 3)], "university_id string, round string, n int")
+    D.write_partitioned(parts, str(tmp_path / "p"))
+    junk = parts.where("n > 1").unionByName(spark.createDataFrame([("009", "R9", 0)], parts.schema))
+    assert D.delete_partitions(junk, str(tmp_path / "p")) == 2
+    assert [r.n for r in spark.read.json(str(tmp_path / "p")).collect()] == [1]
+
+
+def test_text_columns(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(TX.encode_path(F.lit("https://h.th/ก ข/a+b.pdf?x=1"))) == "https://h.th/%E0%B8%81%20%E0%B8%82/a%2Bb.pdf"
+    assert one(search.runtime_name(F.lit("en"), F.lit(None), F.lit("ไทย"))) == "en  ไทย"
+    assert [one(TX.title(F.lit(x))) for x in ("", "aB c-d'e 1f", "ñandú")] == [x.title() for x in ("", "aB c-d'e 1f", "ñandú")]
+    xs = [0.0, 1.0, -12.5, 100000.0, 1e6, 123456.7, 0.0001, 0.00001234, 2.5e-9, 999999.5, 33.333333333, 1e100, 64076450.0, 64076550.0]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(TX.general(F.col("x"))).collect()] == [f"{x:g}" for x in xs]
+    assert one(TX.general(F.lit(None).cast("double"))) is None
+    assert one(TX.tidy_lines(F.lit(" a \t\n\n\n\nb\n \n\n\nc\n\n"))) == "a\n\nb\n\nc"
+
+
+def test_long_lexicons_and_zero_vectors(spark):
+    lex = spark.createDataFrame([(k, f"k{k}!", f"l{k % 3}") for k in range(300, 0, -1)], "ord int, kw string, label string")
+    d = spark.createDataFrame([(1, "k299! k7!"), (2, "none"), (3, None)], "id int, t string")
+    for some in (lex, lex.where("ord in (7, 299)")):
+        assert [tuple(r) for r in signals.lexicon_match(d, "id", "t", some).collect()] == [(1, "l1", 7)]
+    assert signals.lexicon_match(d, "id", "t", lex.limit(0)).count() == 0
+    c = spark.createDataFrame([(2, [1.0, 0.0]), (1, [0.0, 3.0]), (5, [0.0, 0.0])], "label int, centroid array<double>")
+    v = spark.createDataFrame([(1, [5.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.5])], "id int, v array<double>")
+    assert {r.id: r.label for r in learn.nearest(v, c, "id", "v", "label").collect()} == {1: 2, 2: 1, 3: 1, 4: 1}
+
+
 def test_ingest_takes_each_file_once(spark, tmp_path):
     src, sink = tmp_path / "in", str(tmp_path / "out")
     for k in range(2):
