@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -74,6 +75,44 @@ def hadoop_size(spark: SparkSession, df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+# --- what a Python worker keeps -----------------------------------------------------------------------
+
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """One object a Python worker, which its tasks share until a task of ``tidy`` runs there, or one that holds another."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: a worker outlives its tasks, and the next stage's workers need room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def leave() -> None:
+    """Let go of what tasks of other operators left in this worker."""
+    if _held:
+        _held.clear()
+        trim()
+
+
+def tidy(run):
+    """A task's function that begins without what tasks of other operators left, and leaves nothing."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave()  # by its name, so that it is the worker's own
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 # --- Arrow text -------------------------------------------------------------------------------
 
 
@@ -382,7 +421,7 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
         if held:
             yield from fn(pa.Table.from_batches(held))
 
-    return df.repartition(parts(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(walk, schema)
+    return df.repartition(parts(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(walk), schema)
 
 
 @contextlib.contextmanager

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, rows_apart, save, split_hot, text_slices, without, word_bounds, word_hashes
+from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, rows_apart, save, split_hot, text_slices, tidy, without, word_bounds, word_hashes
 
 WORDS = 5
 #: Jaccard of at least UP / DOWN.
@@ -56,6 +56,8 @@ FIRSTS = 8
 BUCKET, BLOCK, LEAF, FAN, COARSE = 200_000, 1500, 32, 8, 4
 #: Pairs of longs that are sent to all tasks at most (16 MB).
 MOST_SENT = 1_000_000
+#: Texts that are sent to Python at a time.
+ROWS = 1000
 #: Points that are compared one by one rather than by a tree.
 FEW = 8
 
@@ -275,7 +277,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, id long, sig long, n long, vec binary")
+    return docs.mapInArrow(tidy(run), "kind int, id long, sig long, n long, vec binary")
 
 
 def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -336,7 +338,7 @@ def _prefixes(docs: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray
         if toks:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket long, payload binary")
+    return docs.mapInArrow(tidy(run), "bucket long, payload binary")
 
 
 def _cells(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -405,7 +407,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keep: list[st
                 sets = list(shingle_sets(b.column("t").take(pa.array(part))))
                 yield pa.RecordBatch.from_pydict({"sig": pa.array([class_of(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = save(docs.mapInArrow(run, "sig long, s binary").join(need, "sig", "left_semi").dropDuplicates(["sig"]), "sets", keep)
+    with arrow_rows(spark, ROWS):
+        sets = save(docs.mapInArrow(tidy(run), "sig long, s binary").join(need, "sig", "left_semi").dropDuplicates(["sig"]), "sets", keep)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -420,7 +423,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keep: list[st
 
     both = _some(pairs).select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
     with arrow_rows(spark, 1000):
-        return save(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links", keep)
+        return save(both.select("a", "b", "x", "y").mapInArrow(tidy(test), "a long, b long"), "links", keep)
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -446,7 +449,8 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     """
     spark, keep = df.sparkSession, []
     docs = df.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("t"))
-    told = save(_summaries(docs), "summaries", keep)
+    with arrow_rows(spark, ROWS):
+        told = save(_summaries(docs), "summaries", keep)
     rows = told.where("kind = 0").select("id", "n", "sig")
     often = told.where("kind = 2").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * OFTEN).orderBy(F.desc("n"), "sig").limit(FREQUENT).collect()
     often.sort(key=lambda r: r["sig"] % (1 << 64))
@@ -457,7 +461,8 @@ def link_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") -> tu
     classes = save(vecs.join(reps, "sig"), "classes", keep)
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total * (DOWN - UP) / DOWN / BUCKET))
-    cells = save(grouped(_prefixes(docs, buckets, (tok, level)), ["bucket"], _cells, "kind int, a long, b long, n long"), "cells", keep)
+    with arrow_rows(spark, ROWS):
+        cells = save(grouped(_prefixes(docs, buckets, (tok, level)), ["bucket"], _cells, "kind int, a long, b long, n long"), "cells", keep)
     # first links: every class against the smallest member that it shares most cells with
     star = cells.where("kind <> 1").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
     # these are only the first pairs to be tried, so those with little in common can wait

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, grouped, mixed, save, split_hot
+from .common import components, grouped, mixed, save, split_hot, tidy
 
 LEAST = 0.93
 #: Rotations, neighbouring cells looked into, lattice units a unit vector is long before the projection.
@@ -106,7 +106,7 @@ def links(df: DataFrame, ident: str = "vec_id", vec: str = "embedding", label: s
                     row = pa.array(np.repeat(np.arange(n), tables * each))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), some.column("label").take(row), some.column("cls").take(row), pa.array(np.tile(np.arange(each) == 0, n * tables))], names=["key", "label", "cls", "home"])
 
-    at = classes.select("cls", "label", F.col("v").cast("array<double>").alias("v")).mapInArrow(keyed, "key long, label string, cls long, home boolean")
+    at = classes.select("cls", "label", F.col("v").cast("array<double>").alias("v")).mapInArrow(tidy(keyed), "key long, label string, cls long, home boolean")
     at = save(at, "cells", keep)
     # a cell whose members are one class, or none of them at home, has no pair
     full = at.groupBy("key", "label").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.max("home").alias("_home")).where("_lo < _hi and _home").select("key", "label")

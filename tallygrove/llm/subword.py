@@ -26,7 +26,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, mixed, text_slices, word_hashes
+from .common import lowered, mixed, text_slices, tidy, word_hashes
 
 BITS, DIM = 18, 8
 TRAIN_ROWS = 2000
@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, kind: Kind, ident: str =
             lots = lots_of(b.column("_t"), kind)
             yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "_y": b.column("_y"), "at": pa.array([x.tobytes() for x, _ in lots], pa.binary()), "ends": pa.array([x.astype(np.int64).tobytes() for _, x in lots], pa.binary())})
 
-    got = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(extract, "_id long, _y int, at binary, ends binary").collect()
+    got = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(tidy(extract), "_id long, _y int, at binary, ends binary").collect()
     got.sort(key=lambda r: (r["_id"], len(r["at"]), zlib.crc32(r["at"])))
     return train([(r["_y"], np.frombuffer(r["at"], np.uint32), np.frombuffer(r["ends"], np.int64)) for r in got], share, kind)
 
@@ -293,5 +293,5 @@ def score(docs: DataFrame, model: Model, kind: Kind, least: float, ident: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(own.scores(b.column("t"), kind), pa.float64()), *[b.column(f.name) for f in extra]], names=["id", "held_out", "score", *[f.name for f in extra]])
 
-    out = cols.mapInArrow(run, schema)
+    out = cols.mapInArrow(tidy(run), schema)
     return out.select(F.col("id").alias(ident), "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"), *[f.name for f in extra])

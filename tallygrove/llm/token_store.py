@@ -13,7 +13,6 @@ encoded whole. Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import os
@@ -27,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, commit, open_fs, parts, range_bounds, range_shards, save, scratch, text_slices
+from .common import Rolling, arrow_rows, commit, held, open_fs, parts, range_bounds, range_shards, save, scratch, text_slices, trim
 
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
 #: Tokens a file holds before the next begins.
 FILE_TOKENS = 4 << 20
 END_ID = 2
+#: Texts that are sent to Python at a time.
+ROWS = 2500
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -146,7 +147,7 @@ class Encoder:
     #: Texts that aren't cut: white space beside a space, rarer white space, what might be a special token.
     ODD = r"\x00|<\||[ \n\t\v\f\r\x1c-\x1f] | [\n\t\v\f\r\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     #: Pieces a generation keeps; the one before is still looked into, so what recurs stays.
-    MOST = 500_000
+    MOST = 300_000
     #: Bytes of text that are cut at a time, and new pieces that share a call.
     RUN, CALL = 8 << 20, 256
 
@@ -232,10 +233,9 @@ class Encoder:
             yield ragged(np.concatenate([x, y]), at, n), n
 
 
-@functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
     """One a Python worker, so that its tasks share what they have learnt."""
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -247,19 +247,19 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, files = encoder(tokenizer), None
         docs: list[tuple[np.ndarray, np.ndarray]] = []  # ids, and which of them are null
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # tokens, and their number by document
+        made: list[tuple[np.ndarray, np.ndarray]] = []  # tokens, and their number by document
         size = 0
         said: list[tuple] = []
 
         def flush() -> None:
-            nonlocal docs, held, size
-            ids, counts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            nonlocal docs, made, size
+            ids, counts = (np.concatenate([x[k] for x in made]) for k in (0, 1))
             own, null = (np.concatenate([x[k] for x in docs]) for k in (0, 1))
             data = pack(ids, own, null, np.concatenate([[0], np.cumsum(counts)]))
             files.start().write(data)
             seq = files.seq
             said.append((files.close(), files.part, seq, len(own), len(ids), zlib.crc32(data)))
-            docs, held, size = [], [], 0
+            docs, made, size = [], [], 0
 
         for b in batches:
             if not b.num_rows:
@@ -274,7 +274,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
                 upto = np.cumsum(counts)
                 while a < len(counts):  # a file ends with the document that fills it
                     z = min(len(counts), int(np.searchsorted(upto, done + file_tokens - size)) + 1)
-                    held.append((ids[done : upto[z - 1]], counts[a:z]))
+                    made.append((ids[done : upto[z - 1]], counts[a:z]))
                     docs.append((own[at + a : at + z], null[at + a : at + z]))
                     size += int(upto[z - 1]) - done
                     a, done = z, int(upto[z - 1])
@@ -283,10 +283,12 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
                 at += len(counts)
         if docs:
             flush()
+        trim()
         names = ("file", "part", "seq", "docs", "tokens", "crc32")
         yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in said], pa.string() if not k else pa.int64()) for k, c in enumerate(names)})
 
-    said = save(rows.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long, crc32 long"), "token-manifest")
+    with arrow_rows(df.sparkSession, ROWS):
+        said = save(rows.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long, crc32 long"), "token-manifest")
     parted = said.groupBy("part").agg(F.sum("tokens").alias("_all"))
     before = parted.select(F.col("part"), F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row a shard
     order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

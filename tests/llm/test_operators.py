@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, subword, token_store, toxicity, url_filter, warc
-from tallygrove.llm.common import Rolling, components, manifest_of, scratch
+from tallygrove.llm.common import Rolling, components, manifest_of, scratch, tidy
 
 from ..oracle import differences, duck
 
@@ -327,6 +327,25 @@ def test_written_folders_stand_alone(spark):
     assert read[0] == read[1] and len(read[0]) == len(rows)
 
 
+def test_workers_let_go_of_what_others_left(spark):
+    def kept(batches):
+        from tallygrove.llm import common
+
+        for b in batches:
+            common.held(("x",), list)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(common._held)])})
+
+    def told(batches):
+        from tallygrove.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(common._held)])})
+
+    one = spark.range(1).coalesce(1)
+    assert one.mapInArrow(kept, "n long").first().n == 1
+    assert one.mapInArrow(tidy(told), "n long").first().n == 0
+
+
 def test_a_task_that_runs_again_leaves_the_file(tmp_path):
     for data in (b"abc", b"abc", b"abcd"):
         f = Rolling(f"file://{tmp_path}", 3, ".x").start()
