@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, subword, token_store, toxicity, url_filter, warc
@@ -213,6 +214,20 @@ def test_lattice_points_are_nearest():
     assert all((((x - p - r) ** 2).sum(axis=1) >= gap - 1e-9).all() for r in lattice.roots())
 
 
+@pytest.mark.parametrize("dim", [8, 64, 384])
+def test_lattice_recall_at_the_bound(dim):
+    """Pairs of cosine 0.931 share a cell that is one of the two's own."""
+    rng = np.random.default_rng(dim)
+    a = rng.normal(size=(1500, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.931 * a + math.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    x, y = (lattice.cells(v) for v in (a, b))
+    met = (x[:, :, :1] == y).any(axis=(1, 2)) | (x == y[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= 0.99
+
+
 def test_lattice_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
@@ -517,6 +532,84 @@ def test_templates(spark, odd, none):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def brute_find(docs, bench):
+    """Template matching in plain Python: {(document, item): (windows, the item's windows, exact)}."""
+
+    def windows(text, sizes, names):
+        text = regex.sub(names, "\x01", (text or "").replace("\x01", "\x02"))
+        toks = regex.findall(decontaminate.TOKEN, text)
+        words = [t.lower().replace("\x01", "") for t in toks]
+        canon = []
+        for i, (t, w) in enumerate(zip(toks, words, strict=True)):
+            unit = w in decontaminate.UNITS and i > 0 and toks[i - 1][0].isdigit()
+            canon.append("#" if t[0].isdigit() else "N" if t[0] == "\x01" else "U" if unit else "")
+        for size in sizes:
+            for i in range(len(toks) - size + 1):
+                at = range(i, i + size)
+                slots = tuple((canon[k] + words[k], k) for k in at if canon[k])
+                nums = tuple(x for x in slots if x[0][0] == "#")
+                loose = len(slots) <= size // 2
+                plain = tuple("#" if canon[k] == "#" else ":" + words[k] for k in at)
+                yield i, loose, plain if len(nums) <= size // 2 else plain + tuple(v for v, _ in nums), nums
+                if loose and len(nums) < len(slots):
+                    yield i, loose, tuple(canon[k] or ":" + words[k] for k in at), slots
+
+    size = {k: len(regex.findall(decontaminate.TOKEN, t)) for k, t in bench}
+    known, of = collections.defaultdict(set), collections.defaultdict(set)
+    for k, t in bench:
+        if size[k] >= 4:
+            for names in (decontaminate.WITHIN, decontaminate.ANYWHERE):
+                for pos, loose, key, slots in windows(t, (min(8, size[k]),), names):
+                    known[key].add((k, pos, loose, slots))
+                    of[k].add((pos, loose))
+    total = {k: (len({p for p, _ in v}), len({p for p, loose in v if loose})) for k, v in of.items()}
+    out = {}
+    for i, t in docs:
+        diagonal = collections.defaultdict(list)
+        for pos, _, key, slots in windows(t, sorted({min(8, n) for n in size.values() if n >= 4}), decontaminate.WITHIN):
+            for k, bpos, loose, bslots in known.get(key, ()):
+                if len(slots) == len(bslots):
+                    diagonal[k, pos - bpos].append((bpos, loose, [(b, d, at) for (b, at), (d, _) in zip(bslots, slots, strict=True)]))
+        told = collections.defaultdict(list)
+        for (k, _), hits in diagonal.items():
+            votes = collections.defaultdict(lambda: collections.defaultdict(set))
+            for _, _, zipped in hits:
+                for b, d, at in zipped:
+                    votes[b][d].add(at)
+            best = {b: max((len(x), d == b, d) for d, x in v.items()) for b, v in votes.items()}
+            torn = any(not own and 2 * n <= sum(map(len, votes[b].values())) for b, (n, own, _) in best.items())
+            new = any(d != b for b, v in votes.items() for d in v)
+            for bpos, loose, zipped in hits:
+                if all(b == d for b, d, _ in zipped) or (not torn and all(best[b][2] == d for b, d, _ in zipped)):
+                    told[k].append((bpos, loose, new))
+        for k, hits in told.items():
+            n, n_loose = len({h[0] for h in hits}), len({h[0] for h in hits if h[1]})
+            if n >= min(6, total[k][0]) or (n_loose and n_loose >= min(6, total[k][1])):
+                out[i, k] = (n, total[k][0], not any(h[2] for h in hits))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = ["the", "man", "has", "buys", "Anna", "Bob", "Rome", "3", "4", "17", "2,5", "kg", "km", "apples", "how", "many", "then", "pays", ".", ",", "and"]
+    bench = [(k, " ".join(rng.choice(words, int(rng.integers(4, 26))))) for k in range(40)]
+    docs = []
+    for n in range(160):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            item = bench[int(rng.integers(40))][1].split(" ")
+            swap = {w: str(rng.choice(["5", "8", "19"]) if w[0].isdigit() else rng.choice(["Tom", "Oslo"])) for w in item if (w[0].isdigit() or w[0].isupper()) and rng.random() < 0.3}
+            item = [swap.get(w, w) for w in item]
+            for _ in range(int(rng.integers(0, 3))):
+                item[int(rng.integers(len(item)))] = str(rng.choice(words))
+            parts += [*rng.choice(words, int(rng.integers(0, 5))), *item]
+        docs.append((n, " ".join(parts)))
+    want = brute_find(docs, bench)
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.exact) for r in got.collect()} == want
+    assert len(want) > 50 and len({x[2] for x in want.values()}) == 2
+
+
 def test_hashes_find_whatever_windows_find(spark):
     """Two texts with a window in common, in either form, have a hash in common."""
     rng = np.random.default_rng(9)
