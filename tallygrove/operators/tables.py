@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +17,37 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column | str]) -> Data
 
 
 def surrogate(df: DataFrame, order: list[Column | str], name: str = "id", within: list[str] | None = None) -> DataFrame:
-    """Insertion order as a key, from 1: sorted ranges, a rank within each, and the counts of those before.
+    """Insertion order as a key, from 1, by an order that tells rows apart (rows that it doesn't share a number).
 
-    The ranges are persisted: their bounds are sampled anew whenever a plan is, but not when lost blocks of one are made again.
+    Only the order's columns are numbered, and joined back: sorted ranges, a rank within each, and the counts of those before.
+    They are checkpointed, as Spark samples the ranges' bounds anew whenever it plans.
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    own, names = [f"_o{k}" for k in range(len(cols))], [f"_k{k}" for k in range(len(cols))]
+    d = df.withColumns(dict(zip(own, cols, strict=True)))
+    keys = d.select(*[F.col(a).alias(b) for a, b in zip(own, names, strict=True)]).distinct()
+    keys = checkpointed(keys.repartitionByRange(n, *names).sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id()))
     part, at = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    size = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    keys = keys.select(*names, part.alias("_part"), at.alias("_in"))
+    size = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     size = size.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # one row a range
-    return d.withColumn("_part", part).join(F.broadcast(size.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + at + 1).drop("_part", "_at", "_before")
+    keys = keys.join(F.broadcast(size.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
+    same = functools.reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, names, strict=True)])
+    return d.join(keys, same).drop(*own, *names)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut by files in the folder that the cluster names; a folder of its own only in local mode, where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"{tempfile.gettempdir()}/tallygrove-checkpoints")
+    return df.checkpoint()
 
 
 def weights_map(df: DataFrame, key: list[str], code: str, weight: str) -> DataFrame:
