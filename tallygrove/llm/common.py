@@ -95,8 +95,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@functools.cache
+def lean() -> None:
+    """Large arrays go back to the machine as soon as they are freed, where the C library can be told so."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def leave() -> None:
     """Let go of what tasks of other operators left in this worker."""
+    lean()
     if _held:
         _held.clear()
         trim()
@@ -263,7 +271,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Pairs of longs (a, b) to (v, root): root is the smallest value that v reaches. Only linked v are listed.
 
     Alternating large-star and small-star steps; every round is a written table, so a lost executor
-    costs one round at most. Minima are pre-aggregated, so a hub of any degree meets no single task.
+    costs one round at most. Minima are pre-aggregated, and edges meet them in joins that Spark splits where a hub is hot.
     """
     spark, keep = edges.sparkSession, []
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()

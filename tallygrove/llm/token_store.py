@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_rows, commit, held, open_fs, parts, range_bounds, range_shards, save, scratch, text_slices, trim
+from .common import Rolling, arrow_rows, commit, held, lean, open_fs, parts, range_bounds, range_shards, save, scratch, text_slices, trim
 
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
 #: Tokens a file holds before the next begins.
-FILE_TOKENS = 4 << 20
+FILE_TOKENS = 2 << 20
 END_ID = 2
 #: Texts that are sent to Python at a time.
 ROWS = 2500
@@ -147,7 +147,7 @@ class Encoder:
     #: Texts that aren't cut: white space beside a space, rarer white space, what might be a special token.
     ODD = r"\x00|<\||[ \n\t\v\f\r\x1c-\x1f] | [\n\t\v\f\r\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     #: Pieces a generation keeps; the one before is still looked into, so what recurs stays.
-    MOST = 300_000
+    MOST = 350_000
     #: Bytes of text that are cut at a time, and new pieces that share a call.
     RUN, CALL = 8 << 20, 256
 
@@ -207,7 +207,7 @@ class Encoder:
         got = np.array(got, np.int64)
         at, n = self.new.ends[got], self.new.ends[got + 1] - self.new.ends[got]
         each = n[codes]
-        step = 1 << 20  # words at a time
+        step = 1 << 18  # words at a time
         ids = [ragged(self.new.pool, at[codes[a : a + step]], each[a : a + step]) for a in range(0, len(codes), step)]
         upto = np.concatenate([[0], np.cumsum(each)])
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.diff(upto[offs])
@@ -245,6 +245,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
     rows = range_shards(rows, "id", "h", bounds).sortWithinPartitions("_at", "h", "id", "t").select("id", "t", "shard")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         enc, files = encoder(tokenizer), None
         docs: list[tuple[np.ndarray, np.ndarray]] = []  # ids, and which of them are null
         made: list[tuple[np.ndarray, np.ndarray]] = []  # tokens, and their number by document
@@ -255,6 +256,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
             nonlocal docs, made, size
             ids, counts = (np.concatenate([x[k] for x in made]) for k in (0, 1))
             own, null = (np.concatenate([x[k] for x in docs]) for k in (0, 1))
+            made.clear()
             data = pack(ids, own, null, np.concatenate([[0], np.cumsum(counts)]))
             files.start().write(data)
             seq = files.seq
