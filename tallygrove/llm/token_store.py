@@ -31,7 +31,7 @@ from .common import Rolling, arrow_rows, commit, held, lean, open_fs, parts, ran
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
 #: Tokens a file holds before the next begins.
-FILE_TOKENS = 2 << 20
+FILE_TOKENS = 4 << 20
 END_ID = 2
 #: Texts that are sent to Python at a time.
 ROWS = 2500
@@ -147,7 +147,7 @@ class Encoder:
     #: Texts that aren't cut: white space beside a space, rarer white space, what might be a special token.
     ODD = r"\x00|<\||[ \n\t\v\f\r\x1c-\x1f] | [\n\t\v\f\r\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     #: Pieces a generation keeps; the one before is still looked into, so what recurs stays.
-    MOST = 350_000
+    MOST = 500_000
     #: Bytes of text that are cut at a time, and new pieces that share a call.
     RUN, CALL = 8 << 20, 256
 
@@ -271,6 +271,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
             null, own = own.is_null().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy(zero_copy_only=False)
             at = 0
             for ids, counts in enc.encode(b.column("t")):
+                trim()
                 ids, counts = np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
                 a = done = 0
                 upto = np.cumsum(counts)
