@@ -23,7 +23,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def test_stages():
     assert len(corpus_pipeline.STAGES) == 5
     assert [list(inspect.signature(f).parameters) for _, f in corpus_pipeline.STAGES] == [["spark", "docs", "sf_dir"]] * 5
-    assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) == 13
 
 
 def brute_mix(rows):
