@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lattice, merkle, mixing, quality, secrets, token_store, toxicity, url_filter, warc
+from . import decontaminate, jaccard, lattice, merkle, mixing, quality, repeats, secrets, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_classifier": quality.query,
     "op10_mixing_sources": mixing.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_suffix_array_dedup": repeats.query,
 }
 ORACLE_SQL = {
     "op1_warc": warc.SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_url_filters": url_filter.SQL,
     "op7_ngram_jaccard_join": jaccard.SQL,
     "op10_mixing_sources": mixing.SQL,
+    "op13_suffix_array_dedup": repeats.SQL,
 }
