@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lattice, merkle, mixing, quality, repeats, secrets, token_store, toxicity, url_filter, warc
+from . import decontaminate, jaccard, lattice, merkle, mixing, prefix_trie, quality, repeats, secrets, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_quality_classifier": quality.query,
     "op10_mixing_sources": mixing.query,
+    "op11_conversation_prefix_trie": prefix_trie.query,
     "op12_merkle_manifest": merkle.query,
     "op13_suffix_array_dedup": repeats.query,
 }

@@ -45,13 +45,14 @@ def exact_places(rows: DataFrame, group: str, keys: list[Column], order: list[Co
         return b.select(group, "_base", F.col("_s.i").alias("_i"), F.col("_s.lo").alias("_lo"), F.greatest(F.lit(0), bits(F.col("_s.hi") - F.col("_s.lo")) - width).cast("int").alias("_shift"))
 
     cur = rows.withColumn("_base", F.lit(0).cast("long"))
-    buckets = save(open_buckets(cur.withColumns(dict(zip(names, keys, strict=True))).groupBy(group, "_base").agg(*spans)), "buckets")
     closed: list[DataFrame] = []
-    some = buckets.count()
+    named = save(rows.groupBy(F.col(group).alias("_g")).count().where(F.col("count") > most).select("_g"), "large")
+    some = named.count()
     if some:
-        named = buckets.select(F.col(group).alias("_g"))
-        closed.append(cur.join(sent_if_few(named), F.col(group) == F.col("_g"), "left_anti"))
-        cur = cur.join(sent_if_few(named), F.col(group) == F.col("_g"), "left_semi")
+        large = sent_if_few(named)
+        closed.append(cur.join(large, F.col(group) == F.col("_g"), "left_anti"))
+        cur = cur.join(large, F.col(group) == F.col("_g"), "left_semi")
+        buckets = save(open_buckets(cur.withColumns(dict(zip(names, keys, strict=True))).groupBy(group, "_base").agg(*spans)), "buckets")
     while some:
         own = cur.join(sent_if_few(buckets), [group, "_base"])
         key = functools.reduce(lambda c, i: c.when(F.col("_i") == i, keys[i]), range(1, len(keys)), F.when(F.col("_i") == 0, keys[0]))
