@@ -40,7 +40,6 @@ ALLOW = r"(?i:example|sample|dummy|placeholder|changeme|your_?key|xxxx|0000000|1
 
 #: Characters on either side of an allow-listed string that add no span either.
 REACH = 64
-ALLOWED = f"(?s)(?:.{{0,{REACH}}}(?:{ALLOW}))+.{{0,{REACH}}}"
 #: Elements that are summed in one go; characters of a block of spans.
 BLOCK, NEAR = 256, 2048
 
@@ -118,10 +117,18 @@ def pieces(c: Column) -> Column:
     """(s, body) of what of a candidate is beyond the reach of allow-listed strings."""
     kind = "array<struct<s:int,body:string>>"
     whole = F.array(F.struct(c["s"].alias("s"), c["body"].alias("body"))).cast(kind)
-    gaps = F.split(c["body"], ALLOWED, -1)
-    cut = F.regexp_extract_all(c["body"], F.lit(ALLOWED), F.lit(0))
-    rows = F.zip_with(gaps, cut, lambda g, m: F.struct(g.alias("body"), (F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("n")))
-    placed = lambda rs: F.zip_with(rs, sums_before(F.transform(rs, lambda r: r["n"])), lambda r, x: F.struct((c["s"] + x).alias("s"), r["body"].alias("body")))
+    # what lies between two hits, less the reach of each; a pattern of one hit only, as one of many in a row would recurse
+    rows = F.zip_with(F.split(c["body"], ALLOW, -1), F.regexp_extract_all(c["body"], F.lit(ALLOW), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), F.length(g).alias("n"), F.length(m).alias("hit")))
+
+    def beyond(r: Column, x: Column, i: Column) -> Column:
+        left = F.when(i > 0, REACH).otherwise(0)
+        right = F.when(r["hit"].isNotNull(), REACH).otherwise(0)
+        return F.struct((c["s"] + x + left).alias("s"), F.substring(r["gap"], left + 1, F.greatest(F.lit(0), r["n"] - left - right)).alias("body"))
+
+    def placed(rs: Column) -> Column:
+        at = sums_before(F.transform(rs, lambda r: r["n"] + F.coalesce(r["hit"], F.lit(0))))
+        return F.transform(F.zip_with(rs, at, lambda r, x: F.struct(r.alias("r"), x.alias("x"))), lambda p, i: beyond(p["r"], p["x"], i))
+
     return F.when(c["body"].rlike(ALLOW), bound(rows, placed).cast(kind)).otherwise(whole)
 
 
