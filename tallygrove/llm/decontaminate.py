@@ -5,7 +5,7 @@ documents with any, the windows whole. Texts are cut into words and numbers. Num
 become typed placeholders; other words are lower-cased, and punctuation falls away. Every window of 8 such
 tokens of every document is hash-joined with those of the benchmark, in a second form too: with its numbers as the only
 placeholders. As what stands before a word makes it a name or a unit, only that form is the same in every context. Of an
-item, the words that begin a sentence are also taken as names. Matches on one diagonal (document place minus
+item, the words that begin a sentence are also taken as names, and so is that of a document where it begins a window. Matches on one diagonal (document place minus
 item place) are an occurrence. A window counts if it has no slots or they hold the item's own values, and otherwise
 if each holds the value that most places of its slot have on the diagonal; where a slot has no such value, only
 the former count. A document holds an item if the windows that count are all the item's, or at least 6
@@ -26,43 +26,50 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_apart, save, without
+from .common import own_columns, rows_apart, save, without
 
 WINDOW, SHORTEST, ENOUGH = 8, 4, 6
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inch", "inches", "ft", "feet", "yards", "miles", "lb", "lbs", "oz", "pounds", "kmh", "mph", "dollars", "cents", "euros", "percent", "degrees", "watts", "kw", "volts", "hz", "meters", "metres", "liters", "litres", "grams")
 NUM, UNIT, NAME = "\u0001#", "\u0001U", "\u0001N"
 #: Between a slot's value and its place.
 PLACE = "\u0002"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-TOKEN = rf"\x01?(?:{NUMBER}|[\p{{L}}\p{{M}}]+)"
+NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"  # possessive: a group that could be given back is matched by recursion
+TOKEN = rf"\x01?\x03?(?:{NUMBER}|[\p{{L}}\p{{M}}]+)"
 #: A unit, with the number before it as the digit 0.
 UNIT_AFTER = rf"(0[^\p{{L}}\p{{M}}0-9]*+)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
-#: Begins to match where so many tokens follow that there is a window.
-SHORTEST_OR_MORE = r"(?:(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}\p{M}]++)[^\p{L}\p{M}0-9]*+){%d}" % SHORTEST
+#: Matches where so many tokens follow that there is a window; tried only where a run of tokens begins.
+SHORTEST_OR_MORE = r"(?<![\p{L}\p{M}0-9])(?<![0-9][.,])(?:(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}\p{M}]++)[^\p{L}\p{M}0-9]*+){%d}" % SHORTEST
 #: Before a capitalised word that no sentence begins with.
 WITHIN = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
 #: Before any capitalised word: what an item's sentences begin with may stand within a document's.
 ANYWHERE = r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})"
+#: Stands before a capitalised word that begins a sentence, and where it goes once other names are marked.
+OPENING = "\u0003"
+LEFT = r"(?<![\p{L}\p{M}\x01])(?=\p{Lu}\p{Ll})"
+MARKS = "\u0001" + OPENING
 
 
 def _canon(toks: Column) -> Column:
     def one(t: Column, i: Column) -> Column:
-        low = F.lower(t)
+        low = F.lower(F.translate(t, MARKS, ""))
         first = F.substring(t, 1, 1)
         before = F.substring(F.get(toks, i - 1), 1, 1)
-        unit = low.isin(*UNITS) & before.between("0", "9")
-        return F.when(first.between("0", "9"), NUM).when(first == "\u0001", NAME).when(F.coalesce(unit, F.lit(False)), UNIT).otherwise(low)
+        unit = F.coalesce(low.isin(*UNITS) & before.between("0", "9"), F.lit(False))
+        return F.when(first.between("0", "9"), NUM).when((first == "\u0001") & ~(unit & t.startswith(MARKS)), NAME).when(unit, UNIT).otherwise(low)
 
     return F.transform(toks, one)
 
 
-def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), placed: bool = False, names: str = WITHIN) -> DataFrame:
+def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), placed: bool = False, names: str = WITHIN, openings: bool = False) -> DataFrame:
     """(id, pos, h, slots, loose) of the windows of these sizes; slots: the values behind their placeholders, typed; loose: few enough of them for other values.
 
-    With ``placed`` also places: those of the slots in the text.
+    With ``placed`` also places: those of the slots in the text. With ``openings`` only the windows that begin with a capitalised
+    word that isn't a name by ``names``, and have no other, as if it were one.
     """
-    own = F.translate(F.col(text), "\u0001", PLACE)  # the mark is no mark in a text
-    d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(F.regexp_replace(own, names, "\u0001"), F.lit(TOKEN), F.lit(0)).alias("toks"))
+    own = F.translate(F.col(text), MARKS, PLACE * 2)  # the marks are no marks in a text
+    own = F.regexp_replace(own, names, "\u0001")
+    own = F.regexp_replace(own, LEFT, MARKS) if openings else own
+    d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(own, F.lit(TOKEN), F.lit(0)).alias("toks"))
     d = d.where(F.size("toks") >= min(sizes)).withColumn("canon", _canon(F.col("toks")))
     marked = F.exists("canon", lambda c: c.startswith("\u0001"))
 
@@ -70,9 +77,10 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
         said = F.concat(c, F.get("words", i))
         return F.when(c.startswith("\u0001"), F.concat(said, F.lit(PLACE), i.cast("string")) if placed else said)
 
-    d = d.withColumn("words", F.transform("toks", lambda t: F.translate(F.lower(t), "\u0001", "")))
+    d = d.withColumn("words", F.transform("toks", lambda t: F.translate(F.lower(t), MARKS, "")))
     plain = F.zip_with("canon", "words", lambda c, t: F.xxhash64(F.when(c == NUM, c).otherwise(t)))
-    d = d.select("id", F.transform("canon", lambda c: F.xxhash64(c)).alias("hs"), plain.alias("ps"), F.when(marked, F.transform("canon", val)).alias("vals"))
+    opens = F.zip_with("toks", "canon", lambda t, c: (t.startswith(MARKS) & (c == NAME)).cast("int")) if openings else F.lit(None).cast("array<int>")
+    d = d.select("id", F.transform("canon", lambda c: F.xxhash64(c)).alias("hs"), plain.alias("ps"), F.when(marked, F.transform("canon", val)).alias("vals"), opens.alias("opens"))
     none = F.array().cast("array<string>")
     lots = []
     for w in sizes:
@@ -82,7 +90,11 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
             held = F.when(F.col("vals").isNotNull(), F.array_compact(F.slice(F.col("vals"), i + 1, size))).otherwise(none)  # noqa: B023
             return F.struct(i.alias("pos"), F.xxhash64(size, F.slice(F.col("hs"), i + 1, size)).alias("h"), F.xxhash64(size, F.slice(F.col("ps"), i + 1, size)).alias("p"), held.alias("slots"), F.lit(w // 2).alias("most"))  # noqa: B023
 
-        lot = F.transform(F.sequence(F.lit(0), F.size("hs") - w), one)
+        every = F.sequence(F.lit(0), F.size("hs") - w)
+        if openings:
+            alone = lambda i: (F.get("opens", i) == 1) & ~F.exists(F.slice(F.col("opens"), i + 2, w - 1), lambda x: x == 1)  # noqa: B023, E731
+            every = F.filter(every, alone)
+        lot = F.transform(every, one)
         lots.append(F.when(F.size("hs") >= w, lot).otherwise(F.array().cast("array<struct<pos:int,h:bigint,p:bigint,slots:array<string>,most:int>>")))
     d = d.select("id", F.explode(lots[0] if len(lots) == 1 else F.concat(*lots)).alias("w"))
     d = d.select("id", "w.pos", "w.h", "w.p", "w.slots", "w.most", (F.size("w.slots") <= F.col("w.most")).alias("loose"))
@@ -97,26 +109,39 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
     return d.select("id", "pos", "loose", "w.*")
 
 
-def window_hashes(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), names: str = WITHIN) -> DataFrame:
+def window_hashes(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WINDOW,), names: str = WITHIN, openings: bool = False) -> DataFrame:
     """(id, g): hashes of the windows of these sizes, with all their placeholders and with numbers only; no places and no values.
 
+    With ``openings`` also those of windows that begin with a capitalised word that isn't a name by ``names``, as if it were one.
+
     Placeholders are put into the whole text, as digits: 0 a number, 1 a name, 2 a unit. Windows that are equal as ``windows``
     makes them are equal here; the two small sigmas count as one, as a whole text's lower case depends on what follows.
     """
     low = lambda t: F.replace(F.lower(t), F.lit("ς"), F.lit("σ"))
     plain = F.regexp_replace(low(F.col(text)), NUMBER, "0")
     d = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), plain.alias("plain"))
-    typed = F.regexp_replace(low(F.regexp_replace(F.regexp_replace("t", NUMBER, "0"), names + r"[\p{L}\p{M}]++", "1")), UNIT_AFTER, "$12")
-    d = d.select("id", "plain", F.when(F.col("t").rlike(names) | F.col("plain").rlike(UNIT_AFTER), typed).alias("typed"))
-    hashes = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"[0-2]|[\p{L}\p{M}]++"), F.lit(0)), lambda x: F.xxhash64(x))
-    d = d.select("id", hashes("plain").alias("ps"), F.when(F.col("typed").isNotNull(), hashes("typed")).alias("hs"))
+    named = F.regexp_replace(F.regexp_replace("t", NUMBER, "0"), names + r"[\p{L}\p{M}]++", "1")
+    if openings:
+        named = F.regexp_replace(named, ANYWHERE, OPENING)
+    slots = F.col("t").rlike(names) | F.col("plain").rlike(UNIT_AFTER)
+    some = slots | F.col("t").rlike(ANYWHERE) if openings else slots
+    d = d.select("id", "plain", slots.alias("slots"), F.when(some, F.regexp_replace(low(named), UNIT_AFTER, "$12")).alias("typed"))
+    toks = lambda t: F.regexp_extract_all(t, F.lit(rf"[0-2]|{OPENING}?[\p{{L}}\p{{M}}]++"), F.lit(0))
+    d = d.select("id", "slots", F.transform(toks("plain"), lambda x: F.xxhash64(x)).alias("ps"), F.when(F.col("typed").isNotNull(), toks("typed")).alias("ts"))
+    at = F.filter(F.transform("ts", lambda x, i: F.when(x.startswith(OPENING), i)), lambda i: i.isNotNull()) if openings else F.lit(None).cast("array<int>")
+    d = d.select("id", "ps", F.when(F.col("slots"), F.transform("ts", lambda x: F.xxhash64(F.translate(x, OPENING, "") if openings else x))).alias("hs"), at.alias("at"))
+    d = d.withColumn("os", F.coalesce("hs", "ps"))
     none = F.array().cast("array<bigint>")
 
     def lot(of: str, w: int) -> Column:
         one = lambda i: F.xxhash64(F.lit(w), *[F.get(of, i + k) for k in range(w)])
         return F.when(F.size(of) >= w, F.transform(F.sequence(F.lit(0), F.size(of) - w), one)).otherwise(none)
 
-    own = F.concat(*[lot("ps", w) for w in sizes])
+    def opened(w: int) -> Column:
+        one = lambda i: F.xxhash64(F.lit(w), F.xxhash64(F.lit("1")), *[F.get("os", i + k) for k in range(1, w)])
+        return F.coalesce(F.transform(F.filter("at", lambda i: i <= F.size("os") - w), one), none)
+
+    own = F.concat(*[lot("ps", w) for w in sizes], *[opened(w) for w in sizes if openings])
     return d.select("id", F.explode(F.when(F.col("hs").isNull(), own).otherwise(F.concat(own, *[lot("hs", w) for w in sizes]))).alias("g"))
 
 
@@ -137,7 +162,7 @@ def suspects(docs: DataFrame, items: DataFrame, sizes: tuple[int, ...], ident: s
         return docs.select(ident, text).limit(0)
     known = save(functools.reduce(DataFrame.unionByName, lots).distinct(), "benchmark-hashes")
     small = known.count() <= 4 * most  # longs
-    ids = save(window_hashes(docs, ident, text, sizes).join(F.broadcast(known) if small else known, "g", "left_semi").select("id").distinct(), "suspects")
+    ids = save(window_hashes(docs, ident, text, sizes, openings=True).join(F.broadcast(known) if small else known, "g", "left_semi").select("id").distinct(), "suspects")
     same = docs[ident].eqNullSafe(ids["id"])
     return docs.select(ident, text).join(F.broadcast(ids) if ids.count() <= most else ids, same, "left_semi")
 
@@ -155,11 +180,13 @@ def find(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", text: str = "
     """Pairs: ident, item, n_windows, item_windows, exact (every slot has the item's own value)."""
     items, sizes = benchmark_items(bench, item, item_text)
     known = benchmark_windows(items, sizes)
-    own = windows(suspects(docs, items, sizes, ident, text, most), ident, text, sizes or (WINDOW,)).drop("loose")
+    held = suspects(docs, items, sizes, ident, text, most)
+    own = [windows(held, ident, text, sizes or (WINDOW,), openings=o).drop("loose") for o in (False, True)]
+    own = own[0].unionByName(own[1])
     # the benchmark's windows go to all tasks only if they are few
     small = F.broadcast(known) if known.count() <= most else known
     hits = own.join(small, "h").where(F.size("slots") == F.size("bslots")).select("id", "item", "pos", "bpos", "slots", "bslots", "places", "loose", "item_windows", "item_loose")
-    hits = save(hits, "hits").withColumn("off", F.col("pos") - F.col("bpos")).withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("k", "id"), ("ik", "item"))})
+    hits = save(hits.distinct(), "hits").withColumn("off", F.col("pos") - F.col("bpos")).withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in (("k", "id"), ("ik", "item"))})
     key = ["k", "ik", "off"]
     slot = hits.where(F.size("slots") > 0).select(*key, F.explode(F.arrays_zip("bslots", "slots", "places")).alias("s"))
     vote = slot.groupBy(*key, F.col("s.bslots").alias("b"), F.col("s.slots").alias("d")).agg(F.countDistinct("s.places").alias("n")).withColumn("own", F.col("d") == F.col("b"))
@@ -195,7 +222,7 @@ def find_short(docs: DataFrame, bench: DataFrame, ident: str, text: str, item: s
 def clean(docs: DataFrame, bench: DataFrame, ident: str = "doc_id", **kw) -> DataFrame:
     """The rows whose texts hold no item; rows that repeat an id, or have none, are judged each by itself."""
     rows, row = rows_apart(docs, ident)
-    return without(rows, row, find(rows, bench, row, **kw).select(row)).select(*docs.columns)
+    return without(rows, row, find(rows, bench, row, **kw).select(row)).select(*own_columns(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
