@@ -5,7 +5,7 @@ quality classifier, its words. A word that repeats the one before adds a mark th
 trained jointly by stochastic gradient descent with per-row step sizes. As the softmax is linear in
 the average, a trained model is folded into one number a bucket for scoring, which is then a
 table look-up a feature, over whole texts, however long. Averages are over a whole text or, where a
-few words decide, over each window of words, the text's score being that of its highest window; such
+few words decide, over each window of words, one of which begins at every word, the text's score being that of its highest window; such
 a model is trained on whole texts first and then on the windows that it itself ranks highest.
 
 Labels are learnt from a bounded sample (``TRAIN_ROWS`` rows a class, in the order of a hash of their ids,
@@ -26,7 +26,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, mixed, text_slices, tidy, word_hashes
+from .common import lowered, mixed, quoted, text_slices, tidy, word_hashes
 
 BITS, DIM = 18, 8
 TRAIN_ROWS = 2000
@@ -55,7 +55,7 @@ _AGAIN = int(mixed(np.array([77], np.uint64))[0] >> np.uint64(64 - BITS))
 
 @dataclass
 class Run:
-    """A run of texts with an edge before, between and after them, its words and their windows."""
+    """A run of texts with an edge before, between and after them, its words and its units: texts, or words where averages are over windows."""
 
     data: np.ndarray
     solid: np.ndarray
@@ -84,11 +84,9 @@ class Run:
         hashes = word_hashes(padded, starts, np.flatnonzero(solid & ~np.append(solid[1:], False)) + 1)
         fresh = np.ones(len(starts), bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-        if not kind.window:
-            return Run(padded, solid, starts, word, row, row, np.arange(n + 1), hashes, fresh)
-        units = np.concatenate([[0], np.cumsum(-(-many // kind.window))])
-        within = np.arange(len(starts)) - np.concatenate([[0], np.cumsum(many)])[row]
-        return Run(padded, solid, starts, word, row, units[row] + within // kind.window, units, hashes, fresh)
+        if kind.window:
+            return Run(padded, solid, starts, word, row, np.arange(len(starts)), np.concatenate([[0], np.cumsum(many)]), hashes, fresh)
+        return Run(padded, solid, starts, word, row, row, np.arange(n + 1), hashes, fresh)
 
     def features(self, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(buckets, unit) of all features, in several lots."""
@@ -117,6 +115,19 @@ class Run:
                 yield np.full(int((~self.fresh).sum()), _AGAIN, np.uint32), self.unit[~self.fresh]
 
 
+def windows_of(units: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First units and ends of all windows of texts whose units begin at ``units``, one beginning at each unit, and the first window of each text.
+
+    A text of fewer units than a window is one; one without any has none.
+    """
+    many = np.diff(units)
+    n = np.where(many > 0, np.maximum(1, many - max(window, 1) + 1), 0)
+    first = np.concatenate([[0], np.cumsum(n)])
+    text = np.repeat(np.arange(len(many)), n)
+    a = units[text] + np.arange(len(text)) - first[text]
+    return a, np.minimum(a + max(window, 1), units[text + 1]), first
+
+
 def lots_of(col: pa.Array, kind: Kind) -> list[tuple[np.ndarray, np.ndarray]]:
     """For training, per text: buckets unit by unit, and the end of each unit."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -149,11 +160,15 @@ class Model:
             for buckets, unit in run.features(kind):
                 total += np.bincount(unit, self.table[buckets], size)
                 n += np.bincount(unit, minlength=size)
+            x, y, first = windows_of(run.units, kind.window)
+            if kind.window:
+                total, n = (np.concatenate([[0.0], np.cumsum(v)]) for v in (total, n))
+                total, n = total[y] - total[x], n[y] - n[x]
             odds = np.where(n > 0, self.bias + total / (n + kind.blanks), -np.inf)
-            some = np.flatnonzero(np.diff(run.units) > 0)
+            some = np.flatnonzero(np.diff(first) > 0)
             best = np.full(b - a, -np.inf)
             if len(some):
-                best[some] = np.maximum.reduceat(odds, run.units[some])
+                best[some] = np.maximum.reduceat(odds, first[some])
             out.append(np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), self.share))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -221,14 +236,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, kind: Ki
         table, bias = t.fold()
         bags = []
         for y, at, ends in rows:
-            odds = _odds(table, at, ends, kind)
-            starts = np.concatenate([[0], ends[:-1]])
-            for k in np.argsort(-odds, kind="stable")[: 1 if y else 3]:
-                bags.append((y, at[starts[k] : ends[k]]))
+            odds, x, z = _odds(table, at, ends, kind)
+            for k in _apart(odds, 1 if y else 3, kind.window):
+                bags.append((y, at[x[k] : z[k]]))
         t.fit(bags, 3, 1.0)
     table, bias = t.fold()
     # the highest windows' odds, put on the scale of all documents by a ridge-bound logistic fit
-    x = np.array([_odds(table, at, ends, kind).max() + bias for _, at, ends in rows])
+    x = np.array([_odds(table, at, ends, kind)[0].max() + bias for _, at, ends in rows])
     y = np.array([r[0] for r in rows], float)
     weight = np.where(y > 0, share / ones, (1 - share) / (len(rows) - ones)) * len(rows)
     a, b = 1.0, 0.0
@@ -243,10 +257,24 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, kind: Ki
     return Model((table * a).astype(np.float32), float(a * bias + b), share)
 
 
-def _odds(table: np.ndarray, at: np.ndarray, ends: np.ndarray, kind: Kind) -> np.ndarray:
+def _odds(table: np.ndarray, at: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of a text: its odds, the place of its first feature and the end."""
     sums = np.concatenate([[0.0], np.cumsum(table[at], dtype=np.float64)])
-    starts = np.concatenate([[0], ends[:-1]])
-    return np.where(ends > starts, (sums[ends] - sums[starts]) / (ends - starts + kind.blanks), -1e9)
+    edges = np.concatenate([[0], ends])
+    a, b, _ = windows_of(np.array([0, len(ends)]), kind.window)
+    x, y = edges[a], edges[b]
+    return np.where(y > x, (sums[y] - sums[x]) / (y - x + kind.blanks), -1e9), x, y
+
+
+def _apart(odds: np.ndarray, n: int, window: int) -> list[int]:
+    """The places of the highest odds, up to ``n`` of them, none within a window of a higher one."""
+    out: list[int] = []
+    odds = odds.copy()
+    while len(out) < n and np.isfinite(odds).any():
+        k = int(np.argmax(odds))
+        out.append(k)
+        odds[max(0, k - window + 1) : k + window] = -np.inf
+    return out
 
 
 def held_out(ident: str) -> Column:
@@ -280,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, kind: Kind, ident: str =
 
 
 def score(docs: DataFrame, model: Model, kind: Kind, least: float, ident: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: ident, held_out, score, predicted, and the columns of ``carry`` as ``c_<name>``."""
+    """Per row: ident, held_out, score, predicted, and the columns of ``carry`` as ``c_<place>``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.table.tobytes(), model.bias, model.share))  # 1 MB, whatever the input
-    cols = docs.select(F.col(ident).alias("id"), held_out(ident).alias("held_out"), F.col(text).alias("t"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    cols = docs.select(F.col(ident).alias("id"), held_out(ident).alias("held_out"), F.col(text).alias("t"), *[F.col(quoted(c)).alias(f"c_{i}") for i, c in enumerate(carry)])
     extra = [f for f in cols.schema.fields if f.name.startswith("c_")]
     schema = T.StructType([T.StructField("id", cols.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), *extra])
 
