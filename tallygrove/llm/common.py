@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -451,6 +451,15 @@ def without(df: DataFrame, ident: str, ids: DataFrame, most: int = 1_000_000) ->
     return df.join(F.broadcast(gone) if gone.count() <= most else gone, F.col(ident).eqNullSafe(gone[name]), "left_anti")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression, also one with dots or marks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as make it no column's."""
     taken = {c.lower() for c in df.columns}

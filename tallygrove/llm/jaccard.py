@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, rows_apart, save, split_hot, text_slices, tidy, without, word_bounds, word_hashes
+from .common import arrow_rows, bloom_of, components, grouped, in_bloom, lowered, mixed, own_columns, rows_apart, save, split_hot, text_slices, tidy, without, word_bounds, word_hashes
 
 WORDS = 5
 #: Jaccard of at least UP / DOWN.
@@ -529,7 +529,7 @@ def keep_one(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFr
         return without(df, ident, told.where(F.col(ident) != F.col("component_id")).select(ident))
     of = rows.select(F.col(row).alias("_r"), F.col(ident).cast("long").alias("_id")).join(told.select(F.col(row).alias("_r"), F.col("component_id").alias("_c")), "_r")
     best = of.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_r")).alias("_b")).select(F.col("_b._r").alias(row))
-    return rows.join(best, row, "left_semi").select(*df.columns)
+    return rows.join(best, row, "left_semi").select(*own_columns(df))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, save
+from .common import WORD_RE, quoted, save
 
 #: By rank of the source, repeating; share of all sizes; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
@@ -41,8 +41,8 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
 
 
 def plan(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), **kw) -> DataFrame:
-    """Per row: ident, size, source_size, target, taken, and the columns of ``carry`` under ``c_<name>``."""
-    base = df.select(F.col(ident).alias("id"), F.col(source).alias("src"), words(F.col(text)).alias("size"), F.md5(F.concat_ws("\x1f", F.coalesce(F.col(ident).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))).alias("key"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    """Per row: ident, size, source_size, target, taken, and the columns of ``carry`` as ``c_<place>``."""
+    base = df.select(F.col(ident).alias("id"), F.col(source).alias("src"), words(F.col(text)).alias("size"), F.md5(F.concat_ws("\x1f", F.coalesce(F.col(ident).cast("string"), F.lit("")), F.coalesce(text, F.lit("")))).alias("key"), *[F.col(quoted(c)).alias(f"c_{i}") for i, c in enumerate(carry)])
     base = base.withColumn("spot", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
     slim = save(base.select("src", "size", "spot"), "sizes")
     per = save(targets_with_ranges(slim, **kw), "targets")
@@ -61,7 +61,7 @@ def plan(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     full = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = budget - full * F.col("source_size")
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return rows.select(F.col("id").alias(ident), "size", "source_size", "target", taken.cast("long").alias("taken"), *[f"c_{c}" for c in carry])
+    return rows.select(F.col("id").alias(ident), "size", "source_size", "target", taken.cast("long").alias("taken"), *[f"c_{i}" for i in range(len(carry))])
 
 
 def targets_with_ranges(slim: DataFrame, **kw) -> DataFrame:
@@ -79,7 +79,7 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     """The mixed rows with the input's own columns: whole repeats, and one text a source cut after its last word taken."""
     cols = df.columns
     p = plan(df, ident, text, source, carry=tuple(cols), **kw)
-    body = F.col(f"c_{text}")
+    body = F.col(f"c_{cols.index(text)}")
     part = F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(F.lit(0))
     repeats = F.expr("array_repeat(cast(null as bigint), cast(if(size > 0, taken div size, 0) as int))")
     p = p.withColumn("_cuts", F.concat(repeats, F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<bigint>"))))
@@ -87,7 +87,7 @@ def mix(df: DataFrame, ident: str = "doc_id", text: str = "text", source: str =
     heads = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(heads, F.lit(1), F.col("_cut").cast("int")), "")
     new = F.when(F.col("_cut").isNull(), body).otherwise(head)
-    return p.select(*[(new if c == text else F.col(f"c_{c}")).alias(c) for c in cols])
+    return p.select(*[(new if c == text else F.col(f"c_{i}")).alias(c) for i, c in enumerate(cols)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def assess(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier takes for good, with their own columns."""
     cols = docs.columns
-    return assess(docs, labels, carry=tuple(cols)).where("predicted = 1").select(*[F.col(f"c_{c}").alias(c) for c in cols])
+    return assess(docs, labels, carry=tuple(cols)).where("predicted = 1").select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
