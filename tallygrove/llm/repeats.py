@@ -227,7 +227,8 @@ def repeated_windows(docs: DataFrame, row: str, text: Column, most: int = MOST)
     full = classes.where("n > 1").select(F.col("core").alias("key0"), F.col("whole").alias("key1"), F.col("near").cast("int").alias("low"), F.col("far").cast("int").alias("high"))
     for d in done:
         full = full.unionByName(d)
-    hits = full.groupBy("key0", "key1").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # written, so that Spark can split a class of very many copies when they meet
+    hits = save(full.groupBy("key0", "key1").agg(F.min("low").alias("low"), F.max("high").alias("high")), "hits")
     met = found.select("id", "at", "core", "whole").join(hits, (F.col("core") == F.col("key0")) & (F.col("whole") == F.col("key1")))
     return met.select("id", (F.col("at") - F.col("high")).alias("s"), (F.col("at") + SPAN - F.col("low")).alias("e"))
 
