@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -82,7 +83,7 @@ def test_classifiers(spark, odd, none, module, label, good):
     right = got.where("held_out").agg(F.avg((F.col("predicted") == F.col(label)).cast("int")), F.count(F.lit(1))).first()
     assert right[0] >= good and right[1] > 1000
     both, said, true = got.where("held_out").agg(*[F.count_if(F.expr(x)) for x in (f"predicted = 1 and {label} = 1", "predicted = 1", f"{label} = 1")]).first()
-    # measured: 119 of 128 and of 144 toxic ones from the few labels of this size, 1149 of 1153 and of 1149 good ones
+    # measured: 121 of 128 and of 144 toxic ones from the few labels of this size, 1149 of 1153 and of 1149 good ones
     least = (0.9, 0.8) if label == "toxic" else (0.98, 0.98)
     assert both / said >= least[0] and both / true >= least[1], (both, said, true)
     assert {r.held_out for r in got.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1} == {True}
@@ -112,9 +113,9 @@ def plain_score(text, model, kind):
 
     data = text.encode()
     data = b" " + (re.sub(rb"[A-Z]", lambda m: m[0].lower(), data) if kind.lower else data) + b" "
-    units, last, k = collections.defaultdict(list), None, -1
-    for k, m in enumerate(re.finditer(rb"[^\x00\x20\x09-\x0d]+", data)):
-        lot = units[k // kind.window if kind.window else 0]
+    words, last = [], None
+    for m in re.finditer(rb"[^\x00\x20\x09-\x0d]+", data):
+        words.append(lot := [])
         if m[0] == last:
             if kind.words:
                 lot.append(mix(77) >> 64 - subword.BITS)
@@ -126,7 +127,9 @@ def plain_score(text, model, kind):
         if kind.words:
             h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(last)) + len(last)
             lot.append(mix(h & u64) >> 64 - subword.BITS)
-    odds = [model.bias + sum(float(model.table[b]) for b in lot) / (len(lot) + kind.blanks) for lot in units.values() if lot]
+    size = kind.window or len(words)
+    lots = [sum(words[k : k + size], []) for k in range(max(1, len(words) - size + 1))]
+    odds = [model.bias + sum(float(model.table[b]) for b in lot) / (len(lot) + kind.blanks) for lot in lots if lot]
     return 1 / (1 + math.exp(-max(odds))) if odds else model.share
 
 
@@ -139,6 +142,17 @@ def test_scores_are_those_of_plain_python(spark):
         assert np.allclose(model.scores(pa.array(texts, pa.string()), kind), [plain_score(t or "", model, kind) for t in texts], atol=1e-6)
 
 
+def test_toxic_texts_are_found_wherever_they_stand(spark):
+    docs, labels = table(spark, "documents", "/root/testdata/sf0.1"), table(spark, "labels", "/root/testdata/sf0.1")
+    model = subword.fit(docs, labels, "toxic", toxicity.KIND)
+    texts = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").select("text").collect()]
+    score = lambda before, after="": model.scores(pa.array([before + t + after for t in texts]), toxicity.KIND) >= toxicity.LEAST
+    found = score("")
+    for n in range(8):
+        words = " ".join(["and", "the", "of", "in", "that", "to", "for"][:n])
+        assert (score(words + " " if n else "", " " + words) >= found).all()
+
+
 def test_scores_do_not_depend_on_the_run():
     rng = np.random.default_rng(0)
     model = subword.Model(rng.normal(size=1 << subword.BITS).astype(np.float32), 0.1, 0.2)
@@ -161,9 +175,10 @@ def brute_secrets(text):
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
         if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
             continue
-        cuts = [(0, 0), *(x.span() for x in re.finditer(secrets.ALLOWED, m[0])), (len(m[0]),) * 2]
+        hits = [x.span() for x in re.finditer(secrets.ALLOW, m[0])]
+        cuts = [(0, 0), *((x - 64, y + 64) for x, y in hits), (len(m[0]),) * 2]
         for (_, x), (y, _) in itertools.pairwise(cuts):
-            s = m[0][x:y]
+            s = m[0][x : max(x, y)]
             for _, looks, _, bits in secrets.CLASSES:
                 if re.search(looks, s):
                     hot = [i for i in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(s[i : i + 20]).values()) >= bits - 1e-9]
@@ -516,7 +531,8 @@ def test_decontamination_against_brute_force(spark):
                 n[k].add(i)
         want |= {(r.doc_id, k) for k, v in n.items() if len(v) >= 6}
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
-    assert got >= want and len(got) <= len(want) + 2 and want
+    assert got >= want and want
+    assert got == set(brute_find([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]))
 
 
 def test_templates(spark, odd, none):
@@ -534,20 +550,63 @@ def test_templates(spark, odd, none):
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_names_that_begin_a_sentence(spark):
+    bench = spark.createDataFrame([(1, "Tom has 3 apples and buys 5 more today")], "item_id long, text string")
+    texts = ["Anna has 4 apples and buys 6 more today", "Well. Anna has 4 apples and buys 6 more today. Then", "we saw that Anna has 4 apples and buys 6 more today", "Tom has 3 apples and buys 5 more today", "Anna has pears and buys 6 more today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.exact for r in decontaminate.find(docs, bench).collect()} == {0: False, 1: False, 2: False, 3: True}
+
+
+#: Texts that patterns with repeated groups, or work that grows with the square, don't survive.
+VAST = ("1," * 500_000, "xxxx1a" * 170_000, "7" * 1_000_000, "a" * 1_000_000, "a1 " * 330_000, "Ab" * 500_000, "x. " * 300_000)
+
+
+def test_vast_texts(spark):
+    bench = spark.createDataFrame([(1, "Tom has 3 apples and buys 5 more today"), (2, "one two"), (3, "1,1,1 2 3 4")], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(VAST), (99, "said one Tom has 3 apples and buys 5 more today")], "doc_id long, text string").repartition(9)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()} == {(99, 1)}
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert len(got) == len(VAST) + 1 and got[2].n_hex == got[3].n_hex == 1 and got[1].n_entropy == 0
+
+
 def brute_find(docs, bench):
     """Template matching in plain Python: {(document, item): (windows, the item's windows, exact)}."""
 
-    def windows(text, sizes, names):
-        text = regex.sub(names, "\x01", (text or "").replace("\x01", "\x02"))
-        toks = regex.findall(decontaminate.TOKEN, text)
-        words = [t.lower().replace("\x01", "") for t in toks]
-        canon = []
-        for i, (t, w) in enumerate(zip(toks, words, strict=True)):
-            unit = w in decontaminate.UNITS and i > 0 and toks[i - 1][0].isdigit()
-            canon.append("#" if t[0].isdigit() else "N" if t[0] == "\x01" else "U" if unit else "")
+    def tokens(text):
+        """Words and numbers are found, and told to be names or units, without the operator's patterns."""
+        spans, at = [], 0
+        while at < len(text):
+            letter = unicodedata.category(text[at])[0] in "LM"
+            end = at + 1
+            if letter:
+                while end < len(text) and unicodedata.category(text[end])[0] in "LM":
+                    end += 1
+            elif text[at] in "0123456789":
+                while end < len(text) and (text[end] in "0123456789" or (text[end] in ".," and text[end + 1 : end + 2] in tuple("0123456789"))):
+                    end += 1
+            if letter or text[at] in "0123456789":
+                spans.append((at, end))
+            at = end
+        return spans
+
+    def windows(text, sizes, names, openings=False):
+        text = text or ""
+        spans = tokens(text)
+        words = [text[a:b].lower() for a, b in spans]
+        canon, opens = [], []
+        for i, (a, b) in enumerate(spans):
+            capital = unicodedata.category(text[a]) == "Lu" and b - a > 1 and unicodedata.category(text[a + 1]) == "Ll"
+            inside = a > 1 and text[a - 1] == " " and (text[a - 2] in ",;:" or unicodedata.category(text[a - 2]) == "Ll")
+            unit = words[i] in decontaminate.UNITS and i > 0 and words[i - 1][0] in "0123456789"
+            opening = capital and not inside and not unit
+            name = capital and (inside or names == "anywhere")
+            opens.append(openings and opening)
+            canon.append("#" if words[i][0] in "0123456789" else "N" if name or opens[-1] else "U" if unit else "")
         for size in sizes:
-            for i in range(len(toks) - size + 1):
+            for i in range(len(words) - size + 1):
                 at = range(i, i + size)
+                if openings and (not opens[i] or any(opens[i + 1 : i + size])):
+                    continue
                 slots = tuple((canon[k] + words[k], k) for k in at if canon[k])
                 nums = tuple(x for x in slots if x[0][0] == "#")
                 loose = len(slots) <= size // 2
@@ -556,11 +615,11 @@ def brute_find(docs, bench):
                 if loose and len(nums) < len(slots):
                     yield i, loose, tuple(canon[k] or ":" + words[k] for k in at), slots
 
-    size = {k: len(regex.findall(decontaminate.TOKEN, t)) for k, t in bench}
+    size = {k: len(tokens(t)) for k, t in bench}
     known, of = collections.defaultdict(set), collections.defaultdict(set)
     for k, t in bench:
         if size[k] >= 4:
-            for names in (decontaminate.WITHIN, decontaminate.ANYWHERE):
+            for names in ("within", "anywhere"):
                 for pos, loose, key, slots in windows(t, (min(8, size[k]),), names):
                     known[key].add((k, pos, loose, slots))
                     of[k].add((pos, loose))
@@ -568,7 +627,8 @@ def brute_find(docs, bench):
     out = {}
     for i, t in docs:
         diagonal = collections.defaultdict(list)
-        for pos, _, key, slots in windows(t, sorted({min(8, n) for n in size.values() if n >= 4}), decontaminate.WITHIN):
+        sizes = sorted({min(8, n) for n in size.values() if n >= 4})
+        for pos, _, key, slots in {*windows(t, sizes, "within"), *windows(t, sizes, "within", True)}:
             for k, bpos, loose, bslots in known.get(key, ()):
                 if len(slots) == len(bslots):
                     diagonal[k, pos - bpos].append((bpos, loose, [(b, d, at) for (b, at), (d, _) in zip(bslots, slots, strict=True)]))
@@ -593,7 +653,7 @@ def brute_find(docs, bench):
 
 def test_templates_against_brute_force(spark):
     rng = np.random.default_rng(12)
-    words = ["the", "man", "has", "buys", "Anna", "Bob", "Rome", "3", "4", "17", "2,5", "kg", "km", "apples", "how", "many", "then", "pays", ".", ",", "and"]
+    words = ["the", "man", "has", "buys", "Anna", "Bob", "Rome", "3", "4", "17", "2,5", "kg", "km", "apples", "how", "many", "then", "pays", ".", ",", "and", "Carl", "Km"]
     bench = [(k, " ".join(rng.choice(words, int(rng.integers(4, 26))))) for k in range(40)]
     docs = []
     for n in range(160):
