@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import keyword_score
 from ..functions.text import squash
-from .signals import parse_signals
+from .signals import signals_of_text
 
 
 def superset(codes: Column, required: list[str]) -> Column:
@@ -48,7 +48,7 @@ def search(programs: DataFrame, text: str, k: int = 8, order: str = "ord") -> tu
 
     Names are scored once each; ties go by seats, then by ``order``.
     """
-    sig = parse_signals(text)
+    sig = signals_of_text(programs.sparkSession, text)
     rows = filtered(programs, sig)
     if sig["keywords"]:
         kws = F.array(*[F.lit(w) for w in sig["keywords"]])

@@ -1,29 +1,29 @@
-"""Typed search: signals of a free text, on the driver for one text and as a plan for a table of them."""
+"""Typed search: signals of free texts as a plan over a table of them, and lexicon matches.
+
+Python runs only for Unicode normalisation and, once a distinct token, for the similarity with the lexicons' few keys.
+"""
 
 from __future__ import annotations
 
-import json
-import re
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import lexicon as L
 from ..functions.similarity import extract_one
+from ..functions.text import is_noise, nfkc, squash, thai_digits
+from .segment import JOINED, segment
 
 FUZZY = 85
 SIGNALS = "university string, subjects array<string>, seats_min int, keywords array<string>, round string, gpax double, intl boolean, faculty string, major string, format string, format_kw string, intent string, phrase string, phrase_active boolean"
+#: What a number of seats and a grade stand after.
 SEATS = r"(?:more than|over|มากกว่า|>)\s*(\d+)"
 GPAX = r"(?i)(?:GPAX|เกรด)\s*[: ]?\s*(\d+\.?\d*)"
 
 
-def normalise(text: str | None) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "")).strip()
-
-
 def _nfkc(table: dict) -> dict:
     """Keys normalised as texts are, so that composed vowels match; the first of equal keys stays."""
     out: dict = {}
@@ -36,110 +36,6 @@ UNI, SUBJ, ROUND, FACULTY, MAJOR, FORMAT, INTENT, ABBREV = (_nfkc(t) for t in (L
 STOP = {unicodedata.normalize("NFKC", w) for w in L.STOP}
 
 
-class Segmenter:
-    """Longest-match segmentation of Thai runs by a dictionary; other text is cut at white space and changes of script.
-
-    A general word list can be given; without one the dictionary is the search's own terms.
-    """
-
-    def __init__(self, words: set[str] | None = None) -> None:
-        own = set(L.CORE) | set(L.UNI) | set(L.SUBJ) | set(L.FACULTY) | set(L.MAJOR) | set(L.FORMAT) | set(L.INTENT) | set(L.ROUND) | set(L.ABBREV) | set(L.ABBREV.values()) | L.STOP
-        for table in (L.FACULTY, L.MAJOR):
-            own |= {m for _, terms in table.values() for m in terms.split()}
-        self.words = {unicodedata.normalize("NFKC", w) for w in (words or set()) | own if re.search(r"[฀-๿]", w)}
-        self.longest = max(map(len, self.words))
-
-    def thai(self, run: str) -> list[str]:
-        """Fewest unknown characters, then fewest pieces; unknown characters that meet are one piece."""
-        n = len(run)
-        best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(n + 1, 0, 0)] * n
-        for i in range(n):
-            unknown, pieces, _ = best[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                cost = (unknown, pieces + 1, i) if run[i:j] in self.words else (unknown + 1, pieces + 1, i) if j == i + 1 else None
-                if cost and cost[:2] < best[j][:2]:
-                    best[j] = cost
-        cuts, at = [], n
-        while at:
-            cuts.append((best[at][2], at))
-            at = best[at][2]
-        out: list[str] = []
-        known = True
-        for a, b in reversed(cuts):
-            piece = run[a:b]
-            if piece not in self.words and out and not known:
-                out[-1] += piece
-            else:
-                out.append(piece)
-            known = piece in self.words
-        return out
-
-    def __call__(self, text: str) -> list[str]:
-        out: list[str] = []
-        for run in re.findall(r"\s+|[฀-๿]+|\d+(?:\.\d+)?|[^\W\d_฀-๿]+|.", text, re.S):
-            out += self.thai(run) if "฀" <= run[0] <= "๿" else [run]
-        return out
-
-
-@lru_cache(1)
-def segmenter() -> Segmenter:
-    return Segmenter()
-
-
-def fuzzy(token: str, table: dict, least: float = FUZZY):
-    """Exact, else the most similar key of at least ``least``, for tokens of 4 characters or more."""
-    if token in table:
-        return table[token]
-    if len(token) >= 4:
-        best = extract_one(token, list(table))
-        if best and best[1] >= least:
-            return table[best[0]]
-    return None
-
-
-def noise(t: str) -> bool:
-    return t.isdigit() or not any(c.isalnum() for c in t)
-
-
-def parse_signals(text: str) -> dict:
-    """All signals of one text: filters, keywords and the phrase that is left of it."""
-    whole = normalise(text)
-    low = whole.lower()
-    toks = segmenter()(whole)
-
-    def scan(table: dict):
-        return next((v for k, v in table.items() if k in low), None)
-
-    uni = scan(UNI) or next((u for t in toks if (u := fuzzy(t, UNI) or fuzzy(t.lower(), UNI))), None)
-    faculty, major = ((hit[0] if (hit := scan(t)) else None) for t in (FACULTY, MAJOR))
-    form, form_kw = scan(FORMAT) or (None, None)
-    subjects = sorted({s for t in toks if (s := fuzzy(t, SUBJ) or fuzzy(t.lower(), SUBJ))})
-    seats, gpax = re.search(SEATS, whole), re.search(GPAX, whole)
-    used = {k.lower() for t in (UNI, SUBJ) for k, v in t.items() if v == uni or v in subjects}
-    terms: list[str] = []
-    for label, table in ((faculty, FACULTY), (major, MAJOR)):
-        if label:
-            rows = [(k, m) for k, (lab, m) in table.items() if lab == label]
-            used |= {k.lower() for k, _ in rows}
-            terms += rows[0][1].split()
-    keywords = [t for t in toks if t.lower() not in used and t.lower() not in STOP and not noise(t)]
-    for m in terms:
-        if m not in keywords and m.lower() not in STOP:
-            keywords.append(m)
-    rest = whole
-    for table in (UNI, ROUND, INTENT, FACULTY, MAJOR, FORMAT):  # one after the other: what is removed makes and breaks later hits
-        for k in table:
-            rest = rest.replace(k, " ")
-    rest = re.sub(r"\d+\.?\d*|[><=]", " ", rest)
-    left = [t for t in segmenter()(rest) if t.strip() and t.lower() not in STOP and not noise(t)]
-    phrase = re.sub(r"\s+", "", "".join(ABBREV.get(t, t) for t in left)).lower()
-    return {
-        "university": uni, "subjects": subjects, "seats_min": int(seats[1]) if seats else None, "keywords": keywords, "round": scan(ROUND), "gpax": float(gpax[1]) if gpax else None,
-        "intl": "นานาชาติ" in low or "international" in low, "faculty": faculty, "major": major, "format": form, "format_kw": form_kw, "intent": scan(INTENT),
-        "phrase": phrase, "phrase_active": len(left) >= 2 and len(phrase) > 3 and bool(re.search(r"[฀-๿]", phrase)), "raw": text,
-    }
-
-
 #: Rows of a lexicon that texts are compared with one by one.
 MOST_WORDS = 10_000
 
@@ -176,16 +72,21 @@ def lexicon_match(texts: DataFrame, ident: str, text: str, lexicon: DataFrame) -
     if n > MOST_WORDS:
         raise ValueError(f"a lexicon of {n} rows; {MOST_WORDS} are the most")
     rows = [(F.lit(r["kw"]), F.struct(F.lit(r["label"]).alias("label"), F.lit(r["ord"]).alias("ord"))) for r in lexicon.where("kw is not null").orderBy("ord").collect()]
-    if not rows:
-        hit = F.lit(None).cast("struct<label:string,ord:int>")
-    elif len(rows) <= CHAIN:
-        hit = F
+
+    def hit(t: Column) -> Column:
+        if not rows:
+            return F.lit(None).cast("struct<label:string,ord:int>")
+        if len(rows) > CHAIN:
+            table = F.array(*[F.struct(kw.alias("kw"), what.alias("what")) for kw, what in rows])
+            return F.get(F.filter(table, lambda x: F.contains(t, x["kw"])), 0)["what"]
+        out = F
         for kw, what in rows:
-            hit = hit.when(F.contains(F.col(text), kw), what)
-    else:
-        table = F.array(*[F.struct(kw.alias("kw"), what.alias("what")) for kw, what in rows])
-        hit = F.get(F.filter(table, lambda x: F.contains(F.col(text), x["kw"])), 0)["what"]
-    return texts.select(ident, hit.alias("_h")).where("_h is not null").select(ident, "_h.label", "_h.ord")
+            out = out.when(F.contains(t, kw), what)
+        return out
+
+    # the text, and the hit, are an array's one element, so each is made once
+    once = F.filter(F.transform(F.array(F.col(text)), hit), lambda h: h.isNotNull())
+    return texts.select(ident, F.explode(once).alias("_h")).select(ident, "_h.label", "_h.ord")
 
 
 def match_tokens(tokens: DataFrame, lexicon: DataFrame, most: int = 1) -> DataFrame:
@@ -202,12 +103,96 @@ def remove_all(text: Column, words: list[str]) -> Column:
     return text
 
 
-def parse_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """A query log with its signals as a struct column, texts parsed once each."""
+def own_words() -> list[str]:
+    """The search's own terms, which a general word list is added to."""
+    tables = (L.UNI, L.SUBJ, L.FACULTY, L.MAJOR, L.FORMAT, L.INTENT, L.ROUND, L.ABBREV)
+    own = {*L.CORE, *L.STOP, *L.ABBREV.values(), *(k for t in tables for k in t)}
+    own |= {m for t in (L.FACULTY, L.MAJOR) for _, terms in t.values() for m in terms.split()}
+    return sorted({unicodedata.normalize("NFKC", w) for w in own})
+
+
+def fuzzy(token: str, table: dict[str, str], least: float = FUZZY) -> str | None:
+    """Exact, else the most similar key of at least ``least``, for tokens of 4 characters or more."""
+    if token in table:
+        return table[token]
+    best = extract_one(token, list(table)) if len(token) >= 4 else None
+    return table[best[0]] if best and best[1] >= least else None
+
+
+@F.pandas_udf(StructType([StructField("uni", StringType()), StructField("subj", StringType())]))
+def token_labels(tokens: pd.Series) -> pd.DataFrame:
+    """Institution and subject of each token, as it stands or in lower case."""
+    both = [[fuzzy(t, table) or fuzzy(t.lower(), table) for table in (UNI, SUBJ)] for t in tokens]
+    return pd.DataFrame(both, columns=["uni", "subj"], dtype=object)
+
+
+def _strings(xs) -> Column:
+    return F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+
+
+def _rows(table: dict[str, str]) -> Column:
+    """A lexicon as an array of its keys in lower case and their values."""
+    return F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(v).alias("v")) for k, v in table.items()])
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: json.dumps(parse_signals(x), ensure_ascii=False))
 
-    once = df.select(F.col(text).alias("_t")).distinct().withColumn("signals", F.from_json(run("_t"), SIGNALS))
-    return df.join(once, F.col(text).eqNullSafe(F.col("_t")), "left").drop("_t")
+def signals_of(df: DataFrame, text: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """The input with ``signals``, a struct of filters, keywords and the phrase that is left; texts are parsed once each.
+
+    ``words`` (word) is a general word list for the segmentation. A null text has the signals of an empty one.
+    """
+    spark = df.sparkSession
+    d = spark.createDataFrame([(w,) for w in own_words()], "word string")
+    d = d if words is None else d.unionByName(words.select("word"))
+    t = df.select(F.col(text).alias("raw")).distinct().withColumn("whole", F.coalesce(nfkc("raw"), F.lit("")))
+    rest = remove_all(F.col("whole"), [k for table in (UNI, ROUND, INTENT, FACULTY, MAJOR, FORMAT) for k in table])  # what is removed makes and breaks later hits
+    # a column that says which text, as a null one is a text too
+    t = t.withColumns({"rest": F.regexp_replace(rest, r"\p{Nd}+\.?\p{Nd}*|[><=]", " "), "key": F.coalesce(F.concat(F.lit("t"), "raw"), F.lit("n"))})
+    toks, left = segment(t, "key", "whole", d), segment(t, "key", "rest", d).withColumnRenamed("tokens", "left")
+    each = toks.select("key", F.posexplode("tokens").alias("at", "token"))
+    labels = each.select("token").distinct().withColumn("l", token_labels("token")).select("token", "l.*").where("uni is not null or subj is not null")
+    said = each.join(labels, "token").groupBy("key").agg(F.min_by("uni", F.when(F.col("uni").isNotNull(), F.col("at"))).alias("near"), F.array_sort(F.collect_set("subj")).alias("subjects"))
+    t = t.join(toks, "key").join(left, "key").join(said, "key", "left").withColumn("low", F.lower("whole"))
+    first = {name: {k: v[0] for k, v in table.items()} for name, table in (("faculty", FACULTY), ("major", MAJOR), ("format", FORMAT))}
+    group = lambda rx: F.nullif(thai_digits(F.regexp_extract("whole", rx, 1)), F.lit(""))
+    t = t.withColumns({
+        "university": F.coalesce(first_hit(F.col("low"), UNI), "near"),
+        "subjects": F.coalesce("subjects", _strings([])),
+        "seats_min": group("(?U)" + SEATS).try_cast("int"),
+        "round": first_hit(F.col("low"), ROUND),
+        "gpax": group(GPAX.replace("(?i)", "(?iU)")).try_cast("double"),
+        "intl": F.contains("low", F.lit("นานาชาติ")) | F.contains("low", F.lit("international")),
+        **{name: first_hit(F.col("low"), table) for name, table in first.items()},
+        "format_kw": F.nullif(first_hit(F.col("low"), {k: v[1] or "" for k, v in FORMAT.items()}), F.lit("")),
+        "intent": first_hit(F.col("low"), INTENT),
+    })
+    stop = _strings(sorted(STOP))
+    kept = lambda x: ~F.array_contains(stop, F.lower(x)) & ~is_noise(x)
+    keys = lambda rows, hit: F.transform(F.filter(rows, lambda r: F.coalesce(hit(r["v"]), F.lit(False))), lambda r: r["k"])
+    used = [keys(_rows(table), lambda v: (v == F.col("university")) | F.array_contains("subjects", v)) for table in (UNI, SUBJ)]
+    used += [keys(_rows(first[name]), lambda v, name=name: v == F.col(name)) for name in ("faculty", "major")]
+
+    def terms(name: str, table: dict) -> Column:
+        """Match terms of the first row with the label."""
+        of: dict[str, str] = {}
+        for label, match in table.values():
+            of.setdefault(label, match)
+        out = _strings([])
+        for label, match in of.items():
+            out = F.when(F.col(name) == label, _strings(match.split())).otherwise(out)
+        return out
+
+    t = t.withColumns({"used": F.concat(*used), "terms": F.array_distinct(F.concat(terms("faculty", FACULTY), terms("major", MAJOR)))})
+    t = t.withColumn("keywords", F.filter("tokens", lambda x: kept(x) & ~F.array_contains("used", F.lower(x))))
+    t = t.withColumn("keywords", F.concat("keywords", F.filter("terms", lambda m: ~F.array_contains("keywords", m) & ~F.array_contains(stop, F.lower(m)))))
+    abbrev = F.create_map(*[F.lit(x) for kv in ABBREV.items() for x in kv])
+    t = t.withColumn("left", F.filter("left", lambda x: kept(x)))
+    t = t.withColumn("phrase", squash(F.array_join(F.transform("left", lambda x: F.coalesce(F.try_element_at(abbrev, x), x)), "")))
+    t = t.withColumn("phrase_active", (F.size("left") >= 2) & (F.length("phrase") > 3) & F.col("phrase").rlike(f"[{JOINED}]"))
+    names = [f.split()[0] for f in SIGNALS.split(", ")]
+    out = t.select(F.col("raw").alias("_t"), F.struct(*names, F.col("raw")).alias("signals"))
+    return df.join(out, F.col(text).eqNullSafe(F.col("_t")), "left").drop("_t")
+
+
+def signals_of_text(spark: SparkSession, text: str | None) -> dict:
+    """The signals of one text, on the driver."""
+    return signals_of(spark.createDataFrame([(text,)], "text string")).first()["signals"].asDict(recursive=True)

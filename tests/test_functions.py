@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions import similarity as S
 from tallygrove.functions import text as T
-from tallygrove.operators import signals
 
 WORD = st.text("abc é", max_size=9)
 
@@ -60,16 +59,3 @@ def test_text_helpers(spark):
 @pytest.mark.parametrize(("code", "want"), [("GPAX", "GPAX"), ("TGAT1", "TGAT"), ("91", "TGAT"), ("30", "TPAT"), ("67", "A-Level"), ("89", "A-Level"), ("90", "TGAT"), ("x", "other"), (None, "other")])
 def test_category(spark, code, want):
     assert spark.createDataFrame([(code,)], "x string").select(T.category(F.col("x"))).first()[0] == want
-
-
-def test_parse_signals():
-    s = signals.parse_signals("phisics and math, more than 100 seats at chula")
-    assert s["university"] == "Chulalongkorn" and s["subjects"] == ["61", "64"] and s["seats_min"] == 100
-    s = signals.parse_signals("วิศวกรรมคอมพิวเตอร์ รอบ 2 GPAX 2.75 international")
-    assert (s["faculty"], s["major"], s["round"], s["gpax"], s["intl"]) == ("Engineering", "Computer", "R2", 2.75, True)
-    assert signals.parse_signals("")["keywords"] == [] and signals.parse_signals(None)["raw"] is None
-
-
-def test_segmenter_keeps_terms():
-    assert "".join(signals.segmenter()("เรียนวิศวกรรมที่จุฬา 61")) == "เรียนวิศวกรรมที่จุฬา 61"
-    assert "วิศวกรรม" in signals.segmenter()("เรียนวิศวกรรมที่จุฬา")

@@ -55,7 +55,7 @@ def test_search(spark):
     assert sig["subjects"] == ["64"] and [r.ord for r in top.collect()] == [1]
     _, every = search.search(p, "")
     assert [r.ord for r in every.collect()] == [2, 1, 3]
-    log = signals.parse_table(spark.createDataFrame([("math at cmu",), (None,), ("math at cmu",)], "text string"))
+    log = signals.signals_of(spark.createDataFrame([("math at cmu",), (None,), ("math at cmu",)], "text string"))
     assert [r.signals.university for r in log.where("text is not null").collect()] == ["Chiang Mai"] * 2
 
 
