@@ -40,12 +40,13 @@ UNIT_AFTER = rf"(0[^\p{{L}}\p{{M}}0-9]*+)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}
 #: Matches where so many tokens follow that there is a window; tried only where a run of tokens begins.
 SHORTEST_OR_MORE = r"(?<![\p{L}\p{M}0-9])(?<![0-9][.,])(?:(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}\p{M}]++)[^\p{L}\p{M}0-9]*+){%d}" % SHORTEST
 #: Before a capitalised word that no sentence begins with.
-WITHIN = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
+WITHIN = r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;:] )"  # what few places have comes first
 #: Before any capitalised word: what an item's sentences begin with may stand within a document's.
-ANYWHERE = r"(?<![\p{L}\p{M}])(?=\p{Lu}\p{Ll})"
-#: Stands before a capitalised word that begins a sentence, and where it goes once other names are marked.
+ANYWHERE = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}])"
+#: Stands before a capitalised word that begins a sentence, and where it goes, as texts are or once other names are marked.
 OPENING = "\u0003"
-LEFT = r"(?<![\p{L}\p{M}\x01])(?=\p{Lu}\p{Ll})"
+FIRST = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}])(?<![\p{Ll},;:] )"
+LEFT = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\x01])"
 MARKS = "\u0001" + OPENING
 
 
@@ -118,19 +119,21 @@ def window_hashes(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] =
     makes them are equal here; the two small sigmas count as one, as a whole text's lower case depends on what follows.
     """
     low = lambda t: F.replace(F.lower(t), F.lit("ς"), F.lit("σ"))
-    plain = F.regexp_replace(low(F.col(text)), NUMBER, "0")
+    shown = F.regexp_replace(F.col(text), FIRST, OPENING) if openings else F.col(text)
+    plain = F.regexp_replace(low(shown), NUMBER, "0")
     d = df.select(F.col(ident).alias("id"), F.col(text).alias("t"), plain.alias("plain"))
     named = F.regexp_replace(F.regexp_replace("t", NUMBER, "0"), names + r"[\p{L}\p{M}]++", "1")
-    if openings:
-        named = F.regexp_replace(named, ANYWHERE, OPENING)
     slots = F.col("t").rlike(names) | F.col("plain").rlike(UNIT_AFTER)
-    some = slots | F.col("t").rlike(ANYWHERE) if openings else slots
-    d = d.select("id", "plain", slots.alias("slots"), F.when(some, F.regexp_replace(low(named), UNIT_AFTER, "$12")).alias("typed"))
-    toks = lambda t: F.regexp_extract_all(t, F.lit(rf"[0-2]|{OPENING}?[\p{{L}}\p{{M}}]++"), F.lit(0))
-    d = d.select("id", "slots", F.transform(toks("plain"), lambda x: F.xxhash64(x)).alias("ps"), F.when(F.col("typed").isNotNull(), toks("typed")).alias("ts"))
-    at = F.filter(F.transform("ts", lambda x, i: F.when(x.startswith(OPENING), i)), lambda i: i.isNotNull()) if openings else F.lit(None).cast("array<int>")
-    d = d.select("id", "ps", F.when(F.col("slots"), F.transform("ts", lambda x: F.xxhash64(F.translate(x, OPENING, "") if openings else x))).alias("hs"), at.alias("at"))
-    d = d.withColumn("os", F.coalesce("hs", "ps"))
+    d = d.select("id", "plain", F.when(slots, F.regexp_replace(low(named), UNIT_AFTER, "$12")).alias("typed"))
+    toks = lambda t, mark="": F.regexp_extract_all(t, F.lit(rf"[0-2]|{mark}[\p{{L}}\p{{M}}]++"), F.lit(0))
+    hashes = lambda t: F.transform(t, lambda x: F.xxhash64(x))
+    if openings:
+        bare = lambda x: F.when(x.startswith(OPENING), F.substring(x, 2, 1 << 30)).otherwise(x)
+        d = d.select("id", toks("plain", f"{OPENING}?").alias("ts"), "typed")
+        d = d.select("id", F.transform("ts", lambda x: F.xxhash64(bare(x))).alias("ps"), F.filter(F.transform("ts", lambda x, i: F.when(x.startswith(OPENING), i)), lambda i: i.isNotNull()).alias("at"), "typed")
+    else:
+        d = d.select("id", hashes(toks("plain")).alias("ps"), F.lit(None).cast("array<int>").alias("at"), "typed")
+    d = d.select("id", "ps", "at", F.when(F.col("typed").isNotNull(), hashes(toks("typed"))).alias("hs")).withColumn("os", F.coalesce("hs", "ps"))
     none = F.array().cast("array<bigint>")
 
     def lot(of: str, w: int) -> Column:
