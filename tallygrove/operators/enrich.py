@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import fuzz_wratio
 from ..functions.text import safe_name, squash
+from .fuzzy import similar
 
 
 def fill_exact(rows: DataFrame, catalog: DataFrame, ident: str, code: str, name: str, seats: str) -> DataFrame:
@@ -18,16 +18,14 @@ def fill_exact(rows: DataFrame, catalog: DataFrame, ident: str, code: str, name:
     return d.withColumn(seats, F.coalesce(F.col(seats), new)).drop("_code", "_s1", "_name", "_s2")
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 90.0, scorer=fuzz_wratio) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, block: str, name: str, least: float = 90.0) -> DataFrame:
     """(block, name, best, score) of distinct names: the most similar right name of the same block, first by name of equals.
 
-    Names are distinct and squashed before they meet; blocks meet by equi-join, which AQE splits if one is hot.
+    Names are distinct and squashed before they meet, by grams that are rare and that similar ones must share, never all with all.
     """
-    a = left.select(block, squash(F.col(name)).alias("name")).distinct()
-    b = right.select(block, squash(F.col(name)).alias("best")).distinct()
-    s = a.join(b, block).withColumn("score", scorer("name", "best"))
-    top = s.groupBy(block, "name").agg(F.max_by(F.struct("best", "score"), F.struct("score", F.reverse("best"), "best")).alias("t"))
-    return top.select(block, "name", "t.best", "t.score").where(F.col("score") >= least)
+    a, b = (df.select(block, squash(F.col(name)).alias("name")).distinct() for df in (left, right))
+    top = similar(a, b, block, least).groupBy(block, "name").agg(F.min_by(F.struct("best", "score"), F.struct(-F.col("score"), "best")).alias("t"))
+    return top.select(block, "name", "t.best", "t.score")
 
 
 def fill_fuzzy(rows: DataFrame, catalog: DataFrame, block: str, name: str, seats: str, least: float = 90.0) -> DataFrame:

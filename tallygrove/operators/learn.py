@@ -7,11 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import surrogate
-
-#: Labels an agglomerative clustering takes in one step; more are split where no merge can cross, and beyond it a part stops.
-MOST_LABELS = 5000
-
+from .tables import checkpointed, surrogate
 
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -41,87 +37,59 @@ def nearest(df: DataFrame, centroids: DataFrame, ident: str, vec: str, key: str,
     return d.select(ident, F.array_max(told)["key"].alias(key))
 
 
-def average_linkage(vecs: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster numbers of unit vectors: average linkage on cosine distance, merged while the least is at most ``cut``."""
-    n = len(vecs)
-    d = 1 - vecs @ vecs.T
-    np.fill_diagonal(d, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    while True:
-        k = int(d.argmin())
-        i, j = sorted(divmod(k, n))
-        if not d[i, j] <= cut:
-            break
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-    return np.unique(owner, return_inverse=True)[1]
-
-
-def near_parts(d: DataFrame, cut: float, block: int) -> DataFrame:
-    """(label, part): labels that a chain of distances up to ``cut`` connects. No cluster of average linkage crosses parts.
-
-    Blocks meet in pairs; each pair gives a forest, and the driver joins them, with an entry a label.
-    """
-    d = d.select("label", "vec")
-    blocks = max(1, -(-d.count() // block))
-
-    def span(p: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack([np.asarray(x, float) for x in p["vec"]])
-        v /= np.linalg.norm(v, axis=1)[:, None]
-        comp = np.arange(len(v))
-        for k in range(0, len(v), 256):
-            for row in 1 - v[k : k + 256] @ v.T <= cut + 1e-9:
-                met = comp[row]
-                if len(met) > 1 and (met != met[0]).any():
-                    comp[np.isin(comp, met)] = met.min()
-        told = [(i, j) for j, i in enumerate(comp) if i != j]
-        lab = p["label"].to_numpy()
-        return pd.DataFrame({"a": [lab[i] for i, _ in told], "b": [lab[j] for _, j in told]}, dtype=object)
-
-    mine = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
-    both = d.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    edges = both.groupBy(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(span, "a string, b string")
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = root[x]
-        return x
-
-    for a, b in edges.toLocalIterator():
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    known = d.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], "label string, part string")
-    return d.select("label").join(known, "label", "left").select("label", F.coalesce("part", "label").alias("part"))
-
-
-def cluster_labels(df: DataFrame, label: str, vec: str, count: str, cut: float = 0.40, most: int = MOST_LABELS) -> DataFrame:
-    """(label, cluster, representative): of distinct labels, numbered by their smallest.
-
-    More than ``most`` are clustered in the parts of ``near_parts``, with the same result; a part beyond it is an error.
+#: Clusters of a block that tasks compare with those of another.
+BLOCK = 1000
+
+
+def linkage(points: DataFrame, label: str, vec: str, cut: float, block: int = BLOCK) -> DataFrame:
+    """(label, first): average linkage on cosine distance, merged while the least is at most ``cut``; first: a cluster's smallest label.
+
+    The distance of two clusters is one less the product of their mean unit vectors, so a cluster is a sum and a number. Average linkage is reducible:
+    pairs that are each other's nearest can all be merged in one round with the same result as one after the other (of equal distances the smallest label's goes first).
+    A cluster whose nearest is beyond the cut stays so, and leaves. Every round is a written table. Labels are distinct; a zero vector has distance 1 to all.
     """
+    norm = F.sqrt(dot(F.col(vec), F.col(vec)))
+    unit = F.transform(vec, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    live = checkpointed(points.select(F.col(label).cast("string").alias("id"), F.lit(1).cast("long").alias("n"), unit.alias("v")))
+    member = live.select(F.col("id").alias("label"), "id")
+
+    def nearest_of(p: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = p["own"].min(), p["own"].max()
+        out = []
+        v = np.stack(p["v"].to_list()) / p["n"].to_numpy()[:, None]
+        ids, own = p["id"].to_numpy(), p["own"].to_numpy()
+        order = np.argsort(ids, kind="stable")  # the first of equals is the smallest
+        v, ids, own = v[order], ids[order], own[order]
+        for k in np.array_split(np.arange(len(ids)), -(-len(ids) // 256)):
+            d = np.round(1 - v[k] @ v.T, 11)
+            d[(own[k][:, None] == own[None, :]) & (lo != hi)] = np.inf
+            d[np.arange(len(k)), k] = np.inf
+            at = d.argmin(axis=1)
+            out.append(pd.DataFrame({"id": ids[k], "other": ids[at], "dist": d[np.arange(len(k)), at]}))
+        out = pd.concat(out)
+        return out[out["dist"] <= cut + 1e-11]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("label").reset_index(drop=True)
-        v = np.stack([np.asarray(x, float) for x in p["vec"]])
-        v /= np.linalg.norm(v, axis=1)[:, None]
-        own = average_linkage(v, cut)
-        return pd.DataFrame({"label": p["label"], "first": p["label"].groupby(own).transform("min"), "n": p["n"]})
-
-    d = df.select(F.col(label).cast("string").alias("label"), F.col(vec).alias("vec"), F.col(count).cast("long").alias("n"))
-    if d.count() <= most:
-        parts = d.withColumn("part", F.lit(""))
-    else:
-        parts = d.join(near_parts(d, cut, most), "label")
-        n = parts.groupBy("part").count().agg(F.max("count")).first()[0]
-        if n > most:
-            raise ValueError(f"{n} labels that near ones connect; {most} are the most")
-    c = parts.groupBy("part").applyInPandas(run, "label string, first string, n long")
+    while True:
+        blocks = max(1, -(-live.count() // block))
+        both = live.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        near = both.groupBy(F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")).applyInPandas(nearest_of, "id string, other string, dist double")
+        near = checkpointed(near.groupBy("id").agg(F.min(F.struct("dist", "other"))["other"].alias("other")))
+        back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = checkpointed(near.join(back, ["id", "other"]).where("id < other"))
+        if not pairs.limit(1).count():
+            return member.select("label", F.col("id").alias("first"))
+        to = pairs.select(F.col("other").alias("id"), F.col("id").alias("new"))
+        live = live.join(near, "id", "left_semi").join(to, "id", "left").withColumn("new", F.coalesce("new", "id"))
+        # two rows a sum at most
+        live = live.groupBy(F.col("new").alias("id")).agg(F.sum("n").alias("n"), F.collect_list("v").alias("vs"))
+        live = checkpointed(live.select("id", "n", F.when(F.size("vs") == 1, F.get("vs", 0)).otherwise(F.zip_with(F.get("vs", 0), F.get("vs", 1), lambda x, y: x + y)).alias("v")))
+        member = checkpointed(member.join(to, "id", "left").select("label", F.coalesce("new", "id").alias("id")))
+
+
+def cluster_labels(df: DataFrame, label: str, vec: str, count: str, cut: float = 0.40, block: int = BLOCK) -> DataFrame:
+    """(label, cluster, representative): of distinct labels by ``linkage``, numbered by their smallest."""
+    d = df.select(F.col(label).cast("string").alias("label"), F.col(count).cast("long").alias("n"))
+    c = d.join(linkage(df, label, vec, cut, block), "label")
     ids = surrogate(c.select("first").distinct(), ["first"]).select("first", (F.col("id") - 1).cast("int").alias("cluster"))
     c = c.join(ids, "first").select("label", "cluster", "n")
     return c.join(representatives(c), "cluster").select("label", "cluster", "representative")
@@ -155,9 +123,15 @@ def kmeans(df: DataFrame, cols: list[str] | None = None, vec: str | None = None,
 
 
 def stratified_split(df: DataFrame, label: str, order: list[str], share: float = 0.8) -> DataFrame:
-    """The input with ``is_train``: the first share of each label's rows in an order."""
-    w = Window.partitionBy(label)
-    return df.withColumn("is_train", F.row_number().over(w.orderBy(*order)) <= F.floor(F.count(F.lit(1)).over(w) * share))
+    """The input with ``is_train``: the first share of each label's rows in an order; a null label is one too.
+
+    Rows are numbered over all labels, by ranges, and a label's first number is taken off: no label's rows meet in one task.
+    """
+    d = checkpointed(df.withColumn("_tie", F.monotonically_increasing_id()))  # equal rows are rows each
+    d = checkpointed(surrogate(d, [label, *order, "_tie"], "_no"))
+    per = d.groupBy(F.col(label).alias("_l")).agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    d = d.join(per, F.col(label).eqNullSafe(F.col("_l")))
+    return d.withColumn("is_train", F.col("_no") - F.col("_first") < F.floor(F.col("_n") * share)).drop("_tie", "_no", "_l", "_first", "_n")
 
 
 def plain_split(df: DataFrame, key: list[str], share: float = 0.8) -> DataFrame:
@@ -169,8 +143,8 @@ def plain_split(df: DataFrame, key: list[str], share: float = 0.8) -> DataFrame:
 
 def encode_label(df: DataFrame, label: str) -> DataFrame:
     """The input with ``label_id``: the rank of the label among the distinct ones, from 0."""
-    ids = df.select(label).where(F.col(label).isNotNull()).distinct().withColumn("label_id", F.row_number().over(Window.orderBy(label)) - 1)
-    return df.join(ids, label)
+    ids = surrogate(df.select(label).where(F.col(label).isNotNull()).distinct(), [label], "label_id")
+    return df.join(ids.withColumn("label_id", (F.col("label_id") - 1).cast("int")), label)
 
 
 def classify(df: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (64, 32), rounds: int = 100) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions import lexicon as L
 from ..functions.similarity import extract_one
 from ..functions.text import is_noise, nfkc, squash, thai_digits
 from .segment import JOINED, segment
+from .tables import checkpointed
 
 FUZZY = 85
 SIGNALS = "university string, subjects array<string>, seats_min int, keywords array<string>, round string, gpax double, intl boolean, faculty string, major string, format string, format_kw string, intent string, phrase string, phrase_active boolean"
@@ -126,13 +127,32 @@ def token_labels(tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(both, columns=["uni", "subj"], dtype=object)
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Lexicons go into the plan as one SQL text each: a Column a key takes the driver longer to build than to run.
+
+
 def _strings(xs) -> Column:
-    return F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return F.expr(f"cast(array({', '.join(map(_text, xs))}) as array<string>)")
 
 
 def _rows(table: dict[str, str]) -> Column:
     """A lexicon as an array of its keys in lower case and their values."""
-    return F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(v).alias("v")) for k, v in table.items()])
+    return F.expr(f"array({', '.join(f'struct({_text(k.lower())} as k, {_text(v)} as v)' for k, v in table.items())})")
+
+
+def _scan(col: str, table: dict[str, str]) -> Column:
+    """As ``first_hit``."""
+    return F.expr(f"case {' '.join(f'when contains({col}, {_text(k)}) then {_text(v)}' for k, v in table.items())} end")
+
+
+def _removed(col: str, words: list[str]) -> Column:
+    """As ``remove_all``."""
+    for w in words:
+        col = f"replace({col}, {_text(w)}, ' ')"
+    return F.expr(col)
 
 
 def signals_of(df: DataFrame, text: str = "text", words: DataFrame | None = None) -> DataFrame:
@@ -144,26 +164,28 @@ def signals_of(df: DataFrame, text: str = "text", words: DataFrame | None = None
     d = spark.createDataFrame([(w,) for w in own_words()], "word string")
     d = d if words is None else d.unionByName(words.select("word"))
     t = df.select(F.col(text).alias("raw")).distinct().withColumn("whole", F.coalesce(nfkc("raw"), F.lit("")))
-    rest = remove_all(F.col("whole"), [k for table in (UNI, ROUND, INTENT, FACULTY, MAJOR, FORMAT) for k in table])  # what is removed makes and breaks later hits
+    rest = _removed("whole", [k for table in (UNI, ROUND, INTENT, FACULTY, MAJOR, FORMAT) for k in table])  # what is removed makes and breaks later hits
     # a column that says which text, as a null one is a text too
     t = t.withColumns({"rest": F.regexp_replace(rest, r"\p{Nd}+\.?\p{Nd}*|[><=]", " "), "key": F.coalesce(F.concat(F.lit("t"), "raw"), F.lit("n"))})
+    t = checkpointed(t)
     toks, left = segment(t, "key", "whole", d), segment(t, "key", "rest", d).withColumnRenamed("tokens", "left")
+    toks = checkpointed(toks)
     each = toks.select("key", F.posexplode("tokens").alias("at", "token"))
     labels = each.select("token").distinct().withColumn("l", token_labels("token")).select("token", "l.*").where("uni is not null or subj is not null")
     said = each.join(labels, "token").groupBy("key").agg(F.min_by("uni", F.when(F.col("uni").isNotNull(), F.col("at"))).alias("near"), F.array_sort(F.collect_set("subj")).alias("subjects"))
-    t = t.join(toks, "key").join(left, "key").join(said, "key", "left").withColumn("low", F.lower("whole"))
+    t = checkpointed(t.join(toks, "key").join(left, "key").join(said, "key", "left").withColumn("low", F.lower("whole")))
     first = {name: {k: v[0] for k, v in table.items()} for name, table in (("faculty", FACULTY), ("major", MAJOR), ("format", FORMAT))}
     group = lambda rx: F.nullif(thai_digits(F.regexp_extract("whole", rx, 1)), F.lit(""))
     t = t.withColumns({
-        "university": F.coalesce(first_hit(F.col("low"), UNI), "near"),
+        "university": F.coalesce(_scan("low", UNI), "near"),
         "subjects": F.coalesce("subjects", _strings([])),
         "seats_min": group("(?U)" + SEATS).try_cast("int"),
-        "round": first_hit(F.col("low"), ROUND),
+        "round": _scan("low", ROUND),
         "gpax": group(GPAX.replace("(?i)", "(?iU)")).try_cast("double"),
         "intl": F.contains("low", F.lit("นานาชาติ")) | F.contains("low", F.lit("international")),
-        **{name: first_hit(F.col("low"), table) for name, table in first.items()},
-        "format_kw": F.nullif(first_hit(F.col("low"), {k: v[1] or "" for k, v in FORMAT.items()}), F.lit("")),
-        "intent": first_hit(F.col("low"), INTENT),
+        **{name: _scan("low", table) for name, table in first.items()},
+        "format_kw": F.nullif(_scan("low", {k: v[1] or "" for k, v in FORMAT.items()}), F.lit("")),
+        "intent": _scan("low", INTENT),
     })
     stop = _strings(sorted(STOP))
     kept = lambda x: ~F.array_contains(stop, F.lower(x)) & ~is_noise(x)

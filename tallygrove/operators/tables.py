@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import category, falsy_or, num
@@ -41,13 +44,37 @@ def surrogate(df: DataFrame, order: list[Column | str], name: str = "id", within
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut by files in the folder that the cluster names; a folder of its own only in local mode, where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+    """Lineage cut by a table below ``scratch_root``."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """An application's own folder below that which the cluster names (``spark.checkpoint.dir``); a local one only in local mode, where none is named.
+
+    It goes when the driver's Python ends.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(f"{tempfile.gettempdir()}/tallygrove-checkpoints")
-    return df.checkpoint()
+        base = f"file://{tempfile.gettempdir()}"
+    root = f"{base.rstrip('/')}/tallygrove-{sc.applicationId}-tables"
+    _forget_at_exit(spark, root)
+    return root
+
+
+@functools.cache
+def _forget_at_exit(spark: SparkSession, root: str) -> None:
+    def forget() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already; nothing is left to tell
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(forget)
 
 
 def weights_map(df: DataFrame, key: list[str], code: str, weight: str) -> DataFrame:
@@ -73,6 +100,19 @@ def pivot_features(df: DataFrame, key: list[str], concept: str, weight: str, fea
     return p.where(total != 0)
 
 
+def vocabulary(df: DataFrame, key: list[str], concept: str, least: int = 5) -> DataFrame:
+    """(concept, df, feature): the concepts that ``least`` keys or more have, numbered from 0 in their order."""
+    freq = df.where(F.col(concept).isNotNull()).select(*key, concept).distinct().groupBy(concept).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    return surrogate(checkpointed(freq), [concept], "feature").withColumn("feature", F.col("feature") - 1)
+
+
+def sparse_vectors(df: DataFrame, key: list[str], concept: str, weight: str, vocab: DataFrame) -> DataFrame:
+    """Key to the features it has, rising, and their summed weights; keys whose weights sum to 0 are dropped. As many features as the data has."""
+    w = df.join(vocab.select(concept, "feature"), concept).groupBy(*key, "feature").agg(F.sum(weight).alias("_w"))
+    v = w.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("feature", F.col("_w").alias("weight")))).alias("_v"), F.sum("_w").alias("_sum")).where("_sum <> 0")
+    return v.select(*key, F.transform("_v", lambda x: x["feature"]).alias("features"), F.transform("_v", lambda x: x["weight"]).alias("weights"))
+
+
 def normalise_program(p: Column, has_codes: Column) -> dict[str, Column]:
     """Columns of a search row from a raw program struct (all texts), by the presence of its code list."""
     comps = F.when(F.size(p["weighted_components"]) > 0, p["weighted_components"]).otherwise(p["weighted_subjects"])

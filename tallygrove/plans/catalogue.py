@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import ingest, ranking, records, texts, typed  # noqa: E402, F401
+from . import ingest, ranking, records, texts, typed, upkeep  # noqa: E402, F401

@@ -209,11 +209,8 @@ def topic_label(spark, d):
 @register("""WITH c AS (SELECT DISTINCT unnest([p_size::VARCHAR, p_brand, lpad((p_partkey % 90)::VARCHAR, 3, '0')]) AS code FROM part)
 SELECT code, row_number() OVER (ORDER BY regexp_full_match(code, '[0-9]+'), CASE WHEN regexp_full_match(code, '[0-9]+') THEN code::BIGINT ELSE 0 END, code)::INT AS place FROM c""")
 def code_order(spark, d):
-    """Codes are as many as a vocabulary has, so one task orders them."""
-    from pyspark.sql import Window
-
     c = table(spark, d, "part").select(F.explode(F.array(F.col("p_size").cast("string"), "p_brand", F.lpad((F.col("p_partkey") % 90).cast("string"), 3, "0"))).alias("code")).distinct()
-    return c.withColumn("place", F.row_number().over(Window.orderBy(*T.code_order(F.col("code")))))
+    return tables.surrogate(c, T.code_order(F.col("code")), "place").withColumn("place", F.col("place").cast("int"))
 
 
 @register("""SELECT p_partkey AS id, ['R1', 'R2', 'R3', 'R4', 'handicap', NULL][(1 + p_partkey % 6)::INT] AS round FROM part""")

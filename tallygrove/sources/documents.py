@@ -31,6 +31,23 @@ def read_documents(spark: SparkSession, path: str, admission: bool = False) -> D
     return d.withColumn("university_id", F.substring(base, 1, 3)).withColumn("round", F.coalesce(F.nullif("round", F.lit("")), F.substring(base, 5, 2)))
 
 
+def read_documents_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents as ``read_documents`` gives them, files that are no document: path, reason, text).
+
+    A file of broken JSON, or one whose top is no object or that lacks both programs and items, is told of and the rest is read.
+    A file of no bytes isn't there, as for every reader.
+    """
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path", F.col("content").cast("string").alias("text"))
+    d = d.where(~file_name(F.col("path")).endswith("_admission.json"))
+    parsed = d.withColumn("doc", F.from_json("text", f"{DOC}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    reason = F.when(~F.col("text").rlike(r"\S"), "empty").when(F.col("doc._broken").isNotNull() | F.col("doc").isNull(), "broken JSON").when(F.col("doc.programs").isNull() & F.col("doc.items").isNull(), "no programs and no items")
+    parsed = parsed.withColumn("reason", reason)
+    good = parsed.where("reason is null").select("path", "doc.*").drop("_broken", "university_id")
+    base = file_name(F.col("path"))
+    good = good.withColumn("university_id", F.substring(base, 1, 3)).withColumn("round", F.coalesce(F.nullif("round", F.lit("")), F.substring(base, 5, 2)))
+    return good, parsed.where("reason is not null").select("path", "reason", "text")
+
+
 def programs_of(docs: DataFrame) -> DataFrame:
     """Programs with their place; component arrays brought to (code, name, weight, threshold)."""
     one = lambda c: F.struct(F.coalesce(c["test_or_subject_code"], c["subject_code"]).alias("code"), c["subject_name_th"].alias("name"), c["weight_percent"].alias("weight"), F.coalesce(c["min_threshold"], c["min_threshold_percent"]).alias("threshold"))

@@ -1,13 +1,15 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tallygrove.functions import similarity
 from tallygrove.functions import text as TX
 from tallygrove.functions.lexicon import SUBJECT_EN
-from tallygrove.operators import enrich, extract, fit, learn, search, signals, tables, views
+from tallygrove.operators import enrich, extract, fit, fuzzy, learn, search, signals, tables, views
 from tallygrove.plans import ingest as ingest_queries
 from tallygrove.plans import texts
 from tallygrove.sources import documents as D
@@ -114,19 +116,93 @@ def test_fuzzy_lexicon_takes_every_token(spark, tmp_path):
     assert got == want and {"the,", "der.", "éque", "token1", "passw0rd"} <= set(got) and "tökén" not in got
 
 
-def test_clustering_in_parts_is_the_clustering_of_all(spark):
+def average_linkage(vecs: np.ndarray, cut: float) -> np.ndarray:
+    """Cluster numbers of unit vectors, by one merge after the other of the least distance."""
+    n = len(vecs)
+    d = 1 - vecs @ vecs.T
+    np.fill_diagonal(d, np.inf)
+    size, owner = np.ones(n), np.arange(n)
+    while True:
+        i, j = sorted(divmod(int(d.argmin()), n))
+        if not d[i, j] <= cut:
+            return np.unique(owner, return_inverse=True)[1]
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = row, row
+        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        owner[owner == j] = i
+
+
+def test_linkage_by_rounds_is_that_by_single_merges(spark):
     rng = np.random.default_rng(6)
-    far = np.eye(12)[rng.integers(0, 12, 150)]
-    v = far + rng.normal(size=far.shape) * 0.13
+    far = np.eye(12)[rng.integers(0, 12, 300)]
+    v = far + rng.normal(size=far.shape) * 0.2
+    v[7] = v[3]  # equal ones, and one without a direction
+    v[9] = 0
     d = spark.createDataFrame([(str(k), [float(x) for x in r], 1) for k, r in enumerate(v)], "l string, v array<double>, n int")
-    whole = sorted(map(tuple, learn.cluster_labels(d, "l", "v", "n").collect()))
-    assert len({c for _, c, _ in whole}) < 150 and len(whole) == 150
-    assert sorted(map(tuple, learn.cluster_labels(d, "l", "v", "n", most=40).collect())) == whole
-    order = sorted(range(150), key=str)
-    unit = v[order] / np.linalg.norm(v[order], axis=1)[:, None]
-    assert {str(k): int(c) for k, c in zip(order, learn.average_linkage(unit, 0.4), strict=True)} == {lab: c for lab, c, _ in whole}
-    with pytest.raises(ValueError):
-        learn.cluster_labels(d, "l", "v", "n", most=5)
+    order = sorted(range(300), key=str)
+    unit = v[order] / np.maximum(np.linalg.norm(v[order], axis=1), 1e-300)[:, None]
+    want = {str(k): int(c) for k, c in zip(order, average_linkage(unit, 0.4), strict=True)}
+    for block in (1000, 70):
+        got = learn.cluster_labels(d, "l", "v", "n", block=block).collect()
+        assert {r.label: r.cluster for r in got} == want and 12 < len(set(want.values())) < 290
+    assert learn.cluster_labels(d.limit(0), "l", "v", "n").count() == 0
+
+
+def test_similar_names_are_all_found(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 14))) for _ in range(60)] + ["engineering", "engineeringphysics", "x", "ภาษาไทย"]
+
+    def bent(x: str) -> str:
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(x) + 1)
+            x = x[:k] + rng.choice(["", "a", "e", "z"]) + x[k + rng.randint(0, 1) :]
+        return rng.choice(["", "", "cd", "aabb"]) + x
+
+    left = [(k % 2, bent(rng.choice(base))) for k in range(150)]
+    right = [(k % 2, bent(rng.choice(base))) for k in range(150)]
+    a, b = (spark.createDataFrame(sorted(set(x)), "u int, name string") for x in (left, right))
+    every = {(u, x, y): similarity.wratio(x, y) for u, x in set(left) for w, y in set(right) if u == w}
+    for least in (90.0, 80.0, 70.0):
+        got = {(r.u, r.name, r.best): r.score for r in fuzzy.similar(a, b, "u", least).collect()}
+        assert got == {k: s for k, s in every.items() if s >= least} and got
+    # what has to be scored is few of all pairs
+    assert fuzzy.candidates(a, b, "u", 90.0).count() < 0.2 * len(every)
+    for most in (1, 2, 3):
+        got = {(r.u, r.name, r.best) for r in fuzzy.edit_pairs(a, b, "u", most).collect()}
+        assert got == {(u, x, y) for u, x, y in every if edits(x, y) <= most}
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_seats_are_filled_within_the_institution(spark):
+    """The most similar name of the same institution, of those with seats, from a score of 90."""
+    rows = [(1, "u", "Computer Engineering", None), (2, "u", "Arts", None), (3, "v", "Computer Enginering", None), (4, "u", "Law", 7), (5, "u", "computerengineerin", None), (6, None, "Law", None)]
+    cat = [(1, "u", "computer engineering", 30), (2, "u", "Computer Engineerings", 99), (3, "v", "Arts", 5), (4, "u", "ARTSS", None), (5, "u", "computer engineering", 31), (6, "u", "Law", 8)]
+    r = spark.createDataFrame(rows, "id int, block string, name string, seats int")
+    c = spark.createDataFrame(cat, "ord int, block string, name string, seats int")
+    got = {x.id: x.seats for x in enrich.fill_fuzzy(r, c, "block", "name", "seats").collect()}
+    assert got == {1: 31, 2: None, 3: None, 4: 7, 5: 31, 6: None}
+
+
+def test_splits_and_codes_without_one_task(spark):
+    rows = [("a" if k < 57 else None if k < 60 else "b", k // 2) for k in range(100)]
+    got = learn.stratified_split(spark.createDataFrame(rows, "l string, k int"), "l", ["k"]).collect()
+    assert len(got) == 100
+    for label in ("a", "b", None):
+        own = sorted((r.k, not r.is_train) for r in got if r.l == label)
+        n = int(len(own) * 0.8)
+        assert sum(not x for _, x in own) == n and max(k for k, x in own if not x) <= min([k for k, x in own if x], default=99)
+    got = learn.encode_label(spark.createDataFrame(rows, "l string, k int"), "l")
+    assert {(r.l, r.label_id) for r in got.collect()} == {("a", 0), ("b", 1)} and got.count() == 97
 
 
 def test_agglomerative_clusters_the_vectors(spark):
