@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, save
+from .prefix_trie import CRC
 from .ranks import exact_places, hex_keys, long_keys, sent_if_few, text_keys
 
 FANOUT, DEPTH = 3, 6
@@ -167,3 +168,23 @@ def without_breaks(ident: Column, text: Column) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), without_breaks)
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in FIELDS) + ")"
+#: Tries as recursive queries, a level a round; siblings of a level are the rest of the run that a leaf's place is in.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_LEAF} AS leaf, {_LEAF.replace("text", "(CASE WHEN " + CRC.format("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS bent FROM documents),
+l AS (SELECT *, coalesce('s' || source, 'n') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+v(grp, lvl, pos, h, n) AS (SELECT grp, 0, pos, leaf, n FROM l UNION ALL SELECT grp, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM v WHERE n > 1 GROUP BY grp, lvl, pos // 3, n),
+r AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM v WHERE n = 1),
+w(lvl, pos, h, n) AS (SELECT 1000, pos, subroot, n FROM r UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM w WHERE n > 1 GROUP BY lvl, pos // 3, n),
+x AS (SELECT rid, l.grp, k.lvl, l.pos // (3 ** k.lvl)::BIGINT AS i FROM l JOIN (SELECT DISTINCT grp, lvl FROM v WHERE n > 1) k USING (grp)
+    UNION ALL SELECT rid, NULL, k.lvl, r.pos // (3 ** (k.lvl - 1000))::BIGINT FROM l JOIN r USING (grp), (SELECT DISTINCT lvl FROM w WHERE n > 1) k),
+y AS (SELECT grp, lvl, pos, h FROM v UNION ALL SELECT NULL, lvl, pos, h FROM w),
+q AS (SELECT rid, x.lvl, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < i), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > i), '') AS b
+    FROM x JOIN y ON x.grp IS NOT DISTINCT FROM y.grp AND x.lvl = y.lvl AND x.i // 3 = y.pos // 3 GROUP BY rid, x.lvl),
+p AS (SELECT rid, string_agg(a || b, '' ORDER BY lvl) AS proof, list(a || ',' || b ORDER BY lvl) AS steps FROM q GROUP BY rid),
+f AS (SELECT doc_id, leaf, subroot, (SELECT h FROM w WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(bent, coalesce(steps, [])), lambda z, s: sha256(split_part(s, ',', 1) || z || split_part(s, ',', 2))) AS folded_root FROM l JOIN r USING (grp) LEFT JOIN p USING (rid))
+SELECT *, folded_root = root AS verified FROM f"""

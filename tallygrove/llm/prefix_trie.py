@@ -399,3 +399,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     turns = turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     c = F.col("conv")
     return trie(*grafted(turns, F.crc32(c.cast("string").cast("binary")) % 9, c - c % 5))
+
+
+#: CRC-32 of a text of ASCII, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ord(ch)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+SQL = f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS nb FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 5 AS b, {CRC.format("c::VARCHAR")} % 9 AS f FROM (SELECT DISTINCT c FROM o)),
+u AS (SELECT k.c, pos, h, nb FROM k JOIN o ON o.c = k.b AND pos < f UNION ALL SELECT k.c, pos, h, nb FROM k JOIN o ON o.c = k.c AND pos >= f),
+s AS (SELECT c, list(h ORDER BY pos) AS hs, list(nb ORDER BY pos) AS bs FROM u GROUP BY c),
+z AS (SELECT c, coalesce(hs, []) AS hs, coalesce(bs, []) AS bs FROM k LEFT JOIN s USING (c)),
+n AS (SELECT c, d, len(hs) AS l, md5(array_to_string(hs[1:d], '')) AS id, CASE WHEN d > 0 THEN md5(array_to_string(hs[1:d - 1], '')) END AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS nb
+    FROM (SELECT *, unnest(range(0, len(hs) + 1)) AS d FROM z)),
+m AS (SELECT id, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(nb) AS nb, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = l), '') AS ends FROM n GROUP BY id),
+g AS (SELECT up AS id, count(*) AS n FROM m WHERE up IS NOT NULL GROUP BY 1),
+a AS (SELECT m.id AS below, n.id AS above FROM m JOIN n ON n.c = m.conv_id AND n.d <= m.depth),
+t AS (SELECT above AS id, count(*) FILTER (WHERE g.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.nb)::BIGINT AS saved FROM a JOIN m ON m.id = below LEFT JOIN g ON g.id = below GROUP BY 1)
+SELECT m.conv_id, m.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs, coalesce(g.n, 0)::BIGINT AS n_children, n_leaves, saved AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m LEFT JOIN m p ON p.id = m.up LEFT JOIN g ON g.id = m.id JOIN t ON t.id = m.id"""

@@ -25,5 +25,7 @@ ORACLE_SQL = {
     "op6_url_filters": url_filter.SQL,
     "op7_ngram_jaccard_join": jaccard.SQL,
     "op10_mixing_sources": mixing.SQL,
+    "op11_conversation_prefix_trie": prefix_trie.SQL,
+    "op12_merkle_manifest": merkle.SQL,
     "op13_suffix_array_dedup": repeats.SQL,
 }

@@ -11,7 +11,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallygrove.llm import decontaminate, jaccard, mixing, quality, token_store
+from tallygrove.llm import decontaminate, quality, token_store
 from tallygrove.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_operators import brute_join
@@ -57,10 +57,10 @@ def brute_mix(rows):
 
 def test_odd_tables(spark, tmp_path):
     """Nulls, ids that repeat, equal rows, no rows, and columns with the stages' own names."""
-    kind = "doc_id long, text string, lang string, source string, n_chars long, _k int, _gone string, score double, row int, size long, shard int, component_id long"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _k int, _gone string, score double, row int, size long, shard int, component_id long, `a.b` int, `c``d` string"
     good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").where("n_chars > 600").limit(6).collect()]
     texts = [(1, good[0]), (1, good[1]), (None, good[2]), (None, good[3]), (2, good[0]), (5, good[4]), (5, good[4]), (6, None), (7, ""), (None, None), (8, good[5] * 40)]
-    rows = [(i, t, None if k % 3 else "en", None if k % 2 else "web", None, k, "g", 0.5, 1, 2, 3, 4) for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, None if k % 3 else "en", None if k % 2 else "web", None, k, "g", 0.5, 1, 2, 3, 4, 5, "x") for k, (i, t) in enumerate(texts)]
     for name, some in (("odd", rows), ("none", [])):
         d = str(tmp_path / name)
         spark.createDataFrame(some, kind).write.parquet(f"{d}/documents.parquet")
@@ -108,4 +108,3 @@ def test_run(spark):
         at += r.n_tokens
     assert [r.doc_id for r in sorted(last, key=lambda r: r.start)] == sorted(r.doc_id for r in last)
     assert corpus_pipeline.run(spark, SF).count() == n
-    assert jaccard and mixing and token_store
