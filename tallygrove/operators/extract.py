@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cells, code_name, dash_num, lines, squeeze_between
 
+#: What documents say before a code, a name, a number of seats, a subject, an item and a row of three numbers.
 CODE = r"TCAS\s*CODE[:\s]*([0-9A-Za-z]+)"
 NAME = r"(สาขาวิชา[^|\n]*?)\s*TCAS"
 PLAN = r"จำนวนรับตามแผน[^\d]*(\d+)"

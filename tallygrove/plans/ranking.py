@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import extract_one, keyword_score
 from ..functions.text import squash
-from ..operators import enrich, fit, search, tables, views
+from ..operators import enrich, fit, search, views
 from .catalogue import register, table
 
 SCORES = [("AF", 72.5), ("NO", 55.0), ("RF", 88.0)]
@@ -217,6 +217,3 @@ def topn_per_group(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.sum("l_quantity").alias("s"))
     g = g.withColumn("k", F.row_number().over(Window.partitionBy("flag").orderBy(F.desc("s"), "status"))).where("k <= 4")
     return g.select("flag", "status", F.round("s", 2).alias("w"), "k")
-
-
-_ = tables
