@@ -67,11 +67,11 @@ CHAIN = 200
 def lexicon_match(texts: DataFrame, ident: str, text: str, lexicon: DataFrame) -> DataFrame:
     """(ident, label, ord) of each text that contains a keyword of the lexicon (ord, kw, label): its first hit wins.
 
-    The lexicon is counted, as in ``_few``, and comes into the plan, so texts are read once and neither joined nor shuffled.
+    The lexicon is counted: up to ``MOST_WORDS`` rows it comes into the plan, so texts are read once and neither joined nor shuffled; a larger
+    one meets them by grams, with the same result.
     """
-    n = lexicon.count()
-    if n > MOST_WORDS:
-        raise ValueError(f"a lexicon of {n} rows; {MOST_WORDS} are the most")
+    if lexicon.count() > MOST_WORDS:
+        return match_by_grams(texts, ident, text, lexicon)
     rows = [(F.lit(r["kw"]), F.struct(F.lit(r["label"]).alias("label"), F.lit(r["ord"]).alias("ord"))) for r in lexicon.where("kw is not null").orderBy("ord").collect()]
 
     def hit(t: Column) -> Column:
@@ -90,6 +90,32 @@ def lexicon_match(texts: DataFrame, ident: str, text: str, lexicon: DataFrame) -
     return texts.select(ident, F.explode(once).alias("_h")).select(ident, "_h.label", "_h.ord")
 
 
+def match_by_grams(texts: DataFrame, ident: str, text: str, lexicon: DataFrame, width: int = 4) -> DataFrame:
+    """As ``lexicon_match``, for a lexicon of any size: a text that contains a keyword contains its grams, so they are joined by one.
+
+    A keyword's gram is the one of its ``width`` characters that the fewest keywords have, or a shorter keyword itself. Only texts and
+    keywords that share it are compared. The hit of the least ``ord`` wins, of equal ones the first label.
+    """
+    lex = lexicon.where("kw is not null").select(F.struct("ord", "label", "kw").alias("hit"), F.col("kw").alias("_kw"), F.length("kw").alias("_n"))
+    grams = lambda c, n, w: F.when(n >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substring(c, i, F.lit(w))))).otherwise(F.array().cast("array<string>"))
+    long = lex.where(F.col("_n") >= width).select("hit", F.explode(grams(F.col("_kw"), F.col("_n"), width)).alias("g"))
+    rare = long.join(long.groupBy("g").agg(F.count(F.lit(1)).alias("f")), "g").groupBy("hit").agg(F.min(F.struct("f", "g"))["g"].alias("g"))
+    keys = checkpointed(rare.select("hit", "g").unionByName(lex.where((F.col("_n") < width) & (F.col("_n") > 0)).select("hit", F.col("_kw").alias("g"))))
+    sizes = [r[0] for r in keys.select(F.length("g")).distinct().collect()]  # up to ``width``
+    # texts are told apart by a number, as idents may repeat
+    t = checkpointed(texts.select(F.col(ident).alias("id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row")).where("t is not null"))
+    none = F.array().cast("array<string>")
+    said = t.select("row", F.explode(F.concat(none, *[grams(F.col("t"), F.length("t"), w) for w in sizes])).alias("g"))
+    met = said.join(keys, "g").groupBy("row").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    empty = lex.where("_n = 0").agg(F.min("hit")).first()[0]  # an empty keyword is in every text
+    always = F.lit(None).cast("struct<ord:int,label:string,kw:string>") if empty is None else F.struct(F.lit(empty["ord"]).cast("int").alias("ord"), F.lit(empty["label"]).cast("string").alias("label"), F.lit("").alias("kw"))
+    first = F.get(F.filter("hits", lambda h: F.contains(F.col("t"), h["kw"])), 0)
+    hit = F.least(F.struct(first["ord"].cast("int").alias("ord"), first["label"].alias("label"), first["kw"].alias("kw")), always) if empty is not None else first
+    hit = F.when(first.isNull(), always).otherwise(hit) if empty is not None else hit
+    out = t.join(met, "row", "left").select("id", F.explode(F.filter(F.array(hit), lambda h: h.isNotNull())).alias("h"))
+    return out.select(F.col("id").alias(ident), "h.label", "h.ord")
+
+
 def match_tokens(tokens: DataFrame, lexicon: DataFrame, most: int = 1) -> DataFrame:
     """(token, label) of distinct tokens: exact, else least edit distance up to ``most`` for 4 characters or more, first key of equals."""
     d = F.levenshtein("token", "kw")

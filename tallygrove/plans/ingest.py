@@ -114,6 +114,23 @@ def mlp_classify(spark, d):
     return learn.report(learn.classify(t, ["caps", "marks", "digits", "stops"], "quality", (64, 32), 400), "quality", "prediction")
 
 
+@register()
+def mlp_topic(spark, d):
+    """The topic that k-means gives an order by its standardised weights, learnt from these: report on the held-out fifth."""
+    t = learn.kmeans(features(spark, d), FLAGS, starts=3, scale=True)
+    t = learn.stratified_split(learn.standardise(t, FLAGS), "topic", ["pid"])
+    return learn.report(learn.classify(t, FLAGS, "topic", (64, 32), 400), "topic", "prediction")
+
+
+@register()
+def mlp_institution(spark, d):
+    """The institution of a program (the brand of a part) from the weights of its components: report on the held-out fifth."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_brand").alias("institution"))
+    w = tables.pivot_features(table(spark, d, "lineitem").withColumnRenamed("l_partkey", "pid"), ["pid"], "l_returnflag", "l_quantity", FLAGS)
+    t = learn.stratified_split(learn.encode_label(learn.standardise(w, FLAGS).join(p, "pid"), "institution"), "institution", ["pid"])
+    return learn.report(learn.classify(t, FLAGS, "label_id", (64, 32), 400), "label_id", "prediction")
+
+
 @register("""WITH p AS (SELECT quality AS l, (d.doc_id % 3 > 0)::INT AS p FROM labels JOIN documents d USING (doc_id)),
 s AS (SELECT l AS label, count(*) AS support, count(*) FILTER (WHERE l = p) AS tp FROM p GROUP BY 1), q AS (SELECT p AS label, count(*) AS said FROM p GROUP BY 1)
 SELECT label, support, round(tp / said, 6) AS precision, round(tp / support, 6) AS recall, round(2 * (tp / said) * (tp / support) / (tp / said + tp / support), 6) AS f1 FROM s JOIN q USING (label)""")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.functions import lexicon as L
+from tallygrove.functions import similarity
 from tallygrove.operators import search, segment, signals
 
 from . import typed
@@ -70,4 +71,34 @@ def test_search_by_every_signal(spark):
         assert sorted(r.ord for r in top.collect()) == [r[0] for r in rows if keep(r)], text
     sig, top = search.search(p, "วิศวะ สาขาพลังงาน", k=5)
     assert sig["faculty"] == "Engineering" and "วิศวกรรม" in sig["keywords"]
-    assert all(F.lit(x) is not None for x in top.columns)
+
+
+def test_best_names_without_scoring_all(spark):
+    rng = random.Random(9)
+    words = ["engineering", "computer", "physics", "arts", "law", "วิศวกรรม", "nursing", "design", "data", "xyz", "bio", "chem", "zoo"]
+    names = [None, "", *{" ".join(rng.choice(words)[: rng.randint(2, 12)] for _ in range(rng.randint(1, 4))) for _ in range(600)}]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for keywords in (["engineering"], ["computer", "physics"], ["วิศวกรรม", "law", "dat"], ["data design"], ["q"]):
+        score = {n: sum(max(similarity.partial_ratio(k, n or ""), similarity.token_set_ratio(k, n or "")) for k in keywords) / len(keywords) for n in names}
+        bound = {r.name: r.b for r in df.select("name", search.score_bound(F.col("name"), keywords).alias("b")).collect()}
+        assert all(bound[n] >= s for n, s in score.items())
+        some = {r.name for r in search.to_score(df, keywords, 8).collect()}
+        best = sorted(score.values(), reverse=True)
+        assert {n for n, s in score.items() if s >= best[7]} <= some
+        assert len(some) < len(names) / 3 or keywords[0] in ("q", "data design")
+
+
+def test_lexicons_of_any_size(spark):
+    """A hundred thousand terms against a search for each of those that can be there."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdeกข") for _ in range(n))
+    terms = [word(rng.choice([3, 5, 7, 9])) for _ in range(100_000)]
+    lex = spark.createDataFrame([(k, w, f"l{k}") for k, w in enumerate(terms)] + [(100_001, None, "x")], "ord int, kw string, label string")
+    said = [None, "", "zz", *(word(rng.randint(1, 30)) for _ in range(60)), terms[5] + "zz" + terms[9]]
+    df = spark.createDataFrame([(k % 50, t) for k, t in enumerate(said)], "id int, text string")
+    want = sorted((k % 50, min(o for o, w in enumerate(terms) if w in t)) for k, t in enumerate(said) if t and any(w in t for w in terms))
+    assert sorted((r.id, r.ord) for r in signals.lexicon_match(df, "id", "text", lex).collect()) == want and want
+    some = spark.createDataFrame([(3, "ab", "p"), (2, "abcdef", "q"), (9, "", "r")], "ord int, kw string, label string")
+    df = spark.createDataFrame([(1, "xab"), (2, "xabcdefx"), (3, "none"), (4, None), (5, "")], "id int, text string")
+    assert {r.id: r.label for r in signals.match_by_grams(df, "id", "text", some).collect()} == {1: "p", 2: "q", 3: "r", 5: "r"}
+    assert {r.id: r.label for r in signals.match_by_grams(df, "id", "text", some.where("ord < 9")).collect()} == {1: "p", 2: "q"}
