@@ -147,15 +147,21 @@ def encode_label(df: DataFrame, label: str) -> DataFrame:
     return df.join(ids.withColumn("label_id", (F.col("label_id") - 1).cast("int")), label)
 
 
+#: Training rows of a task.
+TRAINED = 5000
+
+
 def classify(df: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (64, 32), rounds: int = 100) -> DataFrame:
     """Held-out predictions of a multilayer perceptron trained on rows with ``is_train``; label from 0."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    d = VectorAssembler(inputCols=features, outputCol="_f").transform(df)
-    n = d.agg(F.max(label)).first()[0] + 1
+    # every round is a job over the training rows, so they are written once, and few rows are few tasks
+    d = VectorAssembler(inputCols=features, outputCol="_f").transform(checkpointed(df))
+    n, rows = d.agg(F.max(label), F.count(F.lit(1))).first()
+    n += 1
     m = MultilayerPerceptronClassifier(layers=[len(features), *hidden, max(2, n)], maxIter=rounds, seed=0, featuresCol="_f", labelCol=label)
-    return m.fit(d.where("is_train")).transform(d.where("not is_train")).drop("_f", "rawPrediction", "probability")
+    return m.fit(d.where("is_train").coalesce(max(1, -(-rows // TRAINED)))).transform(d.where("not is_train")).drop("_f", "rawPrediction", "probability")
 
 
 def topic_labels(df: DataFrame, features: list[str], names: dict[str, str] | None = None, topic: str = "topic", most: int = 4) -> DataFrame:

@@ -114,20 +114,24 @@ def mlp_classify(spark, d):
     return learn.report(learn.classify(t, ["caps", "marks", "digits", "stops"], "quality", (64, 32), 400), "quality", "prediction")
 
 
+def _part_weights(spark, d):
+    """A part's summed quantities by flag, standardised."""
+    w = tables.pivot_features(table(spark, d, "lineitem").withColumnRenamed("l_partkey", "pid"), ["pid"], "l_returnflag", "l_quantity", FLAGS)
+    return learn.standardise(tables.checkpointed(w), FLAGS)
+
+
 @register()
 def mlp_topic(spark, d):
-    """The topic that k-means gives an order by its standardised weights, learnt from these: report on the held-out fifth."""
-    t = learn.kmeans(features(spark, d), FLAGS, starts=3, scale=True)
-    t = learn.stratified_split(learn.standardise(t, FLAGS), "topic", ["pid"])
+    """The topic that k-means gives a program (a part) by its weights, learnt from these: report on the held-out fifth."""
+    t = learn.stratified_split(learn.kmeans(_part_weights(spark, d), FLAGS, starts=3), "topic", ["pid"])
     return learn.report(learn.classify(t, FLAGS, "topic", (64, 32), 400), "topic", "prediction")
 
 
 @register()
 def mlp_institution(spark, d):
-    """The institution of a program (the brand of a part) from the weights of its components: report on the held-out fifth."""
+    """The institution of a program (the brand of a part) from its weights: report on the held-out fifth."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_brand").alias("institution"))
-    w = tables.pivot_features(table(spark, d, "lineitem").withColumnRenamed("l_partkey", "pid"), ["pid"], "l_returnflag", "l_quantity", FLAGS)
-    t = learn.stratified_split(learn.encode_label(learn.standardise(w, FLAGS).join(p, "pid"), "institution"), "institution", ["pid"])
+    t = learn.stratified_split(learn.encode_label(_part_weights(spark, d).join(p, "pid"), "institution"), "institution", ["pid"])
     return learn.report(learn.classify(t, FLAGS, "label_id", (64, 32), 400), "label_id", "prediction")
 
 
