@@ -147,9 +147,9 @@ class Encoder:
     #: Texts that aren't cut: white space beside a space, rarer white space, what might be a special token.
     ODD = r"\x00|<\||[ \n\t\v\f\r\x1c-\x1f] | [\n\t\v\f\r\x1c-\x1f]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     #: Pieces a generation keeps; the one before is still looked into, so what recurs stays.
-    MOST = 250_000
+    MOST = 500_000
     #: Bytes of text that are cut at a time, and new pieces that share a call.
-    RUN, CALL = 4 << 20, 256
+    RUN, CALL = 8 << 20, 256
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
