@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,20 @@ def test_lexicons_of_any_size(spark):
     df = spark.createDataFrame([(1, "xab"), (2, "xabcdefx"), (3, "none"), (4, None), (5, "")], "id int, text string")
     assert {r.id: r.label for r in signals.match_by_grams(df, "id", "text", some).collect()} == {1: "p", 2: "q", 3: "r", 5: "r"}
     assert {r.id: r.label for r in signals.match_by_grams(df, "id", "text", some.where("ord < 9")).collect()} == {1: "p", 2: "q"}
+
+
+def test_tokens_are_labelled_once_each(spark, monkeypatch):
+    """The labels' filter must not bring the similarity below the distinct, where every text has its tokens labelled again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("uni string, subj string")
+    def counted(tokens: pd.Series) -> pd.DataFrame:
+        seen.add(len(tokens))
+        return pd.DataFrame([(None, "64" if t == "physics" else None) for t in tokens], columns=["uni", "subj"], dtype=object)
+
+    monkeypatch.setattr(signals, "token_labels", counted)
+    d = spark.createDataFrame([(f"physics {'x' * (k % 7)} seats{k}",) for k in range(200)], "text string")
+    got = signals.signals_of(d).select("signals.subjects").collect()
+    assert len(got) == 200 and all(r.subjects == ["64"] for r in got)
+    # blanks, the words and each text's own number: far fewer than the tokens of all texts
+    assert seen.value <= 2 * (200 + 20)
