@@ -228,7 +228,8 @@ def tidy_lines(spark, d):
 SELECT l_orderkey, l_linenumber, k::INT AS k, format('{:g}', x) AS said FROM v""")
 def format_numbers(spark, d):
     xs = F.array("l_quantity", F.col("l_discount") / 7, -F.col("l_extendedprice") * 1000, F.col("l_tax") * F.col("l_discount") / 10000, F.lit(0.0))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(xs).alias("k", "x")).select("l_orderkey", "l_linenumber", "k", T.general(F.col("x")).alias("said"))
+    each = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(xs).alias("k", "x"))
+    return T.generals(each, "x", "said").select("l_orderkey", "l_linenumber", "k", "said")
 
 
 @register("""WITH n AS (SELECT page_id, md5(page_id::VARCHAR) AS h FROM pages) SELECT page_id, row_number() OVER (ORDER BY h, page_id) <= floor((SELECT count(*) FROM pages) * 0.8) AS is_train FROM n""")

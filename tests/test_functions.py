@@ -59,3 +59,11 @@ def test_text_helpers(spark):
 @pytest.mark.parametrize(("code", "want"), [("GPAX", "GPAX"), ("TGAT1", "TGAT"), ("91", "TGAT"), ("30", "TPAT"), ("67", "A-Level"), ("89", "A-Level"), ("90", "TGAT"), ("x", "other"), (None, "other")])
 def test_category(spark, code, want):
     assert spark.createDataFrame([(code,)], "x string").select(T.category(F.col("x"))).first()[0] == want
+
+
+def test_numbers_are_written_by_arithmetic_as_by_digits(spark):
+    """``generals`` gives what ``general`` does, halves, powers and extremes included."""
+    xs = [0.0, -0.0, None, 99999.95, 999999.5, 999998.5, 1234565.0, -1234575.0, 1e-300, 1e300, 123456.5, 0.285, 1000.005, 9.9999949, *(10.0**k for k in range(-20, 30)), *(k * 1000.1 for k in range(1, 400, 7)), *(k / 700 for k in range(50))]
+    d = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = T.generals(d, "x", "said").withColumn("other", T.general(F.col("x"))).collect()
+    assert len(got) == len(xs) and all(r.said == r.other for r in got)
