@@ -122,8 +122,9 @@ def normalise_program(p: Column, has_codes: Column) -> dict[str, Column]:
     in_range = F.filter(every, lambda x: x.try_cast("int").between(61, 89))
     listed = F.filter(F.coalesce(p["subject_codes"], F.array().cast("array<string>")), lambda x: x.rlike(r"^\d+$"))
     pairs = F.flatten(F.transform(F.filter(split, lambda c: c["w"].isNotNull()), lambda c: F.transform(c["codes"], lambda x: F.struct(x.alias("code"), c["w"].alias("w")))))
-    keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["code"])))
-    weights = F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(pairs, lambda x: x["code"] == k), F.lit(0.0), lambda a, x: a + x["w"])))
+    total = lambda ps, k: F.aggregate(F.filter(ps, lambda x: x["code"] == k), F.lit(0.0), lambda a, x: a + x["w"])
+    entries = lambda ps: F.transform(F.array_sort(F.array_distinct(F.transform(ps, lambda x: x["code"]))), lambda k: F.struct(k, total(ps, k)))
+    weights = F.map_from_entries(F.get(F.transform(F.array(pairs), entries), 0))  # pairs are made once, not once a code
     return {
         "subject_codes": F.array_sort(F.array_distinct(F.when(has_codes, listed).otherwise(in_range))),
         "weights": F.when(has_codes, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).otherwise(weights),

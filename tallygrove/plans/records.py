@@ -6,7 +6,9 @@ the lines of documents in text; the SQL derives what is found from the tables, n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,8 +21,12 @@ def _or_null(when: str, value) -> F.Column:
     return F.when(F.expr(when), value)
 
 
-def raw_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON document an institution and round, parsed as files are."""
+#: Keys of parts that share a document of an institution and round, so no document grows with the table.
+KEYS = 20_000
+
+
+def raw_documents(spark: SparkSession, d: str, keys: int = KEYS) -> DataFrame:
+    """JSON documents of an institution and round, a range of keys each, parsed as files are; ``first``: programs in those before."""
     line = F.struct(F.col("l_linenumber").alias("k"), F.col("l_orderkey").alias("o"), (60 + F.col("l_linenumber")).cast("string").alias("test_or_subject_code"), F.col("l_returnflag").alias("subject_name_th"), F.col("l_quantity").cast("int").cast("string").alias("weight_percent"), F.lit("10").alias("min_threshold_percent"))
     comps = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("k", "o")).alias("weighted_components"))
     p = table(spark, d, "part").join(comps, "p_partkey", "left")
@@ -29,10 +35,21 @@ def raw_documents(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_name").alias("program_name_th"), _or_null("p_size % 2 = 0", F.col("p_type")).alias("major_name_en"), F.col("p_size").alias("seats"), _or_null("p_size % 3 <> 0", F.round(F.col("p_retailprice") / 500, 2)).alias("min_gpax"), F.lit("2.5").alias("gpax_min"),
         _or_null("p_size % 5 = 0", F.array(F.lit("71"), F.lit("62"), F.lit("x"))).alias("subject_codes"), "weighted_components",
     )
-    docs = p.groupBy(F.regexp_extract("p_brand", r"(\d+)", 1).alias("uid"), F.concat(F.lit("R"), (F.col("p_size") % 4 + 1).cast("string")).alias("round")).agg(F.transform(F.array_sort(F.collect_list(program)), lambda x: x.dropFields("p_partkey")).alias("programs"))
-    text = docs.select(F.lpad("uid", 3, "0").alias("university_id"), "round", F.to_json(F.struct(F.lit("list").alias("archetype"), "programs")).alias("j"))
-    parsed = text.select("university_id", "round", F.concat_ws("/", "university_id", "round").alias("path"), F.from_json("j", documents.DOC).alias("doc"))
-    return parsed.select("path", "university_id", F.lit(None).cast("string").alias("university"), "round", "doc.archetype", "doc.programs")
+    key = (F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 3, "0").alias("university_id"), F.concat(F.lit("R"), (F.col("p_size") % 4 + 1).cast("string")).alias("round"), F.floor(F.col("p_partkey") / keys).alias("chunk"))
+    docs = p.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(program)), lambda x: x.dropFields("p_partkey")).alias("programs"))
+    before = Window.partitionBy("university_id", "round").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a document
+    sizes = table(spark, d, "part").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).drop("n")
+    same = functools.reduce(Column.__and__, [docs[c].eqNullSafe(sizes[c]) for c in ("university_id", "round", "chunk")])
+    text = docs.join(sizes, same).select(docs["university_id"], docs["round"], "first", F.to_json(F.struct(F.lit("list").alias("archetype"), "programs")).alias("j"))
+    parsed = text.select("university_id", "round", "first", F.concat_ws("/", "university_id", "round").alias("path"), F.from_json("j", documents.DOC).alias("doc"))
+    return parsed.select("path", "university_id", F.lit(None).cast("string").alias("university"), "round", "first", "doc.archetype", "doc.programs")
+
+
+def raw_programs(spark: SparkSession, d: str, keys: int = KEYS) -> DataFrame:
+    """The documents' programs, numbered through the documents of an institution and round."""
+    docs = raw_documents(spark, d, keys)
+    own = documents.programs_of(docs.withColumn("path", F.struct("path", "first")))
+    return own.withColumns({"pos": F.col("path.first") + F.col("pos"), "path": F.col("path.path")})
 
 
 _RAW = """p AS (SELECT lpad(regexp_extract(p_brand, '([0-9]+)', 1), 3, '0') AS university_id, 'R' || (p_size % 4 + 1) AS round, *,
@@ -46,7 +63,7 @@ c AS (SELECT l_partkey AS p_partkey, (60 + l_linenumber)::VARCHAR AS code, l_ret
 
 def _tables(spark, d):
     brands = table(spark, d, "part").select(F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 3, "0").alias("university_id")).distinct()
-    return tables.relational(documents.programs_of(raw_documents(spark, d)), brands)
+    return tables.relational(raw_programs(spark, d), brands)
 
 
 @register(f"""WITH {_RAW} SELECT id, university_id, round, code AS tcas_code, p_name AS program_name_th, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS program_name_en, '' AS faculty_th,
@@ -75,7 +92,7 @@ SELECT path, pos, code AS tcas_code, p_name AS program_name_th, CASE WHEN p_size
 CASE WHEN p_size % 3 <> 0 THEN round(p_retailprice / 500, 2) ELSE 2.5::DOUBLE END AS min_gpax, CASE WHEN p_size % 5 = 0 THEN ['62', '71'] ELSE coalesce(codes, []) END AS subject_codes,
 CASE WHEN p_size % 5 = 0 THEN '' ELSE coalesce(weights, '') END AS weights FROM q LEFT JOIN g USING (p_partkey) LEFT JOIN m USING (p_partkey)""")
 def search_rows(spark, d):
-    rows = documents.programs_of(raw_documents(spark, d))
+    rows = raw_programs(spark, d)
     cols = tables.normalise_program(F.col("program"), F.coalesce(F.size("program.subject_codes") > 0, F.lit(False)))
     out = rows.select("path", "pos", *[c.alias(k) for k, c in cols.items()])
     weights = F.array_join(F.transform(F.array_sort(F.map_entries("weights")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("long").cast("string"))), ",")

@@ -11,6 +11,7 @@ from tallygrove.functions import text as TX
 from tallygrove.functions.lexicon import SUBJECT_EN
 from tallygrove.operators import enrich, extract, fit, fuzzy, learn, search, signals, tables, views
 from tallygrove.plans import ingest as ingest_queries
+from tallygrove.plans import records as record_queries
 from tallygrove.plans import texts
 from tallygrove.sources import documents as D
 from tallygrove.streaming.ingest import ingest
@@ -311,3 +312,13 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
 def test_surrogate_is_dense(spark):
     d = tables.surrogate(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), ["x"])
     assert [(r.x, r.id) for r in d.orderBy("x").collect()] == [(i, i + 1) for i in range(1000)]
+
+
+def test_documents_are_bounded_by_their_keys(spark):
+    """A document of an institution and round doesn't grow with the table; programs are numbered through its documents."""
+    sf = "/root/testdata/sf0.01"
+    docs = record_queries.raw_documents(spark, sf, 300)
+    assert docs.agg(F.max(F.size("programs"))).first()[0] <= 300 < docs.count()
+    told = lambda d: {(r.path, r.pos): (r.n, r.k) for r in d.select("path", "pos", F.col("program.program_name_th").alias("n"), F.size("program.weighted_components").alias("k")).collect()}
+    whole, cut = told(record_queries.raw_programs(spark, sf)), told(record_queries.raw_programs(spark, sf, 300))
+    assert whole == cut and len(whole) == spark.read.parquet(f"{sf}/part.parquet").count()
