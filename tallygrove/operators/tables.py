@@ -143,6 +143,7 @@ def relational(docs: DataFrame, institutions: DataFrame) -> dict[str, DataFrame]
     p = F.col("program")
     rows = docs.select("university_id", "round", "path", "pos", "source", "program", falsy_or(p["tcas_code"], p["program_code"]).alias("code"), falsy_or(p["program_name_th"], p["faculty_major_th"]).alias("name"))
     rows = first_wins(rows.withColumn("_key", F.when(F.col("code") != "", F.col("code")).otherwise(F.col("name"))), ["university_id", "round", "_key"], ["path", "pos"])
+    rows = checkpointed(rows)  # once for the numbers and all tables
     rows = surrogate(rows, ["path", "pos"])
     comps = F.when(F.size(p["weighted_components"]) > 0, p["weighted_components"]).otherwise(p["weighted_subjects"])
     weighed = rows.select("id", F.posexplode(comps).alias("k", "c")).select("id", F.lit(0).alias("src"), "k", F.trim("c.code").alias("subject_code"), F.col("c.name").alias("name"), num(F.col("c.weight")).alias("weight_percent"), num(F.col("c.threshold")).alias("min_threshold"))
