@@ -71,7 +71,8 @@ def windows(df: DataFrame, ident: str, text: str, sizes: tuple[int, ...] = (WIND
     own = F.regexp_replace(own, names, "\u0001")
     own = F.regexp_replace(own, LEFT, MARKS) if openings else own
     d = df.select(F.col(ident).alias("id"), F.regexp_extract_all(own, F.lit(TOKEN), F.lit(0)).alias("toks"))
-    d = d.where(F.size("toks") >= min(sizes)).withColumn("canon", _canon(F.col("toks")))
+    # no filter on their number: it would be put before the join that leaves few texts, and cut all of them
+    d = d.withColumn("canon", _canon(F.col("toks")))
     marked = F.exists("canon", lambda c: c.startswith("\u0001"))
 
     def val(c: Column, i: Column) -> Column:

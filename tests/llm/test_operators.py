@@ -745,3 +745,11 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).columns == odd.columns and mixing.plan(odd).count() == 9
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
     assert mixing.plan(docs.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("taken"), F.sum("target")).first()[:] == (0, 0.0)
+
+
+def test_decontamination_cuts_only_suspects_into_words(spark):
+    docs = spark.createDataFrame([(k, f"some words of text number {k} that go on for a while") for k in range(20)], "doc_id int, text string")
+    held = docs.join(spark.createDataFrame([(3,)], "id int"), F.col("doc_id") == F.col("id"), "left_semi")
+    plan = decontaminate.windows(held, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[plan.index("LeftSemi") :]
+    assert decontaminate.windows(docs.select("doc_id", F.lit("too few words").alias("text")), "doc_id", "text").count() == 0
