@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +90,19 @@ def held(key: tuple, make):
     return _held[key]
 
 
+def roomy(spark: SparkSession, cpus: int = 2) -> ResourceProfile | None:
+    """For a stage whose Python workers need much memory: tasks of two cores each, so half as many workers stand beside the JVM at a time.
+
+    None, and all tasks as ever, where a stage can't ask for this: local mode, executors of one core, or those that come and go.
+    """
+    conf = spark.sparkContext.getConf()
+    cores = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,\s*\d+\s*\]", conf.get("spark.master", ""))
+    cores = int(cores[1]) if cores else int(conf.get("spark.executor.cores", "0"))
+    if cores < cpus or conf.get("spark.master", "").startswith("local[") or conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
+
+
 def trim() -> None:
     """Give freed memory back to the machine: a worker outlives its tasks, and the next stage's workers need room."""
     pa.default_memory_pool().release_unused()

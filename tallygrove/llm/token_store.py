@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_rows, commit, held, lean, open_fs, parts, range_bounds, range_shards, save, scratch, text_slices, trim
+from .common import Rolling, arrow_rows, commit, held, lean, open_fs, parts, range_bounds, range_shards, roomy, save, scratch, text_slices, trim
 
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
@@ -205,12 +205,15 @@ class Encoder:
             self._learn([p for p, k in zip(pieces, got, strict=True) if k is None])
             got = list(map(self.new.at.__getitem__, pieces))
         got = np.array(got, np.int64)
-        at, n = self.new.ends[got], self.new.ends[got + 1] - self.new.ends[got]
+        del words, told, first, pieces  # room for the ids
+        at, n = self.new.ends[got], (self.new.ends[got + 1] - self.new.ends[got]).astype(np.int32)
         each = n[codes]
-        step = 1 << 18  # words at a time
-        ids = [ragged(self.new.pool, at[codes[a : a + step]], each[a : a + step]) for a in range(0, len(codes), step)]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.diff(upto[offs])
+        upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        ids = np.empty(upto[-1], np.uint32)
+        step = 1 << 17  # words at a time
+        for a in range(0, len(codes), step):
+            ids[upto[a] : upto[min(a + step, len(codes))]] = ragged(self.new.pool, at[codes[a : a + step]], each[a : a + step])
+        return ids, np.diff(upto[offs])
 
     def encode(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of each text) of run after run of texts; null texts are empty."""
@@ -291,7 +294,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
         yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in said], pa.string() if not k else pa.int64()) for k, c in enumerate(names)})
 
     with arrow_rows(df.sparkSession, ROWS):
-        said = save(rows.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long, crc32 long"), "token-manifest")
+        said = save(rows.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long, crc32 long", profile=roomy(df.sparkSession)), "token-manifest")
     parted = said.groupBy("part").agg(F.sum("tokens").alias("_all"))
     before = parted.select(F.col("part"), F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row a shard
     order = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

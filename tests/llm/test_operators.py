@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, subword, token_store, toxicity, url_filter, warc
-from tallygrove.llm.common import Rolling, components, manifest_of, scratch, tidy
+from tallygrove.llm.common import Rolling, components, manifest_of, roomy, scratch, tidy
 
 from ..oracle import differences, duck
 
@@ -753,3 +753,13 @@ def test_decontamination_cuts_only_suspects_into_words(spark):
     plan = decontaminate.windows(held, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[plan.index("LeftSemi") :]
     assert decontaminate.windows(docs.select("doc_id", F.lit("too few words").alias("text")), "doc_id", "text").count() == 0
+
+
+def test_token_output_asks_for_room_only_where_it_can():
+    def asked(**conf):
+        context = type("C", (), {"getConf": lambda self: type("D", (), {"get": lambda self, k, d=None: conf.get(k.replace(".", "_"), d)})()})()
+        return roomy(type("S", (), {"sparkContext": context})())
+
+    assert asked(spark_master="local-cluster[3,2,3000]").taskResources["cpus"].amount == 2
+    assert asked(spark_master="local[4]", spark_executor_cores="4") is None
+    assert asked(spark_master="local-cluster[3,1,3000]") is None and asked(spark_master="spark://x") is None
