@@ -103,6 +103,15 @@ def roomy(spark: SparkSession, cpus: int = 2) -> ResourceProfile | None:
     return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs return the heap that earlier stages left, before workers beside them need the room: a task for each core.
+
+    A heap that a shuffle has grown stays grown until a full collection. In local mode there is one JVM, and so one task.
+    """
+    n = 1 if spark.sparkContext.master.startswith("local[") else spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def trim() -> None:
     """Give freed memory back to the machine: a worker outlives its tasks, and the next stage's workers need room."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_rows, commit, held, lean, open_fs, parts, range_bounds, range_shards, roomy, save, scratch, text_slices, trim
+from .common import Rolling, arrow_rows, commit, give_back, held, lean, open_fs, parts, range_bounds, range_shards, roomy, save, scratch, text_slices, trim
 
 MAGIC = b"TGDAC01\n"
 BLOCK = 512
@@ -293,6 +293,7 @@ def write(df: DataFrame, root: str, tokenizer: str, ident: str = "doc_id", text:
         names = ("file", "part", "seq", "docs", "tokens", "crc32")
         yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in said], pa.string() if not k else pa.int64()) for k, c in enumerate(names)})
 
+    give_back(df.sparkSession)
     with arrow_rows(df.sparkSession, ROWS):
         said = save(rows.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long, crc32 long", profile=roomy(df.sparkSession)), "token-manifest")
     parted = said.groupBy("part").agg(F.sum("tokens").alias("_all"))

@@ -763,3 +763,11 @@ def test_token_output_asks_for_room_only_where_it_can():
     assert asked(spark_master="local-cluster[3,2,3000]").taskResources["cpus"].amount == 2
     assert asked(spark_master="local[4]", spark_executor_cores="4") is None
     assert asked(spark_master="local-cluster[3,1,3000]") is None and asked(spark_master="spark://x") is None
+
+
+def test_token_output_returns_the_heap_first(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert token_store.store(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")).count() == 2
+    assert full() > before
