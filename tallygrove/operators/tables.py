@@ -51,6 +51,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*dfs: DataFrame) -> None:
+    """Delete tables that ``checkpointed`` wrote, once nothing reads them any more."""
+    for df in dfs:
+        sc = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(path))
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """An application's own folder below that which the cluster names (``spark.checkpoint.dir``); a local one only in local mode, where none is named.
 

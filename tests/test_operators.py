@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import numpy as np
@@ -213,6 +214,17 @@ def test_agglomerative_clusters_the_vectors(spark):
     assert {r.label for r in got} == ids and len(got) == len(ids)
 
 
+def test_linkage_of_copies_takes_few_rounds_and_leaves_no_tables(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(learn, "checkpointed", lambda df: written.append(tables.checkpointed(df)) or written[-1])
+    v = [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]
+    d = spark.createDataFrame([(f"{k:02}", v[k % 3]) for k in range(45)] + [("z1", [0.0, 0.0]), ("z2", [0.0, 0.0])], "l string, v array<double>")
+    got = {r.label: r.first for r in learn.linkage(d, "l", "v", 0.3, block=2).collect()}
+    assert got == {f"{k:02}": "00" if k % 3 < 2 else "02" for k in range(45)} | {"z1": "z1", "z2": "z2"}
+    there = lambda t: any(os.path.exists(f.removeprefix("file://")) for f in t.inputFiles())
+    assert len(written) < 15 and sum(map(there, written)) <= 5
+
+
 def test_learning_queries_do_the_whole_job(spark, monkeypatch):
     d = spark.createDataFrame([(k, [float(k % 2), 1000.0 * (k * 7 % 40)]) for k in range(40)], "k int, v array<double>")
     for scale, n in ((False, 2), (True, 1)):
