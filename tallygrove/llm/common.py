@@ -291,6 +291,11 @@ def split_hot(df: DataFrame, key: list[str], ident: str, most: int) -> DataFrame
 # --- connected components -------------------------------------------------------------------------
 
 
+def pairs_of(df: DataFrame, *cols: tuple[str, str]) -> DataFrame:
+    """(u, v): of each row a pair for each two columns."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in cols])).alias("p")).select("p.u", "p.v")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Pairs of longs (a, b) to (v, root): root is the smallest value that v reaches. Only linked v are listed.
 
@@ -302,12 +307,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = save(e, "edges", keep)
     seen = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # both rows of a pair come from one scan: a union would have what is below it planned and run twice
+        both = pairs_of(e, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = large.join(low2, "u").select("u", "m", F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo"))
+        small = pairs_of(small, ("hi", "lo"), ("u", "m")).where("u <> v").distinct()
         e = save(small, "stars", keep)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if len(keep) > 1:

@@ -302,9 +302,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, kind: Kind, ident: str =
             lots = lots_of(b.column("_t"), kind)
             yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "_y": b.column("_y"), "at": pa.array([x.tobytes() for x, _ in lots], pa.binary()), "ends": pa.array([x.astype(np.int64).tobytes() for _, x in lots], pa.binary())})
 
-    got = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(tidy(extract), "_id long, _y int, at binary, ends binary").collect()
-    got.sort(key=lambda r: (r["_id"], len(r["at"]), zlib.crc32(r["at"])))
-    return train([(r["_y"], np.frombuffer(r["at"], np.uint32), np.frombuffer(r["ends"], np.int64)) for r in got], share, kind)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(i, y, at.as_buffer(), ends.as_buffer()) for b in batches for i, y, at, ends in zip(b.column("_id").to_pylist(), b.column("_y").to_pylist(), b.column("at"), b.column("ends"), strict=True)]
+        got.sort(key=lambda r: (r[0], r[2].size, zlib.crc32(r[2])))
+        own = train([(y, np.frombuffer(at, np.uint32), np.frombuffer(ends, np.int64)) for _, y, at, ends in got], share, kind)
+        yield pa.RecordBatch.from_pydict({"table": pa.array([own.table.tobytes()], pa.binary()), "bias": pa.array([own.bias], pa.float64())})
+
+    lots = some.select(F.col("_id").cast("long").alias("_id"), "_y", "_t").mapInArrow(tidy(extract), "_id long, _y int, at binary, ends binary")
+    # in a task, as the sample is many times the model: the driver gets 1 MB
+    told = lots.repartition(1).mapInArrow(tidy(learn), "table binary, bias double").collect()
+    return Model(np.frombuffer(told[0]["table"], np.float32), told[0]["bias"], share) if told else train([], share, kind)
 
 
 def score(docs: DataFrame, model: Model, kind: Kind, least: float, ident: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

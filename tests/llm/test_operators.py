@@ -14,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tallygrove.llm import decontaminate, jaccard, lattice, mixing, quality, secrets, subword, token_store, toxicity, url_filter, warc
+from tallygrove.llm import common, decontaminate, jaccard, lattice, mixing, quality, secrets, subword, token_store, toxicity, url_filter, warc
 from tallygrove.llm.common import Rolling, components, manifest_of, roomy, scratch, tidy
 
 from ..oracle import differences, duck
@@ -142,6 +142,16 @@ def test_scores_are_those_of_plain_python(spark):
         assert np.allclose(model.scores(pa.array(texts, pa.string()), kind), [plain_score(t or "", model, kind) for t in texts], atol=1e-6)
 
 
+def test_the_driver_gets_a_model_and_not_its_sample(spark, monkeypatch):
+    docs, got = table(spark, "documents"), []
+    real = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: got.append(real(self)) or got[-1])
+    for kind, label in ((quality.KIND, "quality"), (toxicity.KIND, "toxic")):
+        model = subword.fit(docs, table(spark, "labels"), label, kind)
+        assert np.any(model.table) and len(model.table) == 1 << subword.BITS
+    assert max(map(len, got)) <= 2  # the labels' counts, and one row of 1 MB
+
+
 def test_toxic_texts_are_found_wherever_they_stand(spark):
     docs, labels = table(spark, "documents", "/root/testdata/sf0.1"), table(spark, "labels", "/root/testdata/sf0.1")
     model = subword.fit(docs, labels, "toxic", toxicity.KIND)
@@ -281,6 +291,18 @@ def test_components(spark):
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+def test_a_round_of_components_plans_its_edges_a_few_times_only(spark, monkeypatch):
+    rounds, real = [], common.save
+
+    def save(df, name, keep=None):
+        rounds.extend([df._jdf.queryExecution().optimizedPlan().toString()] if name == "stars" else [])
+        return real(df, name, keep)
+
+    monkeypatch.setattr(common, "save", save)
+    assert {(r.v, r.root) for r in components(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    assert rounds and all(p.count("Relation [") == 4 for p in rounds)
+
+
 # --- 5 -----------------------------------------------------------------------------------------------
 
 
